@@ -6,7 +6,9 @@ from importlib import import_module
 
 from settlespark.catalog.registry import ORACLES, QUERIES, Query
 
-MODULES = ("feature_queries", "settle_queries")
+MODULES = (
+    "feature_queries", "settle_queries", "table_queries", "review_queries", "model_queries",
+)
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

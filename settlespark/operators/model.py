@@ -32,7 +32,7 @@ def default_candidates(seed: int = 0) -> dict[str, Estimator]:
         "linear": LinearRegression(solver="normal", regParam=0.0),
         "tree": DecisionTreeRegressor(maxDepth=8, seed=seed),
         "forest": RandomForestRegressor(numTrees=40, maxDepth=8, seed=seed),
-        "boosted": GBTRegressor(maxIter=40, maxDepth=4, stepSize=0.1, seed=seed),
+        "boosted": GBTRegressor(maxIter=20, maxDepth=4, stepSize=0.1, seed=seed),
     }
 
 

@@ -74,9 +74,9 @@ def overlay(
     """Samples in drawing order (page, wave, time) with the line of their wave."""
     lines = lookup_table(result, _line(mode), order, sig.id)
     pages = paginate(sig.samples, per_page, sig.id).join(lines, sig.id, "left")
+    points = sig.join_waves(pages, "inner").withColumn("line_ms", F.col(_line(mode)))
     return (
-        sig.join_waves(pages, "inner")
-        .select("page", sig.id, sig.time, sig.value, F.col(_line(mode)).alias("line_ms"), *sig.order)
+        points.select("page", "line_ms", *sig.roles)
         .orderBy("page", sig.id, sig.time, *sig.order)
     )
 
