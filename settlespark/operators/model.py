@@ -219,12 +219,12 @@ def permutation_importance(
     that gives the random order.
     """
     features = list(features)
-    table = _numeric(drop_unlabelled(df, label), [*features, label]).select(id, label, *features)
+    error = F.abs(F.col(PRED) - F.col(label))
+    table = score(_numeric(drop_unlabelled(df, label), [label]), model, features, id)
     key = F.xxhash64(id, F.lit(seed)) if key is None else key
-    table = number_rows(table.withColumn("_key", key), ["_key", id], "_row").drop("_key")
+    table = table.select(id, label, *features, error.alias("_base"), key.alias("_key"))
+    table = number_rows(table, ["_key", id], "_row").drop("_key")
     rows = table.count()
-    error = F.avg(F.abs(F.col(PRED) - F.col(label)))
-    base = model.transform(table).agg(error).first()[0]
     donors = table.select("_row", *[F.col(c).alias(f"_other_{c}") for c in features])
     shuffled = None
     for repeat, (stride, offset) in enumerate(_strides(rows, repeats)):
@@ -238,13 +238,14 @@ def permutation_importance(
             for c in features
         ]
         part = joined.select(
-            F.lit(repeat).alias("_repeat"), label, F.inline(F.array(*variants))
+            F.lit(repeat).alias("_repeat"), label, "_base", F.inline(F.array(*variants))
         )
         shuffled = part if shuffled is None else shuffled.unionByName(part)
-    errors = model.transform(shuffled).groupBy("feature", "_repeat").agg(error.alias("_error"))
-    rise = F.col("_error") - F.lit(base)
-    summary = errors.groupBy("feature").agg(
-        F.avg(rise).alias("importance"), F.stddev_samp(rise).alias("stddev")
+    rises = model.transform(shuffled).groupBy("feature", "_repeat").agg(
+        F.avg(error - F.col("_base")).alias("_rise")
+    )
+    summary = rises.groupBy("feature").agg(
+        F.avg("_rise").alias("importance"), F.stddev_samp("_rise").alias("stddev")
     )
     return importance_stats(summary, repeats)
 
