@@ -11,26 +11,27 @@ from settlespark.operators import review as rv
 from settlespark.operators.features import grouped_features
 from settlespark.operators.model import fit_line, score
 from settlespark.operators.settle import Rule, labels
-from settlespark.operators.settle import settle as settle_table
+from settlespark.plans.skew import freeze
 from settlespark.sources import tables as t
 
 HOT = 600
 PAIRS = 40
 
 
+LATE, EARLY = 1500.0, 870.0
+
+
 def results(spark, sf):
-    """Two runs of results per wave: hold rule with predictions, then some exit-rule ones.
+    """Two runs of results per wave: hold rule with predictions, then early exit-rule ones.
 
-    Waves that do not settle before their end have no result in the first run.
+    Waves that settle late have no result in the first run.
     """
     sig = t.price_signals(spark, sf)
-    shape = grouped_features(sig, ["std_all"])
-    settled = settle_table(sig).filter("settle_idx < n - 1").select("wave_id", "wait_time_ms")
-    table = shape.join(settled, "wave_id")
+    table = freeze(grouped_features(sig, ["std_all"], label=Rule()).filter(F.col("wait_time_ms") < LATE))
     model, _ = fit_line(table, "std_all")
     columns = ["wave_id", "run", "wait_time_ms", "pred_wait_time_ms"]
     first = score(table, model, ["std_all"]).withColumn("run", F.lit(0)).select(*columns)
-    early = labels(sig, Rule("exit", tol=0.02)).filter("wait_time_ms < 1000")
+    early = labels(sig, Rule("exit", tol=0.02)).filter(F.col("wait_time_ms") < EARLY)
     second = early.withColumns({"run": F.lit(1), "pred_wait_time_ms": F.col("wait_time_ms") + 0.5})
     return sig, first.unionByName(second.select(*columns))
 
@@ -38,14 +39,14 @@ def results(spark, sf):
 RESULTS = f"""{sql.D2P}, {sql.settle()}, {sql.settle('exit', '0.02', name='e')},
 shape AS (SELECT wave_id, stddev_pop(value) AS std_all FROM p GROUP BY wave_id),
 fitted AS (SELECT wave_id, wait_time_ms, std_all FROM s JOIN shape USING (wave_id)
-           WHERE settle_idx < n - 1),
+           WHERE wait_time_ms < {LATE:.0f}),
 line AS (SELECT regr_slope(wait_time_ms, std_all) AS a, regr_intercept(wait_time_ms, std_all) AS b
          FROM fitted),
 res AS (
   SELECT wave_id, 0 AS run, wait_time_ms, a * std_all + b AS pred_wait_time_ms FROM fitted, line
   UNION ALL
   SELECT wave_id, 1, wait_time_ms, wait_time_ms + CAST('0.5' AS DOUBLE) FROM e
-  WHERE wait_time_ms < 1000),
+  WHERE wait_time_ms < {EARLY:.0f}),
 last AS (SELECT wave_id, max_by(wait_time_ms, run) AS wait_time_ms,
                 max_by(pred_wait_time_ms, run) AS pred_wait_time_ms
          FROM res GROUP BY wave_id),

@@ -47,12 +47,13 @@ def grouped_features(
     suffix = "settle_idx" in names
 
     def row(p: Part) -> DataFrame:
+        rules = ({"": label} if label else {}) | ({"_suffix": Rule("suffix")} if suffix else {})
+        if rules:
+            p = with_settle(p, rules)
         aggregates = {N: F.first(N)}
-        if label is not None:
-            p = with_settle(p, label)
+        if label:
             aggregates["wait_time_ms"] = wait_time(p)
         if suffix:
-            p = with_settle(p, Rule(rule="suffix"), tag="_suffix")
             aggregates["settle_idx"] = F.first(Names("_suffix").index).cast("int")
         aggregates |= {name: BASE[name](p.value) for name in base}
         aggregates |= {name: first_non_null(name) for name in meta}

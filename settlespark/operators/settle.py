@@ -63,31 +63,47 @@ class Names:
         self.gap = f"_gap{tag}"
 
 
-def with_target(part: Part, rule: Rule, tag: str = "") -> Part:
-    """Attach the target value and the tolerance of the wave."""
-    at, value = Names(tag), part.value
+Rules = dict[str, Rule]  # by tag
+
+
+def with_targets(part: Part, rules: Rules) -> Part:
+    """Attach the target value and the tolerance of each rule, in one pass."""
+    value, missing = part.value, part.sig.missing == "propagate"
+    aggregates: dict[str, Column] = {}
+    medians: dict[str, Column] = {}
+    for tag, rule in rules.items():
+        at = Names(tag)
+        if rule.rule == "suffix":
+            last = F.when(F.col(POS) >= F.col(N) - LAST, value)
+            aggregates |= {at.target: F.avg(last), at.tol: F.stddev_pop(last)}
+            continue
+        in_tail = F.col(POS) >= F.col(N) - tail_length(F.col(N), rule.tail, rule.min_tail)
+        tail = F.when(in_tail, value)
+        if rule.rule == "exit":
+            aggregates[at.target] = F.avg(tail)
+        else:
+            medians[at.target] = tail
+            if missing:
+                # median() ranks NaN last instead of passing it on
+                aggregates[at.gap] = F.max(F.isnan(tail))
+    part = part.attach(medians, **aggregates)
+    if missing:
+        nan = F.lit(float("nan"))
+        part = part.with_columns(**{
+            Names(tag).target: F.when(F.col(Names(tag).gap), nan).otherwise(F.col(Names(tag).target))
+            for tag, rule in rules.items() if rule.rule == "hold"
+        })
+    return part.with_columns(**{Names(tag).tol: _tolerance(rule, tag) for tag, rule in rules.items()})
+
+
+def _tolerance(rule: Rule, tag: str) -> Column:
     if rule.rule == "suffix":
-        last = F.when(F.col(POS) >= F.col(N) - LAST, value)
-        part = part.attach(**{at.target: F.avg(last), at.tol: F.stddev_pop(last)})
-        return part.with_columns(**{at.tol: F.greatest(F.col(at.tol) * 3.0, F.lit(MIN_BAND))})
-    in_tail = F.col(POS) >= F.col(N) - tail_length(F.col(N), rule.tail, rule.min_tail)
-    tail = F.when(in_tail, value)
-    if rule.rule == "exit":
-        part = part.attach(**{at.target: F.avg(tail)})
-    elif part.sig.missing == "skip":
-        part = part.attach_median(at.target, tail)
-    else:
-        # median() ranks NaN last instead of passing it on
-        part = part.attach_median(at.target, tail, **{at.gap: F.max(F.isnan(tail))})
-        target = F.when(F.col(at.gap), F.lit(float("nan"))).otherwise(F.col(at.target))
-        part = part.with_columns(**{at.target: target})
-    tol = F.abs(F.col(at.target) * F.lit(float(rule.tol)))
-    if rule.abs_tol:
-        tol = F.greatest(tol, F.lit(float(rule.abs_tol)))
-    return part.with_columns(**{at.tol: tol})
-
-
-def out_of_band(value: Column, rule: Rule, tag: str = "") -> Column:
+        return F.greatest(F.col(Names(tag).tol) * 3.0, F.lit(MIN_BAND))
+    tol = F.abs(F.col(Names(tag).target) * F.lit(float(rule.tol)))
+    return F.greatest(tol, F.lit(float(rule.abs_tol))) if rule.abs_tol else tol
+
+
+def out_of_band(value: Column, rule: Rule, tag: str) -> Column:
     """Whether a sample lies outside the band.
 
     Every comparison with a missing number is false, which makes a missing
@@ -102,7 +118,7 @@ def out_of_band(value: Column, rule: Rule, tag: str = "") -> Column:
     return ~(known & (F.abs(value - target) <= tol))
 
 
-def settle_index(rule: Rule, tag: str = "") -> Column:
+def settle_index(rule: Rule, tag: str) -> Column:
     """The settle position from the last excursion."""
     n, j = F.col(N), F.col(Names(tag).last_out)
     never = F.lit(0) if rule.never_out == "first" else n - 1
@@ -117,13 +133,16 @@ def settle_index(rule: Rule, tag: str = "") -> Column:
     )
 
 
-def with_settle(part: Part, rule: Rule, tag: str = "") -> Part:
-    """Attach target, tolerance, last excursion and settle position."""
-    at = Names(tag)
-    part = with_target(part, rule, tag)
-    out = out_of_band(part.value, rule, tag)
-    part = part.attach(**{at.last_out: F.max(F.when(out, F.col(POS)))})
-    return part.with_columns(**{at.index: settle_index(rule, tag).cast("long")})
+def with_settle(part: Part, rules: Rules) -> Part:
+    """Attach target, tolerance, last excursion and settle position of each rule."""
+    part = with_targets(part, rules)
+    part = part.attach(**{
+        Names(tag).last_out: F.max(F.when(out_of_band(part.value, rule, tag), F.col(POS)))
+        for tag, rule in rules.items()
+    })
+    return part.with_columns(**{
+        Names(tag).index: settle_index(rule, tag).cast("long") for tag, rule in rules.items()
+    })
 
 
 def wait_time(part: Part, tag: str = "") -> Column:
@@ -135,7 +154,7 @@ def targets(sig: Signals, rule: Rule = Rule()) -> DataFrame:
     """Per wave the target and the tolerance."""
     at = Names()
     return sig.per_part(
-        lambda p: with_target(p, rule).collapse(
+        lambda p: with_targets(p, {"": rule}).collapse(
             target=F.first(at.target), tolerance=F.first(at.tol)
         )
     )
@@ -146,7 +165,7 @@ def settle(sig: Signals, rule: Rule = Rule()) -> DataFrame:
     at = Names()
 
     def figures(p: Part) -> DataFrame:
-        p = with_settle(p, rule)
+        p = with_settle(p, {"": rule})
         return p.collapse(
             n=F.first(N), target=F.first(at.target), tolerance=F.first(at.tol),
             last_out=F.first(at.last_out), settle_idx=F.first(at.index),
@@ -158,6 +177,6 @@ def settle(sig: Signals, rule: Rule = Rule()) -> DataFrame:
 def labels(sig: Signals, rule: Rule = Rule()) -> DataFrame:
     """The label table: wave id and wait time."""
     def label(p: Part) -> DataFrame:
-        p = with_settle(p, rule)
+        p = with_settle(p, {"": rule})
         return p.collapse(wait_time_ms=wait_time(p))
     return sig.per_part(label)

@@ -103,22 +103,20 @@ class Part:
     def with_columns(self, **columns: Column) -> Part:
         return replace(self, df=self.df.withColumns(columns))
 
-    def attach(self, **aggregates: Column) -> Part:
-        """Put per-wave aggregates on every sample of the wave."""
+    def attach(self, medians: dict[str, Column] | None = None, **aggregates: Column) -> Part:
+        """Put per-wave aggregates, and exact ``medians`` of non-null values, on the samples."""
+        medians = medians or {}
         if not self.hot:
             wave = Window.partitionBy(self.sig.id)
+            aggregates |= {name: F.median(x) for name, x in medians.items()}
             return self.with_columns(**{k: c.over(wave) for k, c in aggregates.items()})
-        stats = self.collapse(**aggregates)
-        return replace(self, df=self.df.join(self._small(stats), self.sig.id))
-
-    def attach_median(self, name: str, x: Column, **aggregates: Column) -> Part:
-        """Put the exact median of the non-null ``x`` (and other aggregates) on the samples."""
-        if not self.hot:
-            return self.attach(**{name: F.median(x)}, **aggregates)
-        part = self.attach(**aggregates) if aggregates else self
-        rows = part.df.select(self.sig.id, x.alias("_x")).filter(F.col("_x").isNotNull())
-        medians = exact_median(rows, self.sig.id, "_x", name)
-        return replace(part, df=part.df.join(self._small(medians), self.sig.id, "left"))
+        df = self.df
+        if aggregates:
+            df = df.join(self._small(self.collapse(**aggregates)), self.sig.id)
+        for name, x in medians.items():
+            rows = self.df.select(self.sig.id, x.alias("_x")).filter(F.col("_x").isNotNull())
+            df = df.join(self._small(exact_median(rows, self.sig.id, "_x", name)), self.sig.id, "left")
+        return replace(self, df=df)
 
     def collapse(self, **aggregates: Column) -> DataFrame:
         """One row per wave; partial aggregation runs before any exchange."""
@@ -153,15 +151,12 @@ def exact_median(df: DataFrame, id: str, x: str, name: str, accuracy: int = 20_0
     )
 
 
-def find_hot(df: DataFrame, id: str, hot_rows: int) -> tuple[DataFrame | None, int, int]:
-    """Ids with more than ``hot_rows`` samples, their number, and all rows."""
-    total = df.count()
-    if total <= hot_rows:
-        return None, 0, total
+def find_hot(df: DataFrame, id: str, hot_rows: int) -> tuple[DataFrame | None, int]:
+    """Ids with more than ``hot_rows`` samples, and their number."""
     counts = df.groupBy(id).agg(F.count(F.lit(1)).alias(N))
     hot = freeze(counts.filter(F.col(N) > hot_rows).select(id))
     found = hot.count()
-    return (hot if found else None), found, total
+    return (hot if found else None), found
 
 
 def cold_positions(sig: Signals, df: DataFrame) -> Part:

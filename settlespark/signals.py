@@ -66,7 +66,11 @@ class Signals:
 
     @cached_property
     def _hot(self) -> tuple[DataFrame | None, int, int]:
-        return find_hot(self.samples.select(self.id), self.id, self.hot_rows)
+        # counting the unfiltered table lets a file source answer from its footers
+        total = self.df.count()
+        if total <= self.hot_rows:
+            return None, 0, total
+        return *find_hot(self.samples.select(self.id), self.id, self.hot_rows), total
 
     @property
     def hot_ids(self) -> DataFrame | None:
