@@ -70,6 +70,15 @@ def _(spark, sf):
     return rounded(io.read_signals(spark, path, io.TRAIN_SCHEMA))
 
 
+@query("s2_write_bucketed", f"""
+WITH {sql.D1P} SELECT wave_id, {sql.features(CURRENT)} FROM p GROUP BY wave_id""")
+def _(spark, sf):
+    name = f"waves_{uuid.uuid4().hex}"
+    rows = t.embeddings(spark, sf).drop("label")
+    io.write_bucketed(rows, name, _folder(spark, "bucketed"), buckets=8)
+    return rounded(grouped_features(Signals(spark.table(name))))
+
+
 @query("s4_run_outputs", f"""
 WITH {sql.D2P}, {sql.settle('exit')}
 SELECT wave_id, {sql.r('wait_time_ms', 'wait_time_ms')}, '20251226_160234' AS run_id FROM s""")
@@ -330,10 +339,10 @@ def _(spark, sf):
 
 @query("l7_set_difference", """
 SELECT DISTINCT l_partkey AS wave_id FROM lineitem
-WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""")
+WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)""")
 def _(spark, sf):
     items = t.table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "wave_id")
-    return jo.disjoint_ids(items, items.filter(F.col("l_returnflag") == "R"))
+    return jo.disjoint_ids(items, items.filter(F.col("l_quantity") >= 50))
 
 
 # --- controlled defects ------------------------------------------------------

@@ -130,6 +130,11 @@ def score(
     return front_columns(scored, id, PRED)
 
 
+def model_features(model: PipelineModel) -> list[str]:
+    """The feature columns a fitted model reads."""
+    return model.stages[0].getInputCols()
+
+
 def short_predictions(scored: DataFrame, id: str = "wave_id") -> DataFrame:
     """Id and prediction only."""
     return scored.select(id, PRED)

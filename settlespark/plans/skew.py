@@ -114,8 +114,9 @@ class Part:
         if aggregates:
             df = df.join(self._small(self.collapse(**aggregates)), self.sig.id)
         for name, x in medians.items():
-            rows = self.df.select(self.sig.id, x.alias("_x")).filter(F.col("_x").isNotNull())
-            df = df.join(self._small(exact_median(rows, self.sig.id, "_x", name)), self.sig.id, "left")
+            rows = self.df.select(self.sig.id, x.alias("_v")).filter(F.col("_v").isNotNull())
+            median = exact_median(rows, self.sig.id, "_v", name, self.sig.hot_count)
+            df = df.join(self._small(median), self.sig.id, "left")
         return replace(self, df=df)
 
     def collapse(self, **aggregates: Column) -> DataFrame:
@@ -126,28 +127,31 @@ class Part:
         return bounded_broadcast(per_wave, self.sig.hot_count)
 
 
-def exact_median(df: DataFrame, id: str, x: str, name: str, accuracy: int = 20_000) -> DataFrame:
-    """Exact median per id without gathering a group in one task.
+def exact_median(
+    df: DataFrame, id: str, x: str, name: str, groups: int, accuracy: int = 20_000
+) -> DataFrame:
+    """Exact median of ``x`` for each of at most ``groups`` ids, without gathering a group.
 
-    A quantile sketch of known rank error brackets the middle; rows below the
-    bracket are only counted, and rows inside it are ranked as (value, count).
+    A quantile sketch of known rank error brackets the middle.  Rows below the
+    bracket are counted under one null key, rows inside it per value, so a
+    running count over the few keys left gives exact ranks.
     """
     margin = 4.0 / accuracy
     bracket = F.percentile_approx(x, [0.5 - margin, 0.5 + margin], accuracy)
     bounds = df.groupBy(id).agg(F.count(x).alias("_m"), bracket.alias("_b"))
-    near = df.join(F.broadcast(bounds), id)
     low, high = F.col("_b")[0], F.col("_b")[1]
-    below = near.groupBy(id).agg(F.count_if(F.col(x) < low).alias("_below"))
-    ranks = (
-        near.filter((F.col(x) >= low) & (F.col(x) <= high))
-        .groupBy(id, x).agg(F.count(F.lit(1)).alias("_c"), F.first("_m").alias("_m"))
-        .join(F.broadcast(below), id)
-        .withColumn("_to", F.col("_below") + F.sum("_c").over(Window.partitionBy(id).orderBy(x)))
+    ranked = Window.partitionBy(id).orderBy(F.col("_x").asc_nulls_first())
+    counts = (
+        df.join(bounded_broadcast(bounds, groups), id)
+        .filter(F.col(x) <= high)
+        .groupBy(id, F.when(F.col(x) >= low, F.col(x)).alias("_x"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_m").alias("_m"))
+        .withColumn("_to", F.sum("_c").over(ranked))
     )
     first, second = F.expr("(_m - 1) div 2"), F.expr("_m div 2")
-    return ranks.groupBy(id).agg(
-        ((F.min(F.when(F.col("_to") > first, F.col(x)))
-          + F.min(F.when(F.col("_to") > second, F.col(x)))) / 2).alias(name)
+    return counts.groupBy(id).agg(
+        ((F.min(F.when(F.col("_to") > first, F.col("_x")))
+          + F.min(F.when(F.col("_to") > second, F.col("_x")))) / 2).alias(name)
     )
 
 

@@ -67,6 +67,17 @@ def write_table(
     writer.save(path)
 
 
+def write_bucketed(
+    df: DataFrame, name: str, path: str, buckets: int, id: str = "wave_id",
+    order: str | list[str] = "sample",
+) -> None:
+    """Save a waveform table bucketed by wave, so that later jobs need no exchange for it."""
+    order = [order] if isinstance(order, str) else order
+    # one writer per bucket, or every task would leave a file in every bucket
+    writer = df.repartition(buckets, id).write.format("parquet").mode("overwrite")
+    writer.bucketBy(buckets, id).sortBy(id, *order).option("path", path).saveAsTable(name)
+
+
 def new_run_id(now: datetime | None = None) -> str:
     """A run id such as 20251226_160234."""
     return (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
