@@ -26,17 +26,18 @@ def _tenth(v: Column) -> Column:
     return F.when(F.col(POS) >= F.col(N) - tail_length(F.col(N), min_tail=1), v)
 
 
-def _end(v: Column) -> Column:
-    return F.max_by(v, POS)
-
-
 def _min(v: Column) -> Column:
     # min() ranks NaN last; pass it on as max() does
     return F.when(F.max(F.isnan(v)), F.lit(NAN)).otherwise(F.min(v))
 
 
+def _max_dev(v: Column, at: Column) -> Column:
+    # max |v - x_end| is reached at the largest or the smallest value
+    end, tail = F.max_by(v, at), _last(v, 50)
+    return F.greatest(F.max(tail) - end, end - _min(tail))
+
 
-def _ringing(v: Column) -> Column:
+def _ringing(v: Column, at: Column) -> Column:
     moved = F.when(F.col(POS) > SKIPPED_DIFFS, F.abs(F.col(DX)))
     return F.coalesce(F.sum(moved), F.lit(0.0))
 
@@ -45,33 +46,34 @@ def _sum_squares(v: Column) -> Column:
     return F.var_pop(v) * F.count(v)
 
 
-def _steps(reduce: Callable[[Column], Column]) -> Callable[[Column], Column]:
+def _steps(reduce: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
     # a wave of one sample has no difference; the tables carry 0 for it
-    return lambda v: F.coalesce(reduce(F.col(DX)), F.lit(0.0))
-
-
-BASE: dict[str, Callable[[Column], Column]] = {
-    "x0": lambda v: F.min_by(v, POS),
-    "x_end": _end,
-    "mean_all": F.avg,
-    "std_all": F.stddev_pop,
-    "std_tail_50": lambda v: F.stddev_pop(_last(v, 50)),
-    "std_tail_150": lambda v: F.stddev_pop(_last(v, 150)),
-    "max_dev_tail_50": lambda v: F.greatest(
-        F.max(_last(v, 50)) - _end(v), _end(v) - _min(_last(v, 50))
-    ),
-    "range_tail_50": lambda v: F.max(_last(v, 50)) - _min(_last(v, 50)),
+    return lambda v, at: F.coalesce(reduce(F.col(DX)), F.lit(0.0))
+
+
+# Aggregates of the value and a column that orders the samples.  Those named in
+# UNPLACED need no position, so they are computed without sorting the samples.
+BASE: dict[str, Callable[[Column, Column], Column]] = {
+    "x0": lambda v, at: F.min_by(v, at),
+    "x_end": lambda v, at: F.max_by(v, at),
+    "mean_all": lambda v, at: F.avg(v),
+    "std_all": lambda v, at: F.stddev_pop(v),
+    "peak": lambda v, at: F.max(v),
+    "trough": lambda v, at: _min(v),
+    "std_tail_50": lambda v, at: F.stddev_pop(_last(v, 50)),
+    "std_tail_150": lambda v, at: F.stddev_pop(_last(v, 150)),
+    "max_dev_tail_50": _max_dev,
+    "range_tail_50": lambda v, at: F.max(_last(v, 50)) - _min(_last(v, 50)),
     "ringing_energy": _ringing,
-    "ringing_sq": lambda v: _sum_squares(_tenth(v)),
+    "ringing_sq": lambda v, at: _sum_squares(_tenth(v)),
     "max_slope": _steps(F.max),
     "min_slope": _steps(_min),
-    "mean_last": lambda v: F.avg(_last(v, 10)),
-    "std_last": lambda v: F.stddev_pop(_last(v, 10)),
-    "mean_tenth": lambda v: F.avg(_tenth(v)),
-    "std_tenth": lambda v: F.stddev_pop(_tenth(v)),
-    "peak": F.max,
-    "trough": _min,
+    "mean_last": lambda v, at: F.avg(_last(v, 10)),
+    "std_last": lambda v, at: F.stddev_pop(_last(v, 10)),
+    "mean_tenth": lambda v, at: F.avg(_tenth(v)),
+    "std_tenth": lambda v, at: F.stddev_pop(_tenth(v)),
 }
+UNPLACED = {"x0", "x_end", "mean_all", "std_all", "peak", "trough"}
 
 DERIVED: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
     "settling_trend": (("std_tail_150", "std_tail_50"), ratio_eps),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from settlespark.functions.features import BASE, DERIVED, SETS, resolve
+from settlespark.functions.features import BASE, DERIVED, SETS, UNPLACED, resolve
 from settlespark.operators.settle import Names, Rule, wait_time, with_settle
 from settlespark.plans.skew import N, POS, Part
 from settlespark.signals import Signals
@@ -18,9 +18,9 @@ MIN_CURRENT = 10  # shorter waves have no current features
 MIN_CLASSIC = 5   # shorter waves are an error for the classic features
 
 
-def first_non_null(column: str) -> Column:
-    """Aggregate: the first non-missing value of a wave in sample order."""
-    return F.min_by(column, F.when(F.col(column).isNotNull(), F.col(POS)))
+def first_non_null(column: str, at: Column) -> Column:
+    """Aggregate: the non-missing value of a wave that comes first in the order of ``at``."""
+    return F.min_by(column, F.when(F.col(column).isNotNull(), at))
 
 
 def grouped_features(
@@ -33,8 +33,10 @@ def grouped_features(
 ) -> DataFrame:
     """Features of each wave, with its wait time by ``label`` and its ``meta`` columns.
 
-    Everything is computed from one exchange on the wave id.  Waves shorter than
-    ``min_length`` get null features, or fail the job with ``on_short="error"``;
+    Everything is computed from one exchange on the wave id.  Features that need
+    no position, and no label, are aggregated before it instead of sorted after
+    it.  Waves shorter than ``min_length`` get null features, or fail the job
+    with ``on_short="error"``;
     their label is kept.
     """
     names = list(SETS[features]) if isinstance(features, str) else list(features)
@@ -46,36 +48,45 @@ def grouped_features(
     base, derived = resolve([f for f in names if f != "settle_idx"])
     suffix = "settle_idx" in names
 
+    def aggregates(at: Column) -> dict[str, Column]:
+        value = F.col(sig.value)
+        return {name: BASE[name](value, at) for name in base} | {
+            name: first_non_null(name, at) for name in meta
+        }
+
     def row(p: Part) -> DataFrame:
         rules = ({"": label} if label else {}) | ({"_suffix": Rule("suffix")} if suffix else {})
         if rules:
             p = with_settle(p, rules)
-        aggregates = {N: F.first(N)}
+        own = {N: F.first(N)}
         if label:
-            aggregates["wait_time_ms"] = wait_time(p)
+            own["wait_time_ms"] = wait_time(p)
         if suffix:
-            aggregates["settle_idx"] = F.first(Names("_suffix").index).cast("int")
-        aggregates |= {name: BASE[name](p.value) for name in base}
-        aggregates |= {name: first_non_null(name) for name in meta}
-        table = p.collapse(**aggregates)
-        for name in derived:
-            needs, expression = DERIVED[name]
-            table = table.withColumn(name, expression(*[F.col(c) for c in needs]))
-        short = F.col(N) < min_length
-        if on_short == "error":
-            problem = F.raise_error(F.lit(f"Need at least {min_length} samples per wave"))
-            guard = {c: F.when(short, problem).otherwise(F.col(c)) for c in names}
-        else:
-            guard = {c: F.when(~short, F.col(c)) for c in names}
-        return table.withColumns(guard)
-
-    table = sig.per_part(row, *meta)
+            own["settle_idx"] = F.first(Names("_suffix").index).cast("int")
+        return p.collapse(**own, **aggregates(F.col(POS)))
+
+    if label or suffix or not UNPLACED.issuperset(base):
+        table = sig.per_part(row, *meta)
+    else:
+        figures = {N: F.count(F.lit(1))} | aggregates(F.struct(*sig.order))
+        table = sig.samples.groupBy(sig.id).agg(*[c.alias(k) for k, c in figures.items()])
+    for name in derived:
+        needs, expression = DERIVED[name]
+        table = table.withColumn(name, expression(*[F.col(c) for c in needs]))
+    short = F.col(N) < min_length
+    if on_short == "error":
+        problem = F.raise_error(F.lit(f"Need at least {min_length} samples per wave"))
+        guard = {c: F.when(short, problem).otherwise(F.col(c)) for c in names}
+    else:
+        guard = {c: F.when(~short, F.col(c)) for c in names}
+    table = table.withColumns(guard)
     return table.select(sig.id, *(["wait_time_ms"] if label else []), *names, *meta)
 
 
 def meta_table(sig: Signals, meta: Sequence[str]) -> DataFrame:
     """Per wave the first non-missing value of each meta column."""
-    return sig.per_part(lambda p: p.collapse(**{c: first_non_null(c) for c in meta}), *meta)
+    at = F.struct(*sig.order)
+    return sig.samples.groupBy(sig.id).agg(*[first_non_null(c, at).alias(c) for c in meta])
 
 
 def apply_per_wave(sig: Signals, fn, schema: str | StructType) -> DataFrame:

@@ -50,34 +50,38 @@ def hold_ok(
     use the columns of the table.
     """
     def mark(p: Part) -> DataFrame:
-        at = F.when(_out(sig, center, band), F.col(POS))
-        if p.hot:
-            next_out = _next_out(p, at)
-        else:
-            following = Window.partitionBy(sig.id).orderBy(POS).rowsBetween(0, m - 1)
-            next_out = p.df.withColumn("_next", F.min(at).over(following))
+        df = _next_out(p, F.when(_out(sig, center, band), F.col(POS)))
         clear = F.col("_next").isNull() | (F.col("_next") >= F.col(POS) + m)
         whole = F.col(POS) <= F.col(N) - m
-        return next_out.withColumn(name, F.when(whole, clear)).drop(POS, N, DX, "_next")
+        return df.withColumn(name, F.when(whole, clear)).drop(POS, N, DX, "_next")
     return sig.per_part(mark, *_carry(sig))
 
 
 def _next_out(p: Part, at: Column, block: int = 65_536) -> DataFrame:
-    """The first position at or after each sample with a non-null ``at``, by blocks.
+    """Add ``_next``, the first non-null ``at`` at or after each sample.
 
-    Inside a block a window looks ahead; when it finds nothing, the answer is
-    the first one of the following blocks (one row per block and wave).
+    Looking ahead is a running minimum in descending order, linear in the
+    samples.  Hot waves look ahead inside a block and, when that finds nothing,
+    take the first one of the following blocks (one row per block and wave).
     """
     id = p.sig.id
+    if not p.hot:
+        backwards = Window.partitionBy(id).orderBy(F.desc(POS))
+        return p.df.withColumn(
+            "_next", F.min(at).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+        )
     df = p.df.withColumns({"_at": at, "_block": F.expr(f"{POS} div {block}")})
-    ahead = Window.partitionBy(id, "_block").orderBy(POS).rowsBetween(0, Window.unboundedFollowing)
-    later = Window.partitionBy(id).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(id, "_block").orderBy(F.desc(POS))
+    later = Window.partitionBy(id).orderBy(F.desc("_block"))
     blocks = (
         df.groupBy(id, "_block").agg(F.min("_at").alias("_first"))
-        .select(id, "_block", F.min("_first").over(later).alias("_later"))
+        .select(
+            id, "_block",
+            F.min("_first").over(later.rowsBetween(Window.unboundedPreceding, -1)).alias("_later"),
+        )
     )
     return (
-        df.withColumn("_here", F.min("_at").over(ahead))
+        df.withColumn("_here", F.min("_at").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
         .join(blocks, [id, "_block"])
         .withColumn("_next", F.coalesce("_here", "_later"))
         .drop("_at", "_block", "_here", "_later")

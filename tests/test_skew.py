@@ -130,6 +130,19 @@ def test_features_and_label_need_one_exchange(spark, small):
     assert both.count("Exchange") == 1
 
 
+def test_features_without_position_are_not_sorted(spark):
+    waves = w.random_waves(30)
+    sig = Signals(spark.createDataFrame(w.frame(waves)), hot_rows=20)
+    df = grouped_features(sig, ["x0", "x_end", "mean_all", "std_all"], min_length=1)
+    text = plan(df)
+    assert "Window" not in text and "Join" not in text
+    assert text.count("Exchange") == 1 and "partial_" in text
+    for r in df.collect():
+        x = waves[r["wave_id"]]
+        assert np.allclose([r["x0"], r["x_end"], r["mean_all"], r["std_all"]],
+                           [x[0], x[-1], x.mean(), x.std()])
+
+
 def test_pushed_filter(spark, small):
     df = spark.read.parquet(f"{small}/embeddings.parquet").select(
         F.col("vec_id").alias("wave_id"), F.col("label").alias("sample"),
