@@ -23,7 +23,7 @@ d2 AS (
                (CASE WHEN l_linenumber % 2 = 0 THEN CAST(1 AS DOUBLE)
                      ELSE CAST(-1 AS DOUBLE) END)
                  * (l_extendedprice / CAST(1000 AS DOUBLE)) AS swing,
-               CAST(100 AS DOUBLE) / (CAST(100 AS DOUBLE) + time_ms) AS share
+               CAST('100.3' AS DOUBLE) / (CAST('100.3' AS DOUBLE) + time_ms) AS share
         FROM (SELECT *, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))
                              AS DOUBLE) AS time_ms FROM lineitem)))"""
 

@@ -44,7 +44,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("wave_id"), "time_ms",
         F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("part_key"), F.col("l_extendedprice").alias("price"),
-        (F.lit(LEVEL_PRICE) + swing * _decay(F.col("time_ms"), 100.0)).alias("value"),
+        (F.lit(LEVEL_PRICE) + swing * _decay(F.col("time_ms"), 100.3)).alias("value"),
         F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"),
     )
 
