@@ -29,7 +29,7 @@ MAX_STRIDE = 1 << 20  # keeps stride * row number inside 64 bits
 def default_candidates(seed: int = 0) -> dict[str, Estimator]:
     """Regressors to try, cheapest first."""
     return {
-        "linear": LinearRegression(solver="normal", regParam=0.0),
+        "linear": LinearRegression(regParam=0.0),
         "tree": DecisionTreeRegressor(maxDepth=8, seed=seed),
         "forest": RandomForestRegressor(numTrees=40, maxDepth=8, seed=seed),
         "boosted": GBTRegressor(maxIter=20, maxDepth=4, stepSize=0.1, seed=seed),

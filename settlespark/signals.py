@@ -22,7 +22,8 @@ class Signals:
     together with the id they must be unique.  ``missing`` is ``"propagate"``
     (a missing value makes the figures it touches NaN) or ``"skip"`` (missing
     samples are removed and positions close up).  Waves with more than
-    ``hot_rows`` samples are handled range by range, see ``plans.skew``.
+    ``hot_rows`` samples are handled range by range, see ``plans.skew``;
+    ``None`` states that every wave fits a task and saves the check.
     """
 
     def __init__(
@@ -33,7 +34,7 @@ class Signals:
         time: str = "time_ms",
         value: str = "value",
         missing: str = "propagate",
-        hot_rows: int = HOT_ROWS,
+        hot_rows: int | None = HOT_ROWS,
     ):
         if missing not in ("propagate", "skip"):
             raise ValueError(f"missing must be 'propagate' or 'skip', not {missing!r}")
@@ -66,6 +67,8 @@ class Signals:
 
     @cached_property
     def _hot(self) -> tuple[DataFrame | None, int, int]:
+        if self.hot_rows is None:
+            return None, 0, 0
         # counting the unfiltered table lets a file source answer from its footers
         total = self.df.count()
         if total <= self.hot_rows:
@@ -121,3 +124,29 @@ class Signals:
             few = per_wave.join(ids, self.id, "left_semi")
             joined = joined.unionByName(hot.join(bounded_broadcast(few, self.hot_count), self.id, how))
         return joined if condition is None else joined.filter(condition)
+
+    # The operators most used, as methods; all of them are functions of a Signals.
+
+    def features(self, features: str | Sequence[str] = "current", **options) -> DataFrame:
+        from settlespark.operators.features import grouped_features
+        return grouped_features(self, features, **options)
+
+    def settle(self, rule: str = "hold", **options) -> DataFrame:
+        from settlespark.operators.settle import Rule, settle
+        return settle(self, Rule(rule, **options))
+
+    def labels(self, rule: str = "hold", **options) -> DataFrame:
+        from settlespark.operators.settle import Rule, labels
+        return labels(self, Rule(rule, **options))
+
+    def wide(self, samples: Sequence[int] | None = None, **options) -> DataFrame:
+        from settlespark.operators.reshape import to_wide
+        return to_wide(self, samples, **options)
+
+    def array(self, **options) -> DataFrame:
+        from settlespark.operators.reshape import to_array
+        return to_array(self, **options)
+
+    def review(self, result: DataFrame, mode: str, order: str, **options) -> DataFrame:
+        from settlespark.operators.review import review_table
+        return review_table(self, result, mode, order, **options)

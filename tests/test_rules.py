@@ -160,6 +160,15 @@ def test_unknown_options_are_refused(spark):
         Signals(sig.df, value="force")
 
 
+def test_methods(spark):
+    sig = Signals(spark.createDataFrame(w.frame({1: _one_out(10)})), hot_rows=None)
+    assert sig.settle("exit").first()["settle_idx"] == 11
+    assert np.isclose(sig.labels(anchor="exit").first()["wait_time_ms"], 0.11)
+    assert sig.features(["x_end"]).first()["x_end"] == 1.0
+    assert len(sig.wide(range(N)).columns) == N + 1
+    assert len(sig.array().first()["values"]) == N
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_row_order_does_not_matter(spark, hot_rows, parts):
     waves = w.random_waves(30)
