@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
@@ -46,9 +47,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder, so partition numbers survive lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared folder and read it from there.
+
+    Partition numbers in it survive lost executors, and later passes read only
+    the columns they use.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
