@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from settlespark.functions.features import BASE, DERIVED, SETS, UNPLACED, resolve
 from settlespark.operators.settle import Names, Rule, wait_time, with_settle
-from settlespark.plans.skew import N, POS, Part
+from settlespark.plans.skew import N, POS, Part, order_key
 from settlespark.signals import Signals
 
 MIN_CURRENT = 10  # shorter waves have no current features
@@ -68,7 +68,7 @@ def grouped_features(
     if label or suffix or not UNPLACED.issuperset(base):
         table = sig.per_part(row, *meta)
     else:
-        figures = {N: F.count(F.lit(1))} | aggregates(F.struct(*sig.order))
+        figures = {N: F.count(F.lit(1))} | aggregates(order_key(sig.order))
         table = sig.samples.groupBy(sig.id).agg(*[c.alias(k) for k, c in figures.items()])
     for name in derived:
         needs, expression = DERIVED[name]
@@ -85,7 +85,7 @@ def grouped_features(
 
 def meta_table(sig: Signals, meta: Sequence[str]) -> DataFrame:
     """Per wave the first non-missing value of each meta column."""
-    at = F.struct(*sig.order)
+    at = order_key(sig.order)
     return sig.samples.groupBy(sig.id).agg(*[first_non_null(c, at).alias(c) for c in meta])
 
 

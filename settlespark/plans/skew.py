@@ -62,6 +62,11 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_IDS else df
 
 
+def order_key(order: list[str]) -> Column:
+    """One column that orders the samples; a plain one keeps aggregation hash-based."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def range_count(df: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return min(MAX_RANGES, max(shuffles, math.ceil(rows / rows_per_range)))
@@ -186,12 +191,11 @@ def hot_positions(sig: Signals, df: DataFrame, total: int) -> Part:
     ranged = df.repartitionByRange(ranges, sig.id, *sig.order)
     ranged = freeze(ranged.withColumn(SEG, F.spark_partition_id()))
     local = Window.partitionBy(sig.id, SEG).orderBy(*sig.order)
-    key = F.struct(*sig.order)
     in_wave = Window.partitionBy(sig.id).orderBy(SEG)
     # One row per (wave, range): at most ranges + number of hot waves.
     offsets = (
         ranged.groupBy(sig.id, SEG)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.max_by(sig.value, key).alias("_last"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.max_by(sig.value, order_key(sig.order)).alias("_last"))
         .select(
             sig.id, SEG,
             F.coalesce(
@@ -201,8 +205,9 @@ def hot_positions(sig: Signals, df: DataFrame, total: int) -> Part:
             F.lag("_last").over(in_wave).alias("_before"),
         )
     )
+    # ranges of range numbers spread the rows evenly; hashing few ranges would not
     numbered = (
-        ranged.withColumns({
+        ranged.repartitionByRange(ranges, SEG).withColumns({
             "_local": F.row_number().over(local) - 1,
             "_prev": F.lag(sig.value).over(local),
         })
