@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +35,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from settlespark.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from settlespark.llm.wavelet import token_files
+
+    return token_files(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
