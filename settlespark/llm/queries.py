@@ -43,3 +43,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return token_files(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query("op7_pack_sequences")
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from settlespark.llm.packing import pack_sequences
+
+    return pack_sequences(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
