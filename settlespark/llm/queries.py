@@ -82,3 +82,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(
         rows.unionByName(forged), public_tokenizers.path("byte_bpe_50k.json")).drop("n_tokens")
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from settlespark.llm.token_counts import token_counts
+
+    return token_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        fields=("source", "lang", "text"))
