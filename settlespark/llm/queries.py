@@ -91,3 +91,44 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
         fields=("source", "lang", "text"))
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int, flags: str = "") -> str:
+    """DuckDB: positions of the matches as the running lengths of matches and gaps."""
+    pattern, flag = pattern.replace("'", "''"), f", '{flags}'" if flags else ""
+    every = f"(?{flags}){pattern}" if flags else pattern
+    return f"""
+        SELECT doc_id, '{kind}' AS kind, {rank} AS rank, before + sum(gap + size) OVER w - size AS s,
+               before + sum(gap + size) OVER w AS e, held
+        FROM (SELECT doc_id, i, 0 AS before, length(gaps[i]) AS gap, length(found[i]) AS size,
+                     length(parts[i]) AS held
+              FROM (SELECT doc_id, regexp_extract_all(body, '{pattern}', 0{flag}) AS found,
+                           regexp_extract_all(body, '{pattern}', {group}{flag}) AS parts,
+                           regexp_split_to_array(body, '{every}') AS gaps FROM d) AS x,
+                   unnest(range(1, len(found) + 1)) AS u(i)) AS y
+        WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+        QUALIFY held >= {least}"""
+
+
+def _secrets_sql() -> str:
+    from settlespark.llm.secrets import BASE, MORE
+
+    parts = [
+        _spans_sql(r.kind, k, r.pattern.removeprefix("(?i)"), r.group, r.least,
+                   "i" if r.pattern.startswith("(?i)") else "")
+        for k, r in enumerate(BASE + MORE)]
+    listed = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank){}, '')"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+        f AS ({' UNION ALL '.join(parts)})
+        SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
+               count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+               sha256({listed.format(' FILTER (rank < 3)')}) AS base_sha256, {listed.format('')} AS spans
+        FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""
+
+
+@query("op4_secret_scan", _secrets_sql())
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from settlespark.llm.secrets import secret_counts
+
+    return secret_counts(table(spark, sf_dir, "documents"))
