@@ -20,20 +20,65 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Chunks of a tokenizer that drops white space, and of one whose tokens may begin with it.
 BARE, SPACED = f"[^{SPACE}]+", f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 CACHED_CHUNKS = 400_000
+CACHED_PIECES = 600_000
 
+# Chunks of these characters and without a control string are cut into pieces here;
+# all others are left to the tokenizer.  The letters are those up to U+024F, where
+# neither normalisation nor the rules of a script change anything.
+LETTERS = "a-zA-ZÀ-ÖØ-öø-ɏ"
+PLAIN = re.compile(f"[!-~{LETTERS}]+")
+# Fixed value: the split pattern of the tokenizer, for such characters in lower case.
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+JOINED = 2_000
 
-class _Chunks(dict):
-    """Number of each chunk seen; new ones are queued."""
+
+class _Numbers(dict):
+    """Number of each key seen; new ones are queued."""
 
     def __init__(self):
         self.new: list = []
 
-    def __missing__(self, chunk):
-        self.new.append(chunk)
-        self[chunk] = number = len(self)
+    def __missing__(self, key):
+        self.new.append(key)
+        self[key] = number = len(self)
         return number
 
 
+class _Store:
+    """Token ids of numbered strings, put together on demand."""
+
+    def __init__(self, offsets: bool = False):
+        self.numbers, self.used = _Numbers(), 0
+        self.begin = np.zeros(1024, np.int64)
+        self.count = np.zeros(1024, np.int64)
+        self.ids = np.zeros(4096, np.uint32)
+        self.offsets = np.zeros((4096, 2), np.int32) if offsets else None
+
+    def queued(self) -> tuple[int, list]:
+        """The first number and the strings that have no ids yet."""
+        new, self.numbers.new = self.numbers.new, []
+        return len(self.numbers) - len(new), new
+
+    def put(self, where: np.ndarray, count: np.ndarray, ids: np.ndarray, offsets=None) -> None:
+        size, total = len(self.numbers), self.used + len(ids)
+        self.begin, self.count = _room(self.begin, size), _room(self.count, size)
+        self.ids = _room(self.ids, total)
+        self.begin[where] = self.used + np.cumsum(count) - count
+        self.count[where] = count
+        self.ids[self.used:total] = ids
+        if offsets is not None:
+            self.offsets = _room(self.offsets, total)
+            self.offsets[self.used:total] = offsets
+        self.used = total
+
+    def places(self, where: np.ndarray) -> np.ndarray:
+        """Positions in the store of all tokens of the numbered strings."""
+        count = self.count[where]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        return np.arange(total) + np.repeat(self.begin[where] - (ends - count), count)
+
+
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
@@ -48,81 +93,100 @@ def _tokenizer(path: str):
 
 
 class ChunkEncoder:
-    """Encodes texts with a memory of at most ``limit`` chunks (and those of one call)."""
+    """Encodes texts with a memory of at most ``limit`` chunks (and those of one call).
 
-    def __init__(self, path: str, spaced: bool = False, limit: int = CACHED_CHUNKS):
-        self.tokenizer, self.spaced, self.limit = _tokenizer(path), spaced, limit
-        self.pattern = re.compile(SPACED if spaced else BARE)
-        self._clear()
+    With a tokenizer that drops white space, chunks are cut further into the pieces
+    that it merges within, since "word", "Word," and "word." share one.
+    """
 
-    def _clear(self) -> None:
-        self.chunks, self.used = _Chunks(), 0
-        self.begin = np.zeros(1024, np.int64)
-        self.count = np.zeros(1024, np.int64)
-        self.ids = np.zeros(4096, np.uint32)
-        self.offsets = np.zeros((4096 if self.spaced else 0, 2), np.int32)
+    def __init__(
+        self, path: str, spaced: bool = False, limit: int = CACHED_CHUNKS, pieces: int = CACHED_PIECES
+    ):
+        self.tokenizer, self.spaced = _tokenizer(path), spaced
+        self.limit, self.piece_limit = limit, pieces
+        self.pattern = re.compile(SPACED if spaced else BARE)
+        self.chunks, self.pieces = _Store(spaced), _Store()
+        vocabulary = {} if spaced else self.tokenizer.get_vocab()
+        # whether a token ends a piece
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _learn(self) -> None:
-        new, self.chunks.new = self.chunks.new, []
+        first, new = self.chunks.queued()
         if not new:
             return
-        first = len(self.chunks) - len(new)
         texts = [c.decode() for c in new] if isinstance(new[0], bytes) else new
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(count.sum())
-        self.begin = _room(self.begin, len(self.chunks))
-        self.count = _room(self.count, len(self.chunks))
-        self.ids = _room(self.ids, self.used + total)
-        self.count[first:len(self.chunks)] = count
-        self.begin[first:len(self.chunks)] = self.used + np.cumsum(count) - count
-        self.ids[self.used:self.used + total] = np.fromiter(
-            (i for x in ids for i in x), np.uint32, total)
-        if self.spaced:
-            self.offsets = _room(self.offsets, self.used + total)
-            self.offsets[self.used:self.used + total] = np.array(
-                [o for e in found for o in e.offsets], np.int32).reshape(-1, 2)
-        self.used += total
-
-    def _split(self, text):
-        # white space beyond ASCII is multi-byte in UTF-8, so bytes.split() may leave
-        # longer chunks; those are encoded as they stand
-        return text.split() if isinstance(text, bytes) else self.pattern.findall(text)
+        whole, cut, cuts = [], [], []
+        for number, text in enumerate(texts, first):
+            lower = text.lower() if not self.spaced and PLAIN.fullmatch(text) else ""
+            # lower case may leave the plain characters
+            if lower and "<|" not in lower and PLAIN.fullmatch(lower):
+                cut.append(number)
+                cuts.append(PIECE.findall(lower))
+            else:
+                whole.append(number)
+        if cut:
+            self._learn_cut(np.array(cut), cuts)
+        if whole:
+            found = self.tokenizer.encode_batch([texts[n - first] for n in whole], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            self.chunks.put(
+                np.array(whole), np.fromiter(map(len, ids), np.int64, len(ids)), _flat(ids),
+                np.array([o for e in found for o in e.offsets], np.int32).reshape(-1, 2) if self.spaced else None)
+
+    def _learn_cut(self, numbers: np.ndarray, cuts: list[list[str]]) -> None:
+        if len(self.pieces.numbers) > self.piece_limit:
+            self.pieces = _Store()
+        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        where = np.fromiter(
+            (self.pieces.numbers[p] for c in cuts for p in c), np.int64, int(sizes.sum()))
+        first, new = self.pieces.queued()
+        for start in range(0, len(new), JOINED):
+            joined = new[start:start + JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join(joined), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(joined):
+                raise ValueError("the tokenizer splits a piece")
+            self.pieces.put(
+                np.arange(first + start, first + start + len(joined)),
+                np.diff(ends, prepend=0), ids)
+        ends = np.cumsum(sizes)
+        tokens = np.concatenate(([0], np.cumsum(self.pieces.count[where])))
+        self.chunks.put(
+            numbers, tokens[ends] - tokens[ends - sizes], self.pieces.ids[self.pieces.places(where)])
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (str, or UTF-8 bytes if white space is dropped),
         and the number of ids of each text."""
         where, sizes, _ = self._look_up(texts)
-        ends = np.concatenate(([0], np.cumsum(self.count[where])))
-        per_text = ends[np.cumsum(sizes)] - ends[np.cumsum(sizes) - sizes]
-        return self.ids[self._places(where)], per_text
+        tokens = np.concatenate(([0], np.cumsum(self.chunks.count[where])))
+        ends = np.cumsum(sizes)
+        return self.chunks.ids[self.chunks.places(where)], tokens[ends] - tokens[ends - sizes]
 
     def encode_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of one text and the (start, end) code points of each."""
         where, _, pieces = self._look_up([text])
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         starts = np.cumsum(lengths) - lengths
-        places = self._places(where)
-        shift = np.repeat(starts, self.count[where])
-        return self.ids[places], self.offsets[places] + shift[:, None]
+        places = self.chunks.places(where)
+        shift = np.repeat(starts, self.chunks.count[where])
+        return self.chunks.ids[places], self.chunks.offsets[places] + shift[:, None]
 
     def _look_up(self, texts: list):
-        if len(self.chunks) > self.limit:
-            self._clear()
-        split = [self._split(t) for t in texts]
+        if len(self.chunks.numbers) > self.limit:
+            self.chunks = _Store(self.spaced)
+        # bytes.split() knows the white space of ASCII only; what it leaves together
+        # is encoded as it stands
+        split = [t.split() if isinstance(t, bytes) else self.pattern.findall(t) for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         pieces = split[0] if len(split) == 1 else [c for s in split for c in s]
-        where = np.fromiter(map(self.chunks.__getitem__, pieces), np.int64, len(pieces))
+        where = np.fromiter(map(self.chunks.numbers.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
         return where, sizes, pieces
 
-    def _places(self, where: np.ndarray) -> np.ndarray:
-        """Positions in the store of all tokens of the chunks."""
-        count = self.count[where]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        return np.arange(total) + np.repeat(self.begin[where] - (ends - count), count)
+
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter((i for x in lists for i in x), np.uint32, sum(map(len, lists)))
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
