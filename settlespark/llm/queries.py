@@ -132,3 +132,29 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from settlespark.llm.secrets import secret_counts
 
     return secret_counts(table(spark, sf_dir, "documents"))
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op3_contamination", rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '{_WORD}') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, '{_WORD}') AS ws FROM benchmark),
+    w AS (SELECT DISTINCT item_id, least(len(ws), 13) AS size,
+                 array_to_string(list_slice(ws, i + 1, i + 13), ' ') AS body
+          FROM b, unnest(range(0, greatest(len(ws) - 13, 0) + 1)) AS u(i) WHERE len(ws) > 0),
+    g AS (SELECT doc_id, i, size, array_to_string(list_slice(ws, i + 1, i + size), ' ') AS body
+          FROM d, (SELECT DISTINCT size FROM w) AS s, unnest(range(0, len(ws) - size + 1)) AS u(i)),
+    o AS (SELECT DISTINCT doc_id, i, size, item_id FROM g JOIN w USING (size, body)),
+    hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM o, unnest(range(0, size)) AS v(j) GROUP BY doc_id),
+    its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) AS x GROUP BY doc_id)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from settlespark.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
