@@ -158,3 +158,37 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from settlespark.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _licenses_sql() -> str:
+    from settlespark.llm.licenses import TEMPLATES, THRESHOLD
+
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES)
+    cut = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    return rf"""
+        WITH t AS (SELECT DISTINCT license, {cut.format('body')} AS w FROM (VALUES {rows}) AS v(license, body)),
+        tb AS (SELECT license, w AS template, len(w) - 1 AS b, w[i] || ' ' || w[i + 1] AS pair, count(*) AS n
+               FROM t, unnest(range(1, len(w))) AS u(i) GROUP BY ALL),
+        units AS (SELECT doc_id, unnest(list_distinct(list_concat(
+                      string_split(coalesce(text, ''), chr(10)),
+                      regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n')))) AS unit FROM documents),
+        uw AS (SELECT doc_id, unit, {cut.format('unit')} AS w FROM units),
+        up AS (SELECT doc_id, unit, len(w) - 1 AS a, w[i] || ' ' || w[i + 1] AS pair, count(*) AS n
+               FROM uw, unnest(range(1, len(w))) AS u(i) 
+               WHERE len(w) <= 2 + (SELECT max(b) FROM tb) * (2 - {THRESHOLD}) / {THRESHOLD} GROUP BY ALL),
+        m AS (SELECT doc_id, unit, license, template, 2 * sum(least(up.n, tb.n)) / (a + b) AS dice
+              FROM up JOIN tb USING (pair) GROUP BY doc_id, unit, a, license, template, b
+              HAVING 2 * sum(least(up.n, tb.n)) / (a + b) >= {THRESHOLD}),
+        best AS (SELECT doc_id, max(dice) AS dice, arg_min(license, (-dice, license)) AS license,
+                        count(DISTINCT unit) AS n_units, list_sort(list(DISTINCT license)) AS licenses
+                 FROM m GROUP BY doc_id)
+        SELECT d.doc_id, license, dice, coalesce(n_units, 0) AS n_units,
+               coalesce(licenses, []::VARCHAR[]) AS licenses
+        FROM documents AS d LEFT JOIN best ON d.doc_id = best.doc_id"""
+
+
+@query("op10_license_scan", _licenses_sql())
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from settlespark.llm.licenses import scan_licenses, templates
+
+    return scan_licenses(table(spark, sf_dir, "documents"), templates(spark))
