@@ -192,3 +192,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from settlespark.llm.licenses import scan_licenses, templates
 
     return scan_licenses(table(spark, sf_dir, "documents"), templates(spark))
+
+
+@query("op9_near_dedup", rf"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i + 1, i + 5), ' ') AS sh
+          FROM d, unnest(range(0, greatest(len(ws) - 4, 1))) AS u(i) WHERE len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+          FROM s AS x JOIN s AS y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n AS na ON a = na.doc_id JOIN n AS nb ON b = nb.doc_id
+          WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
+    r(a, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON r.a = l.a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id,
+           doc_id = coalesce(root, doc_id) AS kept
+    FROM d LEFT JOIN n USING (doc_id)
+    LEFT JOIN (SELECT a AS doc_id, min(root) AS root FROM r GROUP BY a) AS m USING (doc_id)""")
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from settlespark.llm.near_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
