@@ -1,10 +1,12 @@
-"""Token ids of whole texts, given by the tokenizers library once per distinct chunk.
+"""Token ids of whole texts, given by the tokenizers library once per distinct part.
 
 Both tokenizers in use split a text at white space before they merge, and no
 merge, normalisation or split pattern looks across such a border.  The ids of a
-text are therefore those of its chunks put together, and a chunk met before need
-not be encoded again.  ``tests/llm/test_encoding.py`` compares the result with
-that of the library on whole texts.
+text are therefore those of its parts put together, and a part met before need not
+be encoded again.  Where white space is dropped, texts of common characters are cut
+on into the pieces that the tokenizer merges within, so that "word", "Word," and
+"word." share one.  ``tests/llm/test_encoding.py`` compares the result with that of
+the library on whole texts.
 """
 
 from __future__ import annotations
@@ -19,16 +21,15 @@ import numpy as np
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Chunks of a tokenizer that drops white space, and of one whose tokens may begin with it.
 BARE, SPACED = f"[^{SPACE}]+", f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
-CACHED_CHUNKS = 400_000
-CACHED_PIECES = 600_000
-
-# Chunks of these characters and without a control string are cut into pieces here;
-# all others are left to the tokenizer.  The letters are those up to U+024F, where
-# neither normalisation nor the rules of a script change anything.
-LETTERS = "a-zA-ZÀ-ÖØ-öø-ɏ"
-PLAIN = re.compile(f"[!-~{LETTERS}]+")
+CACHED_PARTS = 800_000
+
+# Texts of these characters and without a control string are cut into pieces here; all
+# others into chunks.  The letters are those of Latin-1 and Latin Extended-A that keep
+# within this set in lower case; normalisation leaves them as they are.
+LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ſ"
+PLAIN = re.compile(f"[ -~\t-\r{LETTERS}]*")
 # Fixed value: the split pattern of the tokenizer, for such characters in lower case.
-PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+PIECE = re.compile(f"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{LETTERS}0-9 \t-\r]+")
 JOINED = 2_000
 
 
@@ -92,101 +93,81 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-class ChunkEncoder:
-    """Encodes texts with a memory of at most ``limit`` chunks (and those of one call).
+class PartEncoder:
+    """Encodes texts with a memory of at most ``limit`` parts (and those of one call).
 
-    With a tokenizer that drops white space, chunks are cut further into the pieces
-    that it merges within, since "word", "Word," and "word." share one.
+    ``spaced``: tokens may begin with white space, and offsets are kept.
     """
 
-    def __init__(
-        self, path: str, spaced: bool = False, limit: int = CACHED_CHUNKS, pieces: int = CACHED_PIECES
-    ):
-        self.tokenizer, self.spaced = _tokenizer(path), spaced
-        self.limit, self.piece_limit = limit, pieces
+    def __init__(self, path: str, spaced: bool = False, limit: int = CACHED_PARTS):
+        self.tokenizer, self.spaced, self.limit = _tokenizer(path), spaced, limit
         self.pattern = re.compile(SPACED if spaced else BARE)
-        self.chunks, self.pieces = _Store(spaced), _Store()
+        self.store = _Store(spaced)
         vocabulary = {} if spaced else self.tokenizer.get_vocab()
         # whether a token ends a piece
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _learn(self) -> None:
-        first, new = self.chunks.queued()
-        if not new:
-            return
-        texts = [c.decode() for c in new] if isinstance(new[0], bytes) else new
-        whole, cut, cuts = [], [], []
-        for number, text in enumerate(texts, first):
-            lower = text.lower() if not self.spaced and PLAIN.fullmatch(text) else ""
-            # lower case may leave the plain characters
-            if lower and "<|" not in lower and PLAIN.fullmatch(lower):
-                cut.append(number)
-                cuts.append(PIECE.findall(lower))
-            else:
-                whole.append(number)
-        if cut:
-            self._learn_cut(np.array(cut), cuts)
-        if whole:
-            found = self.tokenizer.encode_batch([texts[n - first] for n in whole], add_special_tokens=False)
-            ids = [e.ids for e in found]
-            self.chunks.put(
-                np.array(whole), np.fromiter(map(len, ids), np.int64, len(ids)), _flat(ids),
+    def _learn_chunks(self) -> None:
+        first, new = self.store.queued()
+        if new:
+            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
+            count = np.fromiter((len(e.ids) for e in found), np.int64, len(new))
+            ids = np.fromiter((i for e in found for i in e.ids), np.uint32, int(count.sum()))
+            self.store.put(
+                np.arange(first, first + len(new)), count, ids,
                 np.array([o for e in found for o in e.offsets], np.int32).reshape(-1, 2) if self.spaced else None)
 
-    def _learn_cut(self, numbers: np.ndarray, cuts: list[list[str]]) -> None:
-        if len(self.pieces.numbers) > self.piece_limit:
-            self.pieces = _Store()
-        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        where = np.fromiter(
-            (self.pieces.numbers[p] for c in cuts for p in c), np.int64, int(sizes.sum()))
-        first, new = self.pieces.queued()
+    def _learn_pieces(self) -> None:
+        """Many pieces in one call: each ends with the token that closes a word."""
+        first, new = self.store.queued()
         for start in range(0, len(new), JOINED):
             joined = new[start:start + JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(joined), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast(
+                [" ".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(joined):
                 raise ValueError("the tokenizer splits a piece")
-            self.pieces.put(
-                np.arange(first + start, first + start + len(joined)),
-                np.diff(ends, prepend=0), ids)
-        ends = np.cumsum(sizes)
-        tokens = np.concatenate(([0], np.cumsum(self.pieces.count[where])))
-        self.chunks.put(
-            numbers, tokens[ends] - tokens[ends - sizes], self.pieces.ids[self.pieces.places(where)])
+            self.store.put(
+                np.arange(first + start, first + start + len(joined)), np.diff(ends, prepend=0), ids)
+
+    def _look_up(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.store.numbers.__getitem__, parts), np.int64, len(parts))
+
+    def _forget(self) -> None:
+        if len(self.store.numbers) > self.limit:
+            self.store = _Store(self.spaced)
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row (str, or UTF-8 bytes if white space is dropped),
-        and the number of ids of each text."""
-        where, sizes, _ = self._look_up(texts)
-        tokens = np.concatenate(([0], np.cumsum(self.chunks.count[where])))
+        """Ids of all texts (str or UTF-8 bytes) in a row, and the number of ids of each."""
+        self._forget()
+        texts = [t.decode() if isinstance(t, bytes) else t for t in texts]
+        plain = [not self.spaced and PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        where: list = [None] * len(texts)
+        for number, text in enumerate(texts):
+            if plain[number]:
+                where[number] = self._look_up(PIECE.findall(text.lower()))
+        self._learn_pieces()
+        for number, text in enumerate(texts):
+            if not plain[number]:
+                where[number] = self._look_up(self.pattern.findall(text))
+        self._learn_chunks()
+        sizes = np.fromiter(map(len, where), np.int64, len(where))
+        parts = np.concatenate(where) if where else np.zeros(0, np.int64)
+        tokens = np.concatenate(([0], np.cumsum(self.store.count[parts])))
         ends = np.cumsum(sizes)
-        return self.chunks.ids[self.chunks.places(where)], tokens[ends] - tokens[ends - sizes]
+        return self.store.ids[self.store.places(parts)], tokens[ends] - tokens[ends - sizes]
 
     def encode_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of one text and the (start, end) code points of each."""
-        where, _, pieces = self._look_up([text])
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        starts = np.cumsum(lengths) - lengths
-        places = self.chunks.places(where)
-        shift = np.repeat(starts, self.chunks.count[where])
-        return self.chunks.ids[places], self.chunks.offsets[places] + shift[:, None]
-
-    def _look_up(self, texts: list):
-        if len(self.chunks.numbers) > self.limit:
-            self.chunks = _Store(self.spaced)
-        # bytes.split() knows the white space of ASCII only; what it leaves together
-        # is encoded as it stands
-        split = [t.split() if isinstance(t, bytes) else self.pattern.findall(t) for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        pieces = split[0] if len(split) == 1 else [c for s in split for c in s]
-        where = np.fromiter(map(self.chunks.numbers.__getitem__, pieces), np.int64, len(pieces))
-        self._learn()
-        return where, sizes, pieces
-
-
-def _flat(lists: list[list[int]]) -> np.ndarray:
-    return np.fromiter((i for x in lists for i in x), np.uint32, sum(map(len, lists)))
+        self._forget()
+        chunks = self.pattern.findall(text)
+        where = self._look_up(chunks)
+        self._learn_chunks()
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        places = self.store.places(where)
+        shift = np.repeat(np.cumsum(lengths) - lengths, self.store.count[where])
+        return self.store.ids[places], self.store.offsets[places] + shift[:, None]
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -198,6 +179,6 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaced: bool = False) -> ChunkEncoder:
+def encoder(path: str, spaced: bool = False) -> PartEncoder:
     """One encoder per Python worker and tokenizer, kept from task to task."""
-    return ChunkEncoder(path, spaced)
+    return PartEncoder(path, spaced)

@@ -3,7 +3,7 @@ import random
 import public_tokenizers
 import pytest
 
-from settlespark.llm.encoding import ChunkEncoder, _tokenizer
+from settlespark.llm.encoding import PLAIN, PartEncoder, _tokenizer
 
 PIECES = ["the", "Hello", "it's", "'ll", "naïve", "é", "́", "É", "ß", "Σ", "ς", "12", "1", "!!", "$$$", "<|endoftext|>",
           "<|startoftext|>", "漢字", "😀", "👩‍👩‍👧", "\x1c", "\x00", "​", " ", "\xa0", "\x85", "　", " ", "\t", "\n",
@@ -14,14 +14,18 @@ def texts():
     rng = random.Random(3)
     made = ["".join(rng.choice(PIECES) + rng.choice(["", "", " "]) for _ in range(rng.randrange(40)))
             for _ in range(1500)]
-    return ["", " ", "\n", "a", " a ", "x" * 5000] + made
+    plain = [p for p in PIECES if PLAIN.fullmatch(p) and "<|" not in p]
+    made += ["".join(rng.choice(plain) + rng.choice(["", "", " "]) for _ in range(rng.randrange(40)))
+             for _ in range(1500)]
+    letters = "".join(chr(c) for c in range(0x250) if PLAIN.fullmatch(chr(c)))
+    return ["", " ", "\n", "a", " a ", "x" * 5000, letters, " ".join(letters), *letters] + made
 
 
 @pytest.mark.parametrize("as_bytes", [False, True])
 def test_ids_equal_those_of_whole_texts(as_bytes):
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = [e.ids for e in _tokenizer(path).encode_batch(texts(), add_special_tokens=False)]
-    small = ChunkEncoder(path, limit=50, pieces=40)
+    small = PartEncoder(path, limit=50)
     for start in range(0, len(whole), 100):
         part = texts()[start:start + 100]
         ids, sizes = small.encode([t.encode() for t in part] if as_bytes else part)
@@ -33,7 +37,7 @@ def test_ids_equal_those_of_whole_texts(as_bytes):
 
 def test_offsets_equal_those_of_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tokenizer, small = _tokenizer(path), ChunkEncoder(path, spaced=True, limit=50)
+    tokenizer, small = _tokenizer(path), PartEncoder(path, spaced=True, limit=50)
     for text in texts():
         e = tokenizer.encode(text, add_special_tokens=False)
         ids, offsets = small.encode_offsets(text)
