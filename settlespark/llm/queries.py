@@ -213,3 +213,17 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from settlespark.llm.near_dedup import near_groups
 
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from settlespark.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
