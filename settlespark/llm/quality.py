@@ -267,7 +267,7 @@ def fit_quality(df: DataFrame, id: str = "doc_id", text: str = "text", sample_ro
         F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).select("text")
     learned = map_batches(sample.repartition(1), _train, T.StructType(
         [T.StructField("weights", T.ArrayType(T.DoubleType()))]), posterior)
-    return model, posterior, np.array(learned.first().weights)
+    return model, posterior, np.array(learned.collect()[0].weights)
 
 
 def _scored(df: DataFrame, id: str, text: str, sample_rows: int) -> DataFrame:
