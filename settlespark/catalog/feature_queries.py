@@ -94,6 +94,15 @@ def _(spark, sf):
     return rounded(fe.meta_table(sig, ["quantity", "flag"]))
 
 
+@query("e11_first_present_skips_nan", f"""
+WITH {sql.D2P} SELECT wave_id, {sql.r("min_by(quantity, pos) FILTER (flag <> 'N')", 'quantity')}
+FROM p GROUP BY wave_id""")
+def _(spark, sf):
+    quantity = F.when(F.col("flag") == "N", F.lit(float("nan"))).otherwise(F.col("quantity").cast("double"))
+    sig = Signals(t.prices(spark, sf).withColumn("quantity", quantity), order=t.PRICE_ORDER)
+    return rounded(fe.meta_table(sig, ["quantity"]))
+
+
 @query("e12_count_waves", f"""
 WITH {sql.PRICES} SELECT count(DISTINCT wave_id) AS n_waves, count(*) AS n_rows FROM d2""")
 def _(spark, sf):
@@ -202,6 +211,16 @@ def _(spark, sf):
     return rounded(df.select("wave_id", "order_key", "line_no", "part_key", "pos", "n"))
 
 
+@query("h1_with_position_keeps_null", f"""
+WITH {sql.D2P}
+SELECT wave_id, order_key, line_no, part_key, pos,
+       {sql.r("CASE WHEN flag <> 'N' THEN value END", 'value')} FROM p""")
+def _(spark, sf):
+    rows = t.prices(spark, sf).withColumn("value", F.when(F.col("flag") != "N", F.col("value")))
+    df = seq.with_position(Signals(rows, order=t.PRICE_ORDER))
+    return rounded(df.select("wave_id", "order_key", "line_no", "part_key", "pos", "value"))
+
+
 @query("h1_with_position_hot_waves", f"""
 WITH {sql.D2P} SELECT wave_id, order_key, line_no, part_key, pos, n FROM p""")
 def _(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from settlespark.catalog import sql
@@ -37,10 +38,54 @@ def _training(spark, sf):
     return grouped_features(t.price_signals(spark, sf), label=Rule())
 
 
-@query("m1_train_regressor")
+# Waves held out by arithmetic, so that SQL can name them.
+HELD = "wave_id % 5 = 0"
+_FITTED = f"""{sql.SUPPLIER_LINE},
+fit AS (SELECT regr_slope(wait_time_ms, x) AS a, regr_intercept(wait_time_ms, x) AS b,
+               avg(wait_time_ms) AS m FROM d7 WHERE NOT {HELD})"""
+
+
+def _trained(table, **options):
+    """Least squares, and least squares shrunk to the mean, compared on held-out waves."""
+    candidates = {
+        "flat": LinearRegression(regParam=1e12, solver="normal"),
+        "linear": LinearRegression(regParam=0.0, solver="normal"),
+    }
+    return mo.train_regressor(
+        table, candidates=candidates, time_limit=None, held=F.expr(HELD), **options)
+
+
+@query("m1_train_regressor", f"""
+WITH {_FITTED},
+errors AS (SELECT avg(abs(a * x + b - wait_time_ms)) AS linear, avg(abs(m - wait_time_ms)) AS flat
+           FROM d7, fit WHERE {HELD})
+SELECT wave_id, {sql.r('wait_time_ms', 'wait_time_ms')}, {sql.r('x', 'x')},
+       {sql.r('CASE WHEN linear <= flat THEN a * x + b ELSE m END', 'pred_wait_time_ms')}
+FROM d7, fit, errors""")
+def _(spark, sf):
+    table = t.supplier_line(spark, sf)
+    trained = _trained(table)
+    return rounded(mo.score(table, trained.model, trained.features))
+
+
+@query("m1_train_on_mixed_columns", f"""
+WITH {_FITTED}
+SELECT wave_id, {sql.r('wait_time_ms', 'wait_time_ms')}, s_name, {sql.r('x', 'x')},
+       {sql.r('a * x + b', 'pred_wait_time_ms')}
+FROM fit, d7 JOIN supplier ON s_suppkey = wave_id""")
+def _(spark, sf):
+    """A text column is no feature, and stays in the scored table."""
+    names = t.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("wave_id"), "s_name")
+    table = t.supplier_line(spark, sf).join(names, "wave_id")
+    trained = mo.train_regressor(
+        table, candidates={"linear": LinearRegression(solver="normal")}, held=F.expr(HELD))
+    return rounded(mo.score(table, trained.model, trained.features))
+
+
+@query("m1_train_tree_models")
 def _(spark, sf):
     table = _training(spark, sf)
-    trained = mo.train_regressor(table)
+    trained = mo.train_regressor(table, time_limit=None)
     return rounded(mo.score(table, trained.model, trained.features))
 
 
@@ -61,55 +106,85 @@ def _(spark, sf):
     return rounded(mo.short_predictions(_line_scores(spark, sf)))
 
 
-def _quick(*names):
-    return {k: v for k, v in mo.default_candidates().items() if k in names}
+_SCORES = f"""{_FITTED},
+board AS (
+  SELECT 'linear' AS model, -avg(abs(a * x + b - wait_time_ms)) AS score_val FROM d7, fit WHERE {HELD}
+  UNION ALL SELECT 'flat', -avg(abs(m - wait_time_ms)) FROM d7, fit WHERE {HELD})"""
 
 
-@query("m3_leaderboard")
+@query("m3_leaderboard", f"""
+WITH {_SCORES} SELECT model, {sql.r('score_val', 'score_val')}, TRUE AS held_out FROM board""")
 def _(spark, sf):
-    trained = mo.train_regressor(_training(spark, sf), candidates=_quick("linear", "tree", "forest"))
-    return mo.leaderboard(spark, trained)
+    board = mo.leaderboard(spark, _trained(t.supplier_line(spark, sf)))
+    return rounded(board.drop("pred_time_val", "fit_time"))
 
 
 REPEATS = 5
+_P_VALUE = """0.5 - CAST('0.375' AS DOUBLE) * (t / sqrt(1 + t * t / 4))
+              * (1 - t * t / (12 * (1 + t * t / 4)))"""
+
+
+def _importance_stats(source: str) -> str:
+    """Mean, spread, one-sided p-value and 99 % interval of five repeats per feature."""
+    return f"""
+tested AS (SELECT *, importance / (stddev / sqrt(CAST(5 AS DOUBLE))) AS t,
+                  CAST('4.604094871415897' AS DOUBLE) * stddev / sqrt(CAST(5 AS DOUBLE)) AS half
+           FROM {source}),
+imp AS (
+  SELECT feature, {sql.r('importance', 'importance')}, {sql.r('stddev', 'stddev')},
+         {sql.r(_P_VALUE, 'p_value')}, CAST(5 AS BIGINT) AS n,
+         {sql.r('importance + half', 'p99_high')}, {sql.r('importance - half', 'p99_low')}
+  FROM tested)"""
 
 
-@query("m4_permutation_importance", f"""
-WITH {_SCORED},
-ordered AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(wave_id AS VARCHAR)), wave_id) - 1 AS i,
-                   count(*) OVER () AS m FROM scored),
-starts AS (SELECT k, m, greatest(1, CAST(floor(m * ((CAST('0.6180339887498949' AS DOUBLE) * (k + 1))
-             - floor(CAST('0.6180339887498949' AS DOUBLE) * (k + 1)))) AS BIGINT)) AS s0
-           FROM (SELECT max(m) AS m FROM ordered), range({REPEATS}) AS ks(k)),
-strides AS (SELECT k, m, s0, min(s) AS stride
-            FROM starts, range(1, 2000000) AS ss(s)
-            WHERE s >= s0 AND s < s0 + 1000 AND gcd(s, m) = 1 GROUP BY k, m, s0),
-moved AS (
-  SELECT st.k, abs(line.a * donor.x + line.b - o.wait_time_ms) AS err
-  FROM ordered o, strides st, line, ordered donor
-  WHERE donor.i = (o.i * st.stride + st.m * (st.k + 1) // {REPEATS + 1}) % st.m),
-rises AS (SELECT k, avg(err) - (SELECT avg(abs_error_ms) FROM errors) AS rise
-          FROM moved GROUP BY k),
-summary AS (SELECT avg(rise) AS importance, stddev_samp(rise) AS stddev FROM rises),
-tested AS (SELECT *, importance / (stddev / sqrt(CAST(5 AS DOUBLE))) AS t FROM summary)
-SELECT 'x' AS feature, {sql.r('importance', 'importance')}, {sql.r('stddev', 'stddev')},
-       {sql.r('''0.5 - CAST('0.375' AS DOUBLE) * (t / sqrt(1 + t * t / 4))
-              * (1 - t * t / (12 * (1 + t * t / 4)))''', 'p_value')},
-       CAST(5 AS BIGINT) AS n,
-       {sql.r("importance + CAST('4.604094871415897' AS DOUBLE) * stddev / sqrt(CAST(5 AS DOUBLE))", 'p99_high')},
-       {sql.r("importance - CAST('4.604094871415897' AS DOUBLE) * stddev / sqrt(CAST(5 AS DOUBLE))", 'p99_low')}
-FROM tested""")
+def _plane(spark, sf):
+    """Regression table with two features: mean quantity and mean discount."""
+    more = t.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("wave_id")).agg(
+        (F.avg("l_discount") * 100).alias("z"))
+    return t.supplier_line(spark, sf).join(more, "wave_id")
+
+
+# Least squares with two features by the normal equations, and a random order of the
+# waves per repeat.
+_SHUFFLED = f"""{sql.SUPPLIER_LINE},
+plane AS (SELECT d7.*, z FROM d7 JOIN (SELECT l_suppkey AS wave_id, avg(l_discount) * 100 AS z
+                                       FROM lineitem GROUP BY 1) USING (wave_id)),
+sums AS (SELECT covar_pop(x, wait_time_ms) AS xy, covar_pop(z, wait_time_ms) AS zy, covar_pop(x, z) AS xz,
+                var_pop(x) AS xx, var_pop(z) AS zz, avg(x) AS mx, avg(z) AS mz, avg(wait_time_ms) AS my
+         FROM plane),
+model AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a,
+                 (zy * xx - xy * xz) / (xx * zz - xz * xz) AS c, mx, mz, my FROM sums),
+base AS (SELECT wave_id, x, z, wait_time_ms,
+                abs(my + a * (x - mx) + c * (z - mz) - wait_time_ms) AS e,
+                row_number() OVER (ORDER BY wave_id) AS place FROM plane, model),
+donor AS (SELECT k, x, z, row_number() OVER (
+            PARTITION BY k ORDER BY md5(wave_id::VARCHAR || ':' || k::VARCHAR), wave_id) AS place
+          FROM plane, range({REPEATS}) AS ks(k)),
+rises AS (
+  SELECT f.feature, k, avg(abs(my + a * (CASE WHEN feature = 'x' THEN d.x ELSE b.x END - mx)
+           + c * (CASE WHEN feature = 'z' THEN d.z ELSE b.z END - mz) - wait_time_ms) - e) AS rise
+  FROM base b JOIN donor d USING (place), model, (VALUES ('x'), ('z')) AS f(feature)
+  GROUP BY f.feature, k),
+summary AS (SELECT feature, avg(rise) AS importance, stddev_samp(rise) AS stddev
+            FROM rises GROUP BY feature),
+{_importance_stats('summary')}"""
+
+
+@query("m4_permutation_importance", f"WITH {_SHUFFLED} SELECT * FROM imp")
 def _(spark, sf):
-    table = t.supplier_line(spark, sf)
-    model, _ = mo.fit_line(table, "x")
-    key = F.md5(F.col("wave_id").cast("string"))
-    return rounded(mo.permutation_importance(table, model, ["x"], repeats=REPEATS, key=key))
+    table = _plane(spark, sf)
+    model = mo.fit_linear(table, ["x", "z"])
+
+    def key(repeat):
+        return F.md5(F.concat_ws(":", F.col("wave_id").cast("string"), repeat.cast("string")))
+    return rounded(mo.permutation_importance(table, model, ["x", "z"], repeats=REPEATS, key=key))
 
 
 @query("m4_feature_importance")
 def _(spark, sf):
     table = _training(spark, sf)
-    trained = mo.train_regressor(table, candidates=_quick("tree"))
+    tree = {"tree": mo.default_candidates()["tree"]}
+    trained = mo.train_regressor(table, candidates=tree)
     return rounded(mo.permutation_importance(table, trained.model, trained.features))
 
 
@@ -127,16 +202,7 @@ _IMPORTANCES = f"""
 away AS (SELECT l_suppkey AS feature, l_discount - CAST('0.05' AS DOUBLE) AS d FROM lineitem),
 base AS (SELECT feature, avg(d) AS importance, stddev_samp(d) / CAST(20 AS DOUBLE) AS stddev
          FROM away GROUP BY feature),
-tested AS (SELECT *, importance / (stddev / sqrt(CAST(5 AS DOUBLE))) AS t,
-                  CAST('4.604094871415897' AS DOUBLE) * stddev / sqrt(CAST(5 AS DOUBLE)) AS half
-           FROM base),
-imp AS (
-  SELECT feature, {sql.r('importance', 'importance')}, {sql.r('stddev', 'stddev')},
-         {sql.r('''0.5 - CAST('0.375' AS DOUBLE) * (t / sqrt(1 + t * t / 4))
-                * (1 - t * t / (12 * (1 + t * t / 4)))''', 'p_value')},
-         CAST(5 AS BIGINT) AS n, {sql.r('importance + half', 'p99_high')},
-         {sql.r('importance - half', 'p99_low')}
-  FROM tested)"""
+{_importance_stats('base')}"""
 
 
 @query("m4b_importance_stats", f"WITH {_IMPORTANCES} SELECT * FROM imp")
@@ -151,10 +217,12 @@ def _(spark, sf):
     return rounded(mo.top_importances(_importances(spark, sf)))
 
 
-@query("l3_top_models")
+@query("l3_top_models", f"""
+WITH {_SCORES} SELECT model, {sql.r('score_val', 'score_val')}, TRUE AS held_out FROM board
+ORDER BY board.score_val DESC LIMIT 1""")
 def _(spark, sf):
-    trained = mo.train_regressor(_training(spark, sf), candidates=_quick("linear", "tree"))
-    return mo.leaderboard(spark, trained, top=1)
+    board = mo.leaderboard(spark, _trained(t.supplier_line(spark, sf)), top=1)
+    return rounded(board.drop("pred_time_val", "fit_time"))
 
 
 @query("p9_residual_columns", f"""

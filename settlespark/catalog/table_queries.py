@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from settlespark.catalog import sql
 from settlespark.catalog.registry import query, rounded
-from settlespark.functions.features import CURRENT
+from settlespark.functions.features import CLASSIC, CURRENT
+from settlespark.functions.scalar import box_muller
 from settlespark.operators import joins as jo
 from settlespark.operators import perturb as pe
 from settlespark.operators import project as pr
@@ -17,14 +18,12 @@ from settlespark.operators import reshape as rs
 from settlespark.operators.features import grouped_features, meta_table
 from settlespark.operators.sequence import with_position
 from settlespark.operators.settle import Rule, labels
+from settlespark.plans.flows import classic_features_of_wide
 from settlespark.plans.skew import checkpoint_dir
 from settlespark.signals import Signals
 from settlespark.sources import io
 from settlespark.sources import tables as t
 
-WIDTH = 64     # dimensions of an embedding
-RAGGED = 110   # above the longest event wave
-
 
 def _folder(spark, name):
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -63,6 +62,21 @@ def _(spark, sf):
     return rounded(io.read_signals(spark, path))
 
 
+@query("s1_read_signals_csv_scoring", f"""
+WITH {sql.EMBEDDINGS}
+SELECT wave_id, sample, {sql.r('time_ms', 'time')}, {sql.r('value', 'value')},
+       CAST(-1 AS DOUBLE) AS low_limit, CAST(1 AS DOUBLE) AS high_limit
+FROM d1""")
+def _(spark, sf):
+    path = _folder(spark, "scoring") + ".csv"
+    rows = t.embeddings(spark, sf).select(
+        "wave_id", F.col("sample").cast("int").alias("sample"), F.col("time_ms").alias("time"),
+        "value", F.lit(-1.0).alias("low_limit"), F.lit(1.0).alias("high_limit"),
+    )
+    io.write_table(rows, path, format="csv")
+    return rounded(io.read_signals(spark, path))
+
+
 @query("s2_write_table", _TRAIN)
 def _(spark, sf):
     path = _folder(spark, "train")
@@ -81,13 +95,13 @@ def _(spark, sf):
 
 @query("s4_run_outputs", f"""
 WITH {sql.D2P}, {sql.settle('exit')}
-SELECT wave_id, {sql.r('wait_time_ms', 'wait_time_ms')}, '20251226_160234' AS run_id FROM s""")
+SELECT wave_id, {sql.r('wait_time_ms', 'wait_time_ms')}, '20240102_090000' AS run_id FROM s""")
 def _(spark, sf):
     path = _folder(spark, "labels")
     sig = t.price_signals(spark, sf)
-    io.write_run(labels(sig), path, "20251226_143500")
-    io.write_run(labels(sig, Rule("exit")), path, "20251226_160234")
-    return rounded(io.read_run(spark, path, "20251226_160234"))
+    io.write_run(labels(sig), path, "20240101_090000")
+    io.write_run(labels(sig, Rule("exit")), path, "20240102_090000")
+    return rounded(io.read_run(spark, path, "20240102_090000"))
 
 
 _ROLES = f"""
@@ -104,6 +118,17 @@ def _(spark, sf):
     return rounded(pr.normalize_roles(df))
 
 
+@query("s5a_normalize_roles_keeps_columns", f"""
+WITH {sql.EVENTS}
+SELECT wave_id, {sql.r('time_ms', 'time')}, {sql.r('value', 'value')},
+       {sql.r('amount', 'value_other')} FROM d3""")
+def _(spark, sf):
+    df = t.events(spark, sf).select(
+        "wave_id", "time_ms", F.col("value").alias("current"), F.col("amount").alias("value"),
+    )
+    return rounded(pr.normalize_roles(df))
+
+
 @query("s5b_normalize_roles_preferred", _ROLES)
 def _(spark, sf):
     df = t.events(spark, sf).select(
@@ -142,28 +167,36 @@ def _(spark, sf):
     return rounded(pr.front_columns(df, "wave_id", "wait_time_ms"))
 
 
+# Wide tables are compared in long form, so that no query has a width.
+
 def _wide(spark, sf, **options):
-    return rs.to_wide(Signals(t.embeddings(spark, sf)), range(WIDTH), **options)
+    return rs.to_wide(Signals(t.embeddings(spark, sf)), **options)
+
 
+def _unpivoted(wide, **options):
+    """The samples of a wide table as rows, beside its other columns."""
+    return rs.to_long(wide, **options).join(rs.non_series_columns(wide), "wave_id")
 
-def _series(width: int, fill: str | None = None) -> str:
-    """Rounded i_<k> columns from p by position."""
-    def column(k):
-        value = f"max(value) FILTER (pos = {k})"
-        return sql.r(f"coalesce({value}, CAST({fill} AS DOUBLE))" if fill else value, f"i_{k}")
-    return ", ".join(column(k) for k in range(width))
+
+_LONG = f"SELECT wave_id, sample, {sql.r('value', 'value')} FROM d1"
+_LONG_P = f"SELECT wave_id, pos AS sample, {sql.r('value', 'value')} FROM p"
+# every wave with every sample number that occurs
+_FILLED = """
+filled AS (SELECT w.wave_id, s.pos AS sample, coalesce(p.value, CAST(0 AS DOUBLE)) AS value
+           FROM (SELECT DISTINCT wave_id FROM p) AS w CROSS JOIN (SELECT DISTINCT pos FROM p) AS s
+           LEFT JOIN p ON p.wave_id = w.wave_id AND p.pos = s.pos)"""
 
 
 @query("p4_non_series_columns", "SELECT vec_id AS wave_id, CAST(label AS BIGINT) AS label FROM embeddings")
 def _(spark, sf):
     sig = Signals(t.embeddings(spark, sf))
-    return rounded(rs.non_series_columns(rs.wide_with_meta(sig, range(WIDTH), label="none")))
+    return rounded(rs.non_series_columns(rs.wide_with_meta(sig, label="none")))
 
 
 @query("p5_fill_series_zero", f"""
-WITH {sql.D3P} SELECT wave_id, {_series(RAGGED, '0')} FROM p GROUP BY wave_id""")
+WITH {sql.D3P}, {_FILLED} SELECT wave_id, sample, {sql.r('value', 'value')} FROM filled""")
 def _(spark, sf):
-    return rounded(rs.fill_series(_ragged_wide(spark, sf)))
+    return rounded(_unpivoted(rs.fill_series(_ragged_wide(spark, sf))))
 
 
 def _ragged(spark, sf, **columns):
@@ -173,7 +206,7 @@ def _ragged(spark, sf, **columns):
 
 
 def _ragged_wide(spark, sf):
-    return rs.to_wide(_ragged(spark, sf), range(RAGGED))
+    return rs.to_wide(_ragged(spark, sf))
 
 
 _GAPS = f"""
@@ -202,24 +235,26 @@ def _(spark, sf):
     return rounded(grouped_features(Signals(_gaps(spark, sf), missing="skip")))
 
 
-@query("p12_rename_series", f"""
-WITH {sql.D1P} SELECT wave_id, {_series(WIDTH)} FROM p GROUP BY wave_id""")
+@query("p12_rename_series", f"WITH {sql.EMBEDDINGS} {_LONG}")
 def _(spark, sf):
-    return rounded(rs.to_wide(Signals(t.embeddings(spark, sf)), on_duplicate="max"))
+    return rounded(_unpivoted(_wide(spark, sf, on_duplicate="max")))
 
 
 # --- reshape -----------------------------------------------------------------
 
-@query("r1_to_wide", f"""
-WITH {sql.D1P} SELECT wave_id, {_series(WIDTH)} FROM p GROUP BY wave_id""")
+@query("r1_to_wide", f"WITH {sql.EMBEDDINGS} {_LONG}")
+def _(spark, sf):
+    return rounded(_unpivoted(_wide(spark, sf)))
+
+
+@query("r1_to_wide_ragged", f"WITH {sql.D3P} {_LONG_P}")
 def _(spark, sf):
-    return rounded(_wide(spark, sf))
+    return rounded(_unpivoted(_ragged_wide(spark, sf)))
 
 
-@query("r1_to_wide_ragged", f"""
-WITH {sql.D3P} SELECT wave_id, {_series(RAGGED)} FROM p GROUP BY wave_id""")
+@query("r1_to_wide_selected", f"WITH {sql.D3P} {_LONG_P} WHERE pos IN (0, 3, 60)")
 def _(spark, sf):
-    return rounded(_ragged_wide(spark, sf))
+    return rounded(_unpivoted(rs.to_wide(_ragged(spark, sf), [0, 3, 60], select=True)))
 
 
 @query("r1b_duplicate_samples", """
@@ -258,56 +293,61 @@ def _(spark, sf):
     return _text(rs.to_array(Signals(t.embeddings(spark, sf)), chunk=20))
 
 
-@query("r3_to_long", f"""
-WITH {sql.EMBEDDINGS} SELECT wave_id, sample, {sql.r('value', 'value')} FROM d1""")
+@query("r3_to_long", f"WITH {sql.EMBEDDINGS} {_LONG}")
 def _(spark, sf):
     return rounded(rs.to_long(_wide(spark, sf)))
 
 
-@query("r3_to_long_ragged", f"""
-WITH {sql.D3P} SELECT wave_id, pos AS sample, {sql.r('value', 'value')} FROM p""")
+@query("r3_to_long_ragged", f"WITH {sql.D3P} {_LONG_P}")
 def _(spark, sf):
     return rounded(rs.to_long(_ragged_wide(spark, sf)))
 
 
 @query("r4_wide_plus_features", f"""
-WITH {sql.D3P}
-SELECT wave_id, {_series(RAGGED, '0')}, min_by(kind, pos) AS kind, {sql.features(CURRENT)}
-FROM p GROUP BY wave_id""")
+WITH {sql.D3P}, {_FILLED},
+f AS (SELECT wave_id, min_by(kind, pos) AS kind, {sql.features(CURRENT)} FROM p GROUP BY wave_id)
+SELECT sample, {sql.r('value', 'value')}, f.* FROM filled JOIN f USING (wave_id)""")
 def _(spark, sf):
     sig = _ragged(spark, sf)
     sig = sig.replace(sig.df.drop("event_id", "amount"))
-    return rounded(rs.wide_plus_features(sig, range(RAGGED)))
+    return rounded(_unpivoted(rs.wide_plus_features(sig)))
+
+
+@query("r4_classic_features_of_wide", f"""
+WITH {sql.D3P}, {sql.settle('suffix')},
+f AS (SELECT wave_id, {sql.features(tuple(c for c in CLASSIC if c != 'settle_idx'))}
+      FROM p GROUP BY wave_id)
+SELECT f.*, CAST(settle_idx AS BIGINT) AS settle_idx FROM f JOIN s USING (wave_id)""")
+def _(spark, sf):
+    return rounded(classic_features_of_wide(_ragged_wide(spark, sf)))
 
 
 @query("x4_wide_with_label", f"""
-WITH {sql.D1P}
-SELECT wave_id, {_series(WIDTH)}, CAST(min_by(label, pos) AS BIGINT) AS wait_time_ms
-FROM p GROUP BY wave_id""")
+WITH {sql.EMBEDDINGS}
+SELECT wave_id, sample, {sql.r('value', 'value')}, CAST(label AS BIGINT) AS wait_time_ms FROM d1""")
 def _(spark, sf):
     sig = Signals(t.embeddings(spark, sf).withColumnRenamed("label", "wait_time_ms"))
-    return rounded(rs.wide_with_meta(sig, range(WIDTH)))
+    return rounded(_unpivoted(rs.wide_with_meta(sig)))
 
 
 @query("x5_wide_with_time_meta", f"""
 WITH {sql.D3P}
-SELECT wave_id, {_series(RAGGED)}, {sql.r('min_by(time_ms, pos)', 'time_ms')}
-FROM p GROUP BY wave_id""")
+SELECT wave_id, pos AS sample, {sql.r('value', 'value')},
+       {sql.r('min(time_ms) OVER (PARTITION BY wave_id)', 'time_ms')} FROM p""")
 def _(spark, sf):
     sig = _ragged(spark, sf)
     sig = sig.replace(sig.df.drop("event_id", "amount", "kind"))
-    return rounded(rs.wide_with_meta(sig, range(RAGGED), exclude=()))
+    return rounded(_unpivoted(rs.wide_with_meta(sig, exclude=())))
 
 
 # --- joins -------------------------------------------------------------------
 
 @query("j1_attach_meta", f"""
-WITH {sql.D1P}
-SELECT wave_id, {_series(WIDTH)}, CAST(min_by(label, pos) AS BIGINT) AS label
-FROM p GROUP BY wave_id""")
+WITH {sql.EMBEDDINGS}
+SELECT wave_id, sample, {sql.r('value', 'value')}, CAST(label AS BIGINT) AS label FROM d1""")
 def _(spark, sf):
     sig = Signals(t.embeddings(spark, sf))
-    return rounded(rs.attach_meta(_wide(spark, sf), meta_table(sig, ["label"])))
+    return rounded(_unpivoted(rs.attach_meta(_wide(spark, sf), meta_table(sig, ["label"]))))
 
 
 @query("j2_append_features", f"""
@@ -358,9 +398,12 @@ def _(spark, sf):
     return pe.sample_ids(t.prices(spark, sf), 10, 42, key=F.expr(_key("wave_id")))
 
 
-@query("a1_sample_ids_hashed")
+@query("a1_sample_ids_hashed", """
+SELECT wave_id FROM (SELECT DISTINCT l_suppkey AS wave_id FROM lineitem)
+ORDER BY md5(wave_id::VARCHAR || ':42'), wave_id LIMIT 10""")
 def _(spark, sf):
-    return pe.sample_ids(t.prices(spark, sf), 10, 42)
+    key = F.md5(F.concat(F.col("wave_id").cast("string"), F.lit(":42")))
+    return pe.sample_ids(t.prices(spark, sf), 10, 42, key=key)
 
 
 @query("a2_disjoint_groups", f"""
@@ -406,9 +449,23 @@ def _(spark, sf):
     return rounded(df.select("wave_id", "event_id", "value"))
 
 
-@query("a5_add_noise")
+# The numbers for the noise come from the event id by arithmetic, so that SQL has them too.
+_UNIT = "CAST((event_id * {0} + {1}) % {2} AS DOUBLE) / CAST({2} AS DOUBLE)"
+_NOISY = (
+    "value + CAST('0.5' AS DOUBLE) * (sqrt(CAST(-2 AS DOUBLE) * ln(CAST(1 AS DOUBLE) - a))"
+    f" * cos(CAST('{2 * math.pi!r}' AS DOUBLE) * b))"
+)
+
+
+@query("a5_add_noise", f"""
+WITH {sql.EVENTS},
+u AS (SELECT *, {_UNIT.format(7919, 1, 10007)} AS a, {_UNIT.format(104729, 2, 10009)} AS b FROM d3)
+SELECT wave_id, event_id, {sql.r(_NOISY, 'value')} FROM u""")
 def _(spark, sf):
-    df = pe.add_noise(t.event_signals(spark, sf), 0.5, seed=7)
+    def unit(a: int, b: int, c: int):
+        return F.pmod(F.col("event_id") * a + b, F.lit(c)).cast("double") / F.lit(float(c))
+    normal = box_muller(unit(7919, 1, 10007), unit(104729, 2, 10009))
+    df = pe.add_noise(t.event_signals(spark, sf), 0.5, seed=7, normal=normal)
     return rounded(df.select("wave_id", "event_id", "value"))
 
 

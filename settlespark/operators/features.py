@@ -7,9 +7,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from settlespark.functions.features import BASE, DERIVED, SETS, UNPLACED, resolve
+from settlespark.functions.scalar import is_missing
 from settlespark.operators.settle import Names, Rule, wait_time, with_settle
 from settlespark.plans.skew import N, POS, Part, order_key
 from settlespark.signals import Signals
@@ -18,9 +19,13 @@ MIN_CURRENT = 10  # shorter waves have no current features
 MIN_CLASSIC = 5   # shorter waves are an error for the classic features
 
 
-def first_non_null(column: str, at: Column) -> Column:
-    """Aggregate: the non-missing value of a wave that comes first in the order of ``at``."""
-    return F.min_by(column, F.when(F.col(column).isNotNull(), at))
+def first_present(df: DataFrame, column: str, at: Column) -> Column:
+    """Aggregate: the value of a wave that comes first in the order of ``at``, of those
+    that are neither null nor NaN."""
+    kind = df.schema[column].dataType
+    x = F.col(column)
+    absent = is_missing(x) if isinstance(kind, (DoubleType, FloatType)) else x.isNull()
+    return F.min_by(column, F.when(~absent, at))
 
 
 def grouped_features(
@@ -51,7 +56,7 @@ def grouped_features(
     def aggregates(at: Column) -> dict[str, Column]:
         value = F.col(sig.value)
         return {name: BASE[name](value, at) for name in base} | {
-            name: first_non_null(name, at) for name in meta
+            name: first_present(sig.df, name, at) for name in meta
         }
 
     def row(p: Part) -> DataFrame:
@@ -75,7 +80,7 @@ def grouped_features(
         table = table.withColumn(name, expression(*[F.col(c) for c in needs]))
     short = F.col(N) < min_length
     if on_short == "error":
-        problem = F.raise_error(F.lit(f"Need at least {min_length} samples per wave"))
+        problem = F.raise_error(F.lit(f"a wave is shorter than the {min_length} samples that its features need"))
         guard = {c: F.when(short, problem).otherwise(F.col(c)) for c in names}
     else:
         guard = {c: F.when(~short, F.col(c)) for c in names}
@@ -86,7 +91,7 @@ def grouped_features(
 def meta_table(sig: Signals, meta: Sequence[str]) -> DataFrame:
     """Per wave the first non-missing value of each meta column."""
     at = order_key(sig.order)
-    return sig.samples.groupBy(sig.id).agg(*[first_non_null(c, at).alias(c) for c in meta])
+    return sig.samples.groupBy(sig.id).agg(*[first_present(sig.df, c, at).alias(c) for c in meta])
 
 
 def apply_per_wave(sig: Signals, fn, schema: str | StructType) -> DataFrame:

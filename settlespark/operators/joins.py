@@ -15,13 +15,15 @@ def lookup_table(result: DataFrame, value: str, order: str, id: str = "wave_id")
 
 def lookup_result(sig: Signals, result: DataFrame, value: str, order: str) -> DataFrame:
     """Samples with the result of their wave; waves without one keep a null."""
-    return sig.join_waves(lookup_table(result, value, order, sig.id))
+    table = lookup_table(result, value, order, sig.id)
+    return sig.with_own(sig.keeping_own().join_waves(table))
 
 
 def after_settle(sig: Signals, result: DataFrame, value: str, order: str) -> DataFrame:
     """Samples at or after the result time of their wave."""
     table = lookup_table(result, value, order, sig.id)
-    return sig.join_waves(table, "inner", F.col(sig.time) >= F.col(value))
+    late = F.col(sig.time) >= F.col(value)
+    return sig.with_own(sig.keeping_own().join_waves(table, "inner", late))
 
 
 def distinct_ids(df: DataFrame, id: str = "wave_id") -> DataFrame:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -14,16 +13,16 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 from pyspark.storagelevel import StorageLevel
 
 from settlespark.functions.stats import importance_stats
 from settlespark.operators.project import drop_unlabelled, feature_columns, front_columns
-from settlespark.plans.skew import number_rows
+from settlespark.plans.skew import freeze, number_rows
 
 LABEL, PRED = "wait_time_ms", "pred_wait_time_ms"
 VECTOR = "_features"
 FILLED = "_filled_"
-MAX_STRIDE = 1 << 20  # keeps stride * row number inside 64 bits
 
 
 def default_candidates(seed: int = 0) -> dict[str, Estimator]:
@@ -46,6 +45,8 @@ class Trained:
     id: str
     best: str
     scores: list[tuple[str, float, float, float]] = field(default_factory=list)
+    held_out: bool = True
+    skipped: list[str] = field(default_factory=list)
 
 
 def _pipeline(features: Sequence[str], label: str, estimator: Estimator) -> Pipeline:
@@ -63,11 +64,17 @@ def _numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
+def held_out(holdout: float = 0.2, seed: int = 0, id: str = "wave_id") -> Column:
+    """Whether a wave is held out of training; depends on its id and the seed only."""
+    return F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(10_000)) < int(round(holdout * 10_000))
+
+
 def split_waves(
-    df: DataFrame, holdout: float = 0.2, seed: int = 0, id: str = "wave_id"
+    df: DataFrame, holdout: float = 0.2, seed: int = 0, id: str = "wave_id",
+    held: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows; a wave's side depends on its id and the seed only."""
-    held = F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(10_000)) < int(round(holdout * 10_000))
+    """Training and validation rows; ``held`` replaces the rule of :func:`held_out`."""
+    held = held_out(holdout, seed, id) if held is None else held
     return df.filter(~held), df.filter(held)
 
 
@@ -75,31 +82,38 @@ def train_regressor(
     df: DataFrame,
     label: str = LABEL,
     candidates: dict[str, Estimator] | None = None,
-    time_limit: float = 60.0,
+    time_limit: float | None = 60.0,
     features: Sequence[str] | None = None,
     id: str = "wave_id",
     holdout: float = 0.2,
     seed: int = 0,
+    held: Column | None = None,
 ) -> Trained:
     """Fit candidates in order until ``time_limit`` seconds are used; keep the best.
 
     Candidates are compared by the mean absolute error on held-out waves, not
-    on the rows they were fitted to.  The first candidate is always fitted.
+    on the rows they were fitted to; ``holdout=0`` asks for a comparison on the
+    training rows, and ``held_out`` of the result tells which it was.  Without
+    ``features``, all numeric and boolean columns are taken and others left out.  The
+    first candidate is always fitted, those left when the time is used are listed as
+    ``skipped``; ``time_limit=None`` fits all.
     """
-    features = list(features or feature_columns(df, label, id=id))
+    features = list(features or numeric_features(df, label, id))
     candidates = candidates or default_candidates(seed)
     table = _numeric(drop_unlabelled(df, label), [*features, label])
     table = table.select(id, label, *features).persist(StorageLevel.MEMORY_AND_DISK)
-    training, validation = split_waves(table, holdout, seed, id)
-    if validation.isEmpty():
-        validation = training
+    apart = holdout > 0 or held is not None
+    training, validation = split_waves(table, holdout, seed, id, held) if apart else (table, table)
     models: dict[str, PipelineModel] = {}
-    scores = []
+    scores, skipped = [], []
     started = time.monotonic()
     try:
+        if validation.isEmpty():
+            raise ValueError("no labelled wave is held out; give more waves, or holdout=0")
         for name, estimator in candidates.items():
-            if models and time.monotonic() - started > time_limit:
-                break
+            if models and time_limit is not None and time.monotonic() - started > time_limit:
+                skipped.append(name)
+                continue
             begin = time.monotonic()
             models[name] = _pipeline(features, label, estimator).fit(training)
             fitted = time.monotonic()
@@ -110,14 +124,19 @@ def train_regressor(
         table.unpersist()
     scores.sort(key=lambda s: -s[1])
     best = scores[0][0]
-    return Trained(models[best], features, label, id, best, scores)
+    return Trained(models[best], features, label, id, best, scores, apart, skipped)
 
 
 def leaderboard(spark: SparkSession, trained: Trained, top: int | None = None) -> DataFrame:
-    """One row per candidate, best first; ``score_val`` is the negative error."""
-    rows = trained.scores[:top]
-    columns = "model string, score_val double, pred_time_val double, fit_time double"
-    return spark.createDataFrame(rows, columns)
+    """One row per candidate, best first; ``score_val`` is the negative error.
+
+    ``held_out`` says whether it was measured on waves kept out of training.
+    Candidates that the time limit left out follow without a score.
+    """
+    rows = [(*s, trained.held_out) for s in trained.scores]
+    rows += [(name, None, None, None, trained.held_out) for name in trained.skipped]
+    columns = "model string, score_val double, pred_time_val double, fit_time double, held_out boolean"
+    return spark.createDataFrame(rows[:top], columns)
 
 
 def score(
@@ -183,29 +202,30 @@ def train_with_predictions(
     return diagnosis_report(scored, label, id).drop("abs_error_ms")
 
 
+def numeric_features(df: DataFrame, label: str = LABEL, id: str = "wave_id") -> list[str]:
+    """The columns a model can use as they are: numeric and boolean ones."""
+    usable = {f.name for f in df.schema.fields if isinstance(f.dataType, (NumericType, BooleanType))}
+    return [c for c in feature_columns(df, label, id=id) if c in usable]
+
+
+def fit_linear(
+    df: DataFrame, features: Sequence[str], y: str = LABEL, id: str = "wave_id"
+) -> PipelineModel:
+    """Least squares of some features."""
+    table = _numeric(drop_unlabelled(df, y), [*features, y]).select(id, *features, y)
+    return _pipeline(features, y, LinearRegression(solver="normal", regParam=0.0)).fit(table)
+
+
 def fit_line(
     df: DataFrame, x: str, y: str = LABEL, id: str = "wave_id"
 ) -> tuple[PipelineModel, DataFrame]:
     """Least squares of one feature: the model, and its slope and intercept as a row."""
-    table = _numeric(drop_unlabelled(df, y), [x, y]).select(id, x, y)
-    model = _pipeline([x], y, LinearRegression(solver="normal", regParam=0.0)).fit(table)
+    model = fit_linear(df, [x], y, id)
     line = model.stages[-1]
     row = [(float(line.coefficients[0]), float(line.intercept))]
     return model, df.sparkSession.createDataFrame(row, "slope double, intercept double")
 
 
-def _strides(rows: int, repeats: int) -> list[tuple[int, int]]:
-    """Per repeat a stride coprime to the number of rows and an offset."""
-    chosen = []
-    for r in range(repeats):
-        golden = 0.6180339887498949 * (r + 1)
-        stride = min(MAX_STRIDE, max(1, int(rows * (golden % 1))))
-        while math.gcd(stride, rows) != 1:
-            stride += 1
-        chosen.append((stride, rows * (r + 1) // (repeats + 1)))
-    return chosen
-
-
 def permutation_importance(
     df: DataFrame,
     model: PipelineModel,
@@ -214,38 +234,36 @@ def permutation_importance(
     repeats: int = 5,
     seed: int = 0,
     id: str = "wave_id",
-    key: Column | None = None,
+    key: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Per feature the mean rise of the absolute error when its values are shuffled.
 
-    Rows are numbered once in a keyed random order.  A repeat sends row i to
-    ``(stride * i + offset) mod rows``, a permutation of the numbers, so each
-    one costs an equi-join instead of another sort.  ``key`` replaces the hash
-    that gives the random order.
+    Each repeat has a random order of its own, of hashes of id, seed and repeat; the row
+    at a place in the order of ids gets the values of the row at that place in the random
+    order.  All repeats are sorted and joined at once.  ``key`` replaces the hash; it is
+    given the number of the repeat.
     """
     features = list(features)
     error = F.abs(F.col(PRED) - F.col(label))
     table = score(_numeric(drop_unlabelled(df, label), [label]), model, features, id)
-    key = F.xxhash64(id, F.lit(seed)) if key is None else key
-    table = table.select(id, label, *features, error.alias("_base"), key.alias("_key"))
-    table = number_rows(table, ["_key", id], "_row").drop("_key")
+    table = freeze(number_rows(table.select(id, label, *features, error.alias("_base")), [id], "_row"))
     rows = table.count()
-    donors = table.select("_row", *[F.col(c).alias(f"_other_{c}") for c in features])
-    shuffled = None
-    for repeat, (stride, offset) in enumerate(_strides(rows, repeats)):
-        target = F.pmod(F.col("_row") * F.lit(stride) + F.lit(offset), F.lit(rows))
-        joined = table.withColumn("_row", target).join(donors, "_row")
-        variants = [
-            F.struct(
-                F.lit(c).alias("feature"),
-                *[F.col(f"_other_{o}" if o == c else o).alias(o) for o in features],
-            )
-            for c in features
-        ]
-        part = joined.select(
-            F.lit(repeat).alias("_repeat"), label, "_base", F.inline(F.array(*variants))
+    rounds = table.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = F.xxhash64(id, F.lit(seed), "_repeat") if key is None else key(F.col("_repeat"))
+    # the repeats follow one another, so a place in this order is repeat * rows + place
+    donors = number_rows(
+        rounds.select("_repeat", order.alias("_key"), id, *[F.col(c).alias(f"_other_{c}") for c in features]),
+        ["_repeat", "_key", id], "_place")
+    places = rounds.withColumn("_place", F.col("_repeat") * F.lit(rows) + F.col("_row"))
+    joined = places.join(donors.drop("_repeat", "_key", id), "_place")
+    variants = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            *[F.col(f"_other_{o}" if o == c else o).alias(o) for o in features],
         )
-        shuffled = part if shuffled is None else shuffled.unionByName(part)
+        for c in features
+    ]
+    shuffled = joined.select("_repeat", label, "_base", F.inline(F.array(*variants)))
     rises = model.transform(shuffled).groupBy("feature", "_repeat").agg(
         F.avg(error - F.col("_base")).alias("_rise")
     )

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from settlespark.functions.scalar import gaussian, uniform
+from settlespark.functions.scalar import gaussian, is_missing, uniform
 from settlespark.operators.joins import disjoint_ids
 from settlespark.plans.skew import N, POS, Part
-from settlespark.signals import Signals
+from settlespark.signals import OWN, Signals
 
 
 def sample_ids(
@@ -36,10 +36,14 @@ def disjoint_groups(
 def _on_chosen(sig: Signals, ids: DataFrame, change) -> DataFrame:
     """Apply ``change`` to the samples of chosen waves; the others are not shuffled."""
     columns = sig.df.columns
-    chosen = sig.replace(sig.samples.join(ids.select(sig.id), sig.id, "left_semi"))
-    others = sig.samples.join(ids.select(sig.id), sig.id, "left_anti")
-    changed = chosen.per_part(change, *columns)
-    return others.select(*columns).unionByName(changed.select(*columns))
+    own = sig.replace(sig.df.withColumn(OWN, F.col(sig.value)))
+    chosen = own.replace(own.samples.join(ids.select(sig.id), sig.id, "left_semi"))
+    others = own.samples.join(ids.select(sig.id), sig.id, "left_anti")
+    changed = chosen.per_part(change, *columns, OWN)
+    # a null value stays null, whatever is added to it
+    value = F.when(F.col(OWN).isNotNull(), F.col(sig.value)).alias(sig.value)
+    return sig.with_own(others).select(*columns).unionByName(
+        changed.select(*[value if c == sig.value else c for c in columns]))
 
 
 def inject_late_oscillation(
@@ -79,11 +83,19 @@ def truncate_waves(
     )
 
 
-def add_noise(sig: Signals, sd: float | Column, seed: int) -> DataFrame:
-    """Add Gaussian noise that depends on wave, sample and seed only."""
+def add_noise(
+    sig: Signals, sd: float | Column, seed: int, normal: Column | None = None
+) -> DataFrame:
+    """Add Gaussian noise that depends on wave, sample and seed only; null stays null.
+
+    ``normal`` replaces the keyed standard normal numbers.
+    """
     sd = sd if isinstance(sd, Column) else F.lit(float(sd))
-    noise = sd * gaussian(seed, sig.id, *sig.order)
-    return sig.samples.withColumn(sig.value, F.col(sig.value) + noise)
+    noise = sd * (gaussian(seed, sig.id, *sig.order) if normal is None else normal)
+    rows = sig.df.filter(F.col(sig.id).isNotNull())
+    if sig.missing == "skip":
+        rows = rows.filter(~is_missing(F.col(sig.value).cast("double")))
+    return rows.withColumn(sig.value, F.col(sig.value).cast("double") + noise)
 
 
 def limit_band(df: DataFrame, center: str, band: str | Column) -> DataFrame:

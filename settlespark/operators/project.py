@@ -22,13 +22,14 @@ def normalize_roles(df: DataFrame, mode: str = "alias") -> DataFrame:
 
     ``alias`` takes for each role the first column whose lowercase name is a
     known alias; ``preferred`` takes ``value`` before ``current`` and
-    ``time_ms`` before ``time``, by exact name.
+    ``time_ms`` before ``time``, by exact name.  A column that has the name of a
+    role but was not chosen for it is kept as ``<name>_other``.
     """
     if mode == "alias":
-        found = {
-            role: next((c for c in df.columns if c.lower() in names), None)
-            for role, names in ALIASES.items()
-        }
+        role_of = {name: role for role, names in ALIASES.items() for name in names}
+        found: dict[str, str | None] = dict.fromkeys(ALIASES)
+        # from the last column to the first, so that the first one stays
+        found |= {role_of[c.lower()]: c for c in reversed(df.columns) if c.lower() in role_of}
     elif mode == "preferred":
         found = {
             "wave_id": "wave_id",
@@ -40,10 +41,14 @@ def normalize_roles(df: DataFrame, mode: str = "alias") -> DataFrame:
     absent = [role for role, column in found.items() if column not in df.columns]
     if absent:
         raise KeyError(f"no column for {absent}; columns are {df.columns}")
-    clash = [r for r, c in found.items() if r != c and r in df.columns]
-    if clash:
-        df = df.drop(*clash)
-    return df.withColumnsRenamed({column: role for role, column in found.items()})
+    names = {column: role for role, column in found.items()}
+    for role, column in found.items():
+        if role != column and role in df.columns and role not in names:
+            other = f"{role}_other"
+            while other in df.columns:
+                other += "_"
+            names[role] = other
+    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
 
 
 def drop_meta(df: DataFrame, meta: Sequence[str] = META, keep: Sequence[str] = ()) -> DataFrame:

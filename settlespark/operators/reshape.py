@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,15 +17,18 @@ TIME_NAMES = ("time", "time_ms")
 CHUNK = 65_536
 
 
+_NUMBERED = re.compile(re.escape(SERIES) + r"(-?\d+)")
+
+
 def series_columns(df: DataFrame) -> list[str]:
-    """The ``i_<k>`` columns in numeric order."""
-    columns = [c for c in df.columns if c.startswith(SERIES)]
-    return sorted(columns, key=lambda c: int(c.split("_")[1]))
+    """The ``i_<k>`` columns in numeric order; names like ``i_total`` are no samples."""
+    found = {c: int(m[1]) for c in df.columns if (m := _NUMBERED.fullmatch(c))}
+    return sorted(found, key=found.get)
 
 
 def non_series_columns(df: DataFrame) -> DataFrame:
     """The table without its ``i_<k>`` columns."""
-    return df.select(*[c for c in df.columns if not c.startswith(SERIES)])
+    return df.drop(*series_columns(df))
 
 
 def meta_columns(
@@ -48,14 +52,16 @@ def duplicate_samples(sig: Signals) -> DataFrame:
 
 
 def to_wide(
-    sig: Signals, samples: Sequence[int] | None = None, on_duplicate: str = "error"
+    sig: Signals, samples: Sequence[int] | None = None, on_duplicate: str = "error",
+    select: bool = False,
 ) -> DataFrame:
     """One row per wave with a column ``i_<sample>`` per sample, missing ones null.
 
     Naming the ``samples`` saves a job; without them the distinct ones are
-    looked up, and more than ``spark.sql.pivotMaxValues`` are refused.  A
-    duplicate (wave, sample) fails the job, or gives the largest value with
-    ``on_duplicate="max"``.
+    looked up, and more than ``spark.sql.pivotMaxValues`` are refused (a limit of
+    the engine).  A sample that is not named fails the job, so that none is lost
+    unnoticed; ``select=True`` leaves such samples out.  A duplicate (wave, sample)
+    fails the job, or gives the largest value with ``on_duplicate="max"``.
     """
     if on_duplicate not in ("error", "max"):
         raise ValueError(f"on_duplicate must be 'error' or 'max', not {on_duplicate!r}")
@@ -71,7 +77,16 @@ def to_wide(
     if on_duplicate == "error":
         message = F.format_string("duplicate sample %s of wave %s", F.first(sample), F.first(sig.id))
         value = F.when(F.count(F.lit(1)) > 1, F.raise_error(message)).otherwise(value)
-    wide = sig.samples.groupBy(sig.id).pivot(sample, samples).agg(value)
+    named = F.col(sample).isin(samples)
+    rows = sig.samples
+    if select:
+        # waves without a named sample keep their row
+        rows = rows.withColumn(sample, F.when(named, F.col(sample)))
+        value = F.when(F.first(sample).isNotNull(), value)
+    else:
+        lost = F.raise_error(F.format_string("sample %s of wave %s has no column", sample, sig.id))
+        rows = rows.withColumn(sample, F.when(named, F.col(sample)).otherwise(lost.cast(rows.schema[sample].dataType)))
+    wide = rows.groupBy(sig.id).pivot(sample, samples).agg(value)
     return wide.withColumnsRenamed({str(s): f"{SERIES}{s}" for s in samples})
 
 
@@ -96,7 +111,7 @@ def to_long(
     """One row per wave and sample from the ``i_<k>`` columns of a wide table."""
     columns = series_columns(wide)
     if not columns:
-        raise ValueError(f"no {SERIES}0..{SERIES}N columns; columns are {wide.columns}")
+        raise ValueError(f"a wide table needs columns named {SERIES}<number>; it has {wide.columns}")
     long = wide.unpivot([id], columns, "_series", value).select(
         id, F.substring("_series", len(SERIES) + 1, 10).cast("int").alias(sample), value
     )

@@ -58,6 +58,7 @@ def review_table(
     """Per wave: page, line position, spread after the line and their texts."""
     line = _line(mode)
     stats = post_settle_stats(sig, lookup_table(result, line, order, sig.id), line)
+    # The texts as they are drawn.
     title = F.format_string("ID:%s | Δ:%.3f", F.col(sig.id).cast("string"), "delta")
     text = F.format_string("%.2fms", line)
     return number_rows(stats, [sig.id], "rank").select(
@@ -71,13 +72,18 @@ def review_table(
 def overlay(
     sig: Signals, result: DataFrame, mode: str, order: str, per_page: int = PER_PAGE
 ) -> DataFrame:
-    """Samples in drawing order (page, wave, time) with the line of their wave."""
+    """Samples with the page and the line of their wave, in drawing order by ranges.
+
+    Ranges of (page, wave, time) go to one task each and are sorted there; partition
+    after partition gives the whole order, which is all a page needs; a wave of any size is spread by time.
+    """
     lines = lookup_table(result, _line(mode), order, sig.id)
     pages = paginate(sig.samples, per_page, sig.id).join(lines, sig.id, "left")
-    points = sig.join_waves(pages, "inner").withColumn("line_ms", F.col(_line(mode)))
+    drawn = ["page", sig.id, sig.time, *sig.order]
+    points = sig.with_own(sig.keeping_own().join_waves(pages, "inner"))
     return (
-        points.select("page", "line_ms", *sig.roles)
-        .orderBy("page", sig.id, sig.time, *sig.order)
+        points.withColumn("line_ms", F.col(_line(mode))).select("page", "line_ms", *sig.roles)
+        .repartitionByRange(*drawn).sortWithinPartitions(*drawn)
     )
 
 
@@ -92,6 +98,7 @@ def compare_pairs(
         return sig.samples.join(bounded_broadcast(chosen, limit), sig.id).select(
             F.expr(f"rank div {per_page}").alias("page"), F.col("rank").alias("pair"),
             F.lit(source).alias("source"), F.col(sig.id).alias("wave_id"),
+            # Fixed value: the text as it is drawn.
             F.concat(F.lit(f"{source} ID: "), F.col(sig.id).cast("string")).alias("title"),
             F.col(sig.time).alias("time"), F.col(sig.value).alias("value"),
         )

@@ -10,22 +10,14 @@ from settlespark.plans.skew import DX, N, POS, Part
 from settlespark.signals import Signals
 
 
-def _carry(sig: Signals) -> list[str]:
-    return sig.df.columns
-
-
 def with_position(sig: Signals, pos: str = "pos", n: str = "n") -> DataFrame:
     """Add the 0-based position of each sample in its wave and the wave length."""
-    return sig.per_part(
-        lambda p: p.df.withColumnsRenamed({POS: pos, N: n}).drop(DX), *_carry(sig)
-    )
+    return sig.per_row(lambda p: p.df.withColumnsRenamed({POS: pos, N: n}).drop(DX))
 
 
 def with_diff(sig: Signals, name: str = "dx") -> DataFrame:
     """Add the difference to the previous sample (null on the first)."""
-    return sig.per_part(
-        lambda p: p.df.withColumnsRenamed({DX: name}).drop(POS, N), *_carry(sig)
-    )
+    return sig.per_row(lambda p: p.df.withColumnsRenamed({DX: name}).drop(POS, N))
 
 
 def tail(sig: Signals, k: int | None = None, frac: float = 0.1) -> DataFrame:
@@ -33,7 +25,7 @@ def tail(sig: Signals, k: int | None = None, frac: float = 0.1) -> DataFrame:
     def cut(p: Part) -> DataFrame:
         length = F.least(F.lit(k), F.col(N)) if k is not None else tail_length(F.col(N), frac)
         return p.where(F.col(POS) >= F.col(N) - length).df.drop(POS, N, DX)
-    return sig.per_part(cut, *_carry(sig))
+    return sig.per_row(cut)
 
 
 def _out(sig: Signals, center: Column, band: Column) -> Column:
@@ -54,7 +46,7 @@ def hold_ok(
         clear = F.col("_next").isNull() | (F.col("_next") >= F.col(POS) + m)
         whole = F.col(POS) <= F.col(N) - m
         return df.withColumn(name, F.when(whole, clear)).drop(POS, N, DX, "_next")
-    return sig.per_part(mark, *_carry(sig))
+    return sig.per_row(mark)
 
 
 def _next_out(p: Part, at: Column, block: int = 65_536) -> DataFrame:
@@ -102,7 +94,7 @@ def stays_within(
         p = p.attach(_last=F.max(F.when(out, F.col(POS))))
         inside = F.col("_last").isNull() | (F.col(POS) > F.col("_last"))
         return p.df.withColumn(name, inside).drop(POS, N, DX, "_last")
-    return sig.per_part(mark, *_carry(sig))
+    return sig.per_row(mark)
 
 
 def last_excursion(
@@ -111,7 +103,7 @@ def last_excursion(
     """Per wave the last position outside ``center ± band``, null if there is none."""
     out = _out(sig, center, band)
     return sig.per_part(
-        lambda p: p.collapse(**{name: F.max(F.when(out, F.col(POS)))}), *_carry(sig)
+        lambda p: p.collapse(**{name: F.max(F.when(out, F.col(POS)))}), *sig.df.columns
     )
 
 
@@ -121,7 +113,8 @@ def wave_slice(sig: Signals, id: object) -> DataFrame:
 
 
 def sort_samples(sig: Signals) -> DataFrame:
-    """All samples sorted by wave and time; a range sort, so one wave may span tasks."""
-    return sig.df.orderBy(sig.id, sig.time, *sig.order)
+    """All samples with an id sorted by wave and time; a range sort, so one wave may
+    span tasks."""
+    return sig.df.filter(F.col(sig.id).isNotNull()).orderBy(sig.id, sig.time, *sig.order)
 
 

@@ -12,12 +12,12 @@ Each rule needs only ``j``, the last position outside the band:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from settlespark.functions.scalar import clamp_index, is_missing, tail_length
+from settlespark.functions.scalar import clamp_index, grid_scale, on_grid, tail_length
 from settlespark.plans.skew import N, POS, Part
 from settlespark.signals import Signals
 
@@ -61,32 +61,42 @@ class Names:
         self.target, self.tol = f"_target{tag}", f"_tol{tag}"
         self.last_out, self.index = f"_last_out{tag}", f"_settle_idx{tag}"
         self.gap = f"_gap{tag}"
+        self.top, self.sum, self.squares, self.count = (
+            f"_{name}{tag}" for name in ("top", "sum", "squares", "count"))
 
 
 Rules = dict[str, Rule]  # by tag
 
 
 def with_targets(part: Part, rules: Rules) -> Part:
-    """Attach the target value and the tolerance of each rule, in one pass."""
+    """Attach the target value and the tolerance of each rule.
+
+    Means and deviations that decide about samples on the band come from exact
+    integer sums, which no plan and no order of summation can change.
+    """
     value, missing = part.value, part.sig.missing == "propagate"
     aggregates: dict[str, Column] = {}
     medians: dict[str, Column] = {}
+    averaged: dict[str, Column] = {}
     for tag, rule in rules.items():
         at = Names(tag)
         if rule.rule == "suffix":
-            last = F.when(F.col(POS) >= F.col(N) - LAST, value)
-            aggregates |= {at.target: F.avg(last), at.tol: F.stddev_pop(last)}
+            averaged[tag] = F.when(F.col(POS) >= F.col(N) - LAST, value)
+            aggregates[at.top] = F.max(F.abs(averaged[tag]))
             continue
         in_tail = F.col(POS) >= F.col(N) - tail_length(F.col(N), rule.tail, rule.min_tail)
         tail = F.when(in_tail, value)
         if rule.rule == "exit":
-            aggregates[at.target] = F.avg(tail)
+            averaged[tag] = tail
+            aggregates[at.top] = F.max(F.abs(tail))
         else:
             medians[at.target] = tail
             if missing:
                 # median() ranks NaN last instead of passing it on
                 aggregates[at.gap] = F.max(F.isnan(tail))
     part = part.attach(medians, **aggregates)
+    if averaged:
+        part = _with_means(part, rules, averaged)
     if missing:
         nan = F.lit(float("nan"))
         part = part.with_columns(**{
@@ -96,6 +106,32 @@ def with_targets(part: Part, rules: Rules) -> Part:
     return part.with_columns(**{Names(tag).tol: _tolerance(rule, tag) for tag, rule in rules.items()})
 
 
+def _with_means(part: Part, rules: Rules, averaged: dict[str, Column]) -> Part:
+    """Attach the mean of some samples as target, and for the suffix rule their deviation."""
+    sums: dict[str, Column] = {}
+    for tag, samples in averaged.items():
+        at = Names(tag)
+        q = on_grid(samples, F.col(at.top))
+        sums |= {at.sum: F.sum(q), at.count: F.count(q)}
+        if rules[tag].rule == "suffix":
+            sums[at.squares] = F.sum(q * q)
+    part = part.attach(**sums)
+    figures: dict[str, Column] = {}
+    for tag in averaged:
+        at = Names(tag)
+        n, scale = F.col(at.count), grid_scale(F.col(at.top))
+        mean = F.col(at.sum).cast("double") / n / scale
+        figures[at.target] = F.when(n > 0, mean).otherwise(F.lit(float("nan")))
+        if rules[tag].rule == "suffix":
+            # n times the sum of squared deviations, still an integer
+            spread = F.col(at.squares) * n - F.col(at.sum) * F.col(at.sum)
+            figures[at.tol] = F.when(
+                n > 0, F.sqrt(spread.cast("double")) / n / scale).otherwise(F.lit(float("nan")))
+    used = [c for tag in averaged for c in (Names(tag).top, Names(tag).sum, Names(tag).squares, Names(tag).count)]
+    part = part.with_columns(**figures)
+    return replace(part, df=part.df.drop(*used))
+
+
 def _tolerance(rule: Rule, tag: str) -> Column:
     if rule.rule == "suffix":
         return F.greatest(F.col(Names(tag).tol) * 3.0, F.lit(MIN_BAND))

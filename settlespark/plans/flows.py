@@ -9,13 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from settlespark.functions.features import CURRENT
 from settlespark.operators import model as mo
 from settlespark.operators import review as rv
 from settlespark.operators.features import grouped_features
-from settlespark.operators.reshape import wide_plus_features
-from settlespark.operators.settle import Rule
+from settlespark.operators.reshape import (
+    append_features, non_series_columns, to_long, wide_plus_features,
+)
+from settlespark.operators.settle import Rule, labels
 from settlespark.signals import Signals
 from settlespark.sources import io
 
@@ -28,6 +31,25 @@ def training_features(
     io.write_table(grouped_features(sig, features, label=rule), out, format)
 
 
+def label_table(
+    sig: Signals, out: str, rule: Rule = Rule(), format: str = "parquet",
+) -> None:
+    """Write the label file: wave id and wait time."""
+    io.write_table(labels(sig, rule), out, format)
+
+
+def classic_features_of_wide(
+    wide: DataFrame, id: str = "wave_id", features: str | Sequence[str] = "classic",
+) -> DataFrame:
+    """The columns of a wide table that are no samples, with features of its samples.
+
+    Missing samples are left out, so positions close up.
+    """
+    long = to_long(wide, id).withColumn("time_ms", F.col("sample").cast("double"))
+    table = grouped_features(Signals(long, id=id), features)
+    return append_features(non_series_columns(wide), table, id)
+
+
 def scoring_table(
     sig: Signals, out: str, samples: Sequence[int] | None = None,
     features: str | Sequence[str] = CURRENT, format: str = "parquet",
@@ -43,21 +65,23 @@ def train(
     """Fit a model and write it with its diagnosis; returns the run id and the model.
 
     Written per run below ``out``: ``model``, ``leaderboard``, ``diagnosis`` and
-    ``train_with_predictions`` of all labelled rows (in-sample), ``metrics`` and
-    ``importance`` of the held-out waves.
+    ``train_with_predictions`` of all labelled rows, ``metrics`` and ``importance`` of
+    the held-out waves.  ``held_out`` in the diagnosis tells the waves kept out of
+    training from the others, whose errors are in-sample.
     """
     run_id = run_id or io.new_run_id()
     spark = table.sparkSession
     trained = mo.train_regressor(table, label, id=id, time_limit=time_limit, holdout=holdout)
     io.save_model(trained.model, f"{out}/model/{run_id}")
     scored = mo.score(table.select(id, label, *trained.features), trained.model, trained.features, id)
-    held = mo.split_waves(scored, holdout, id=id)[1]
+    held = mo.split_waves(scored, holdout, id=id)[1] if trained.held_out else scored
+    apart = mo.held_out(holdout, id=id) if trained.held_out else F.lit(False)
     importance = mo.permutation_importance(
         held.drop(mo.PRED), trained.model, trained.features, label, id=id
     )
     for name, df in (
         ("leaderboard", mo.leaderboard(spark, trained)),
-        ("diagnosis", mo.diagnosis_report(scored, label, id)),
+        ("diagnosis", mo.diagnosis_report(scored, label, id).withColumn("held_out", apart)),
         ("train_with_predictions", mo.train_with_predictions(scored, label, id)),
         ("metrics", mo.metrics(held, label)),
         ("importance", importance),
@@ -79,7 +103,10 @@ def review(
     sig: Signals, result: DataFrame, mode: str, order: str, out: str,
     per_page: int = rv.PER_PAGE,
 ) -> None:
-    """Write the review table and the points to draw, by page."""
+    """Write the review table and the points to draw.
+
+    The files of the points follow one another in drawing order, so a reader of a page
+    opens the few that hold it by their statistics.
+    """
     io.write_table(rv.review_table(sig, result, mode, order, per_page), f"{out}/{mode}")
-    points = rv.overlay(sig, result, mode, order, per_page)
-    io.write_table(points, f"{out}/{mode}_points", partition_by="page")
+    io.write_table(rv.overlay(sig, result, mode, order, per_page), f"{out}/{mode}_points")

@@ -16,7 +16,7 @@ import uuid
 from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
@@ -28,7 +28,6 @@ SEG = "_seg"
 # A hot id costs 8 bytes of a broadcast; there are at most rows / hot_rows.
 MAX_BROADCAST_IDS = 1_000_000
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 20_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -39,8 +38,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        # one JVM does all the work
         path = tempfile.mkdtemp(prefix="settlespark-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
@@ -69,7 +69,7 @@ def order_key(order: list[str]) -> Column:
 
 def range_count(df: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_RANGES, max(shuffles, math.ceil(rows / rows_per_range)))
+    return max(shuffles, math.ceil(rows / rows_per_range))
 
 
 def number_rows(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
@@ -174,11 +174,20 @@ def find_hot(df: DataFrame, id: str, hot_rows: int) -> tuple[DataFrame | None, i
     return (hot if found else None), found
 
 
+def _numbered(sig: Signals, ordered: WindowSpec) -> Column:
+    """0-based row number; samples that share id and order fail the job, as their
+    order would be arbitrary."""
+    number = F.row_number().over(ordered)
+    same = F.lag(F.struct(*sig.order)).over(ordered).eqNullSafe(F.struct(*sig.order))
+    message = F.format_string("two samples of wave %s share %s", sig.id, F.lit(", ".join(sig.order)))
+    return F.when((number > 1) & same, F.raise_error(message).cast("int")).otherwise(number - 1)
+
+
 def cold_positions(sig: Signals, df: DataFrame) -> Part:
     """Positions by windows: one exchange and one sort serve all of them."""
     ordered = Window.partitionBy(sig.id).orderBy(*sig.order)
     df = df.withColumns({
-        POS: (F.row_number().over(ordered) - 1).cast("long"),
+        POS: _numbered(sig, ordered).cast("long"),
         DX: F.col(sig.value) - F.lag(sig.value).over(ordered),
         N: F.count(F.lit(1)).over(Window.partitionBy(sig.id)),
     })
@@ -208,7 +217,7 @@ def hot_positions(sig: Signals, df: DataFrame, total: int) -> Part:
     # ranges of range numbers spread the rows evenly; hashing few ranges would not
     numbered = (
         ranged.repartitionByRange(ranges, SEG).withColumns({
-            "_local": F.row_number().over(local) - 1,
+            "_local": _numbered(sig, local),
             "_prev": F.lag(sig.value).over(local),
         })
         .join(bounded_broadcast(offsets, ranges + sig.hot_count), [sig.id, SEG])

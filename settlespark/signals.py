@@ -13,6 +13,7 @@ from settlespark.plans.skew import (
 )
 
 HOT_ROWS = 4_000_000
+OWN = "_own_value"
 
 
 class Signals:
@@ -109,6 +110,21 @@ class Signals:
             first = first.unionByName(other)
         return first
 
+    def per_row(self, fn: Callable[[Part], DataFrame]) -> DataFrame:
+        """``per_part`` for operators that return the samples: all columns, values as they came."""
+        return self.with_own(self.keeping_own().per_part(fn, *self.df.columns, OWN))
+
+    def keeping_own(self) -> Signals:
+        """The same samples with their values once more, as they came."""
+        same = self.replace(self.df.withColumn(OWN, F.col(self.value)))
+        # the same waves, so they are not counted again
+        same.__dict__["_hot"] = self._hot
+        return same
+
+    def with_own(self, df: DataFrame) -> DataFrame:
+        """The values as they came, null included, instead of those computed with."""
+        return df.withColumn(self.value, F.col(OWN)).drop(OWN)
+
     def join_waves(
         self, per_wave: DataFrame, how: str = "left", condition: Column | None = None
     ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
+# The columns of the training and of the scoring file.
 TRAIN_SCHEMA = StructType([
     StructField("wave_id", LongType()),
     StructField("sample", IntegerType()),
@@ -28,6 +29,13 @@ SCORING_SCHEMA = StructType([
 ])
 
 
+def _schema_of_header(header: list[str]) -> StructType:
+    known = {tuple(s.fieldNames()): s for s in (TRAIN_SCHEMA, SCORING_SCHEMA)}
+    if tuple(header) not in known:
+        raise ValueError(f"give a schema: no known file has the columns {header}")
+    return known[tuple(header)]
+
+
 def read_signals(
     spark: SparkSession,
     path: str,
@@ -37,8 +45,9 @@ def read_signals(
 ) -> DataFrame:
     """Read a CSV (with header), Parquet or other table; the format follows the name.
 
-    CSV takes ``schema``, the training schema by default; ``infer=True`` reads
-    the file once more to guess the types.  Empty CSV fields are null.
+    Without a ``schema``, a CSV file gets the training or the scoring schema,
+    whichever its header names; ``infer=True`` reads the file once more to guess
+    the types.  Empty CSV fields are null.
     """
     format = format or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     reader = spark.read.format(format)
@@ -47,7 +56,8 @@ def read_signals(
         if infer:
             return reader.option("inferSchema", True).load(path)
         # columns are matched by position, so a wrong header must not pass
-        return reader.option("enforceSchema", False).schema(schema or TRAIN_SCHEMA).load(path)
+        schema = schema or _schema_of_header(reader.load(path).columns)
+        return reader.option("enforceSchema", False).schema(schema).load(path)
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
@@ -79,7 +89,7 @@ def write_bucketed(
 
 
 def new_run_id(now: datetime | None = None) -> str:
-    """A run id such as 20251226_160234."""
+    """A run id: date and time, as 20250131_083000."""
     return (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
 
 

@@ -44,6 +44,14 @@ def test_the_whole_course(spark, tmp_path):
     result = pred.select("wave_id", "pred_wait_time_ms").selectExpr("*", "0 AS run")
     flows.review(sig, result, "check_pred", "run", f"{out}/review")
     assert io.read_signals(spark, f"{out}/review/check_pred").count() == 30
+    assert set(diagnosis.columns) >= {"held_out"} and 0 < diagnosis.filter("held_out").count() < 60
+
+    flows.label_table(Signals(raw), f"{out}/labels.csv", format="csv")
+    labels = io.read_signals(spark, f"{out}/labels.csv", infer=True)
+    assert labels.columns == ["wave_id", "wait_time_ms"] and labels.count() == 120
+    classic = flows.classic_features_of_wide(scoring.select("wave_id", *[c for c in scoring.columns if c.startswith("i_")]))
+    assert classic.count() == 30 and "settle_idx" in classic.columns and "i_0" not in classic.columns
+
     points = io.read_signals(spark, f"{out}/review/check_pred_points")
     assert points.count() == 9000 and points.filter("page = 1").count() == 3000
 

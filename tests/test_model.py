@@ -44,6 +44,24 @@ def test_leaderboard(spark, trained):
 def test_time_limit_stops_after_the_first_candidate(table):
     trained = mo.train_regressor(table, time_limit=0)
     assert [s[0] for s in trained.scores] == ["linear"]
+    assert trained.skipped == ["tree", "forest", "boosted"]
+    board = mo.leaderboard(table.sparkSession, trained).collect()
+    assert [r["score_val"] is None for r in board] == [False, True, True, True]
+
+
+def test_training_needs_held_out_waves(table):
+    few = table.limit(1)
+    line = {"linear": LinearRegression()}
+    with pytest.raises(ValueError, match="held out"):
+        mo.train_regressor(few, candidates=line, holdout=1e-9)
+    assert not mo.train_regressor(table, candidates=line, holdout=0).held_out
+
+
+def test_text_columns_are_no_features(table):
+    from pyspark.sql import functions as F
+    mixed = table.withColumns({"kind": F.lit("x"), "ok": F.lit(True), "n": F.lit(1)})
+    trained = mo.train_regressor(mixed, candidates={"linear": LinearRegression(regParam=0.1)})
+    assert trained.features == ["a", "b", "flat", "ok", "n"]
 
 
 def test_score_fills_missing_features(spark, table, trained):
@@ -91,10 +109,31 @@ def test_importance(table, trained):
     assert [r["feature"] for r in top] == ["a", "b"]
 
 
-def test_shuffles_are_permutations():
-    for rows in (1, 2, 3, 10, 97, 100):
-        for stride, offset in mo._strides(rows, 5):
-            assert sorted((stride * i + offset) % rows for i in range(rows)) == list(range(rows))
+def test_repeats_are_different_permutations(spark):
+    """With the row's own place as only feature, a prediction tells where it came from."""
+    n = 2000
+    df = spark.range(n).selectExpr("id AS wave_id", "0.0D AS wait_time_ms", "CAST(id AS DOUBLE) AS a")
+    model = mo.fit_linear(df.withColumn("wait_time_ms", df.a), ["a"])
+    seen = []
+    for repeats in (2, 3):
+        rises = mo.permutation_importance(df, model, ["a"], repeats=repeats).first()
+        # the values are only moved, so their sum stays
+        assert abs(rises["importance"]) < 1e-6
+    for seed in (0, 1):
+        target = df.withColumn("wait_time_ms", df.a)
+        rises = mo.permutation_importance(target, model, ["a"], repeats=5, seed=seed).first()
+        # the mean distance of two random places is a third of their number
+        assert abs(rises["importance"] / n - 1 / 3) < 0.02 and 0 < rises["stddev"] < 0.02 * n
+        seen.append(rises["importance"])
+    assert seen[0] != seen[1]
+
+
+def test_importance_plan_does_not_grow_with_the_repeats(table, trained):
+    plans = [
+        mo.permutation_importance(table, trained.model, trained.features, repeats=k)
+        ._jdf.queryExecution().executedPlan().toString() for k in (2, 5)]
+    counts = [p.count("Exchange") for p in plans]
+    assert counts[0] == counts[1] < 10
 
 
 # Quantiles of Student's t distribution.

@@ -49,16 +49,32 @@ def test_duplicates_fail_the_pivot(spark):
     assert signal_quality(sig).orderBy("wave_id").first()["n_duplicate"] == 1
 
 
+def test_samples_without_a_column_are_not_lost(spark):
+    waves = {1: np.arange(5.0), 2: np.arange(3.0)}
+    sig = Signals(spark.createDataFrame(w.frame(waves)))
+    with pytest.raises(Exception, match="sample [34] of wave 1 has no column"):
+        reshape.to_wide(sig, range(3)).collect()
+    assert reshape.to_long(reshape.to_wide(sig)).count() == 8
+    chosen = reshape.to_wide(sig, [0, 4], select=True)
+    assert chosen.columns == ["wave_id", "i_0", "i_4"]
+    assert sorted(map(tuple, chosen.collect())) == [(1, 0.0, 4.0), (2, 0.0, None)]
+
+
+def test_columns_that_only_look_like_samples(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "wave_id long, i_0 double, i_total double, i_10 double")
+    assert reshape.series_columns(df) == ["i_0", "i_10"]
+    assert reshape.non_series_columns(df).columns == ["wave_id", "i_total"]
+
+
 def test_features_ignore_filled_samples(spark):
-    x = w.random_waves(1)[0]
     waves = {1: np.full(40, 2.0), 2: np.full(60, 2.0)}
     sig = Signals(spark.createDataFrame(w.frame(waves)))
     wide = reshape.wide_plus_features(sig, range(60)).orderBy("wave_id").collect()
-    assert wide[0]["i_59"] == 0.0 and wide[0]["std_all"] == 0.0 and len(x) == 1
+    assert wide[0]["i_59"] == 0.0 and wide[0]["std_all"] == 0.0
 
 
 def test_long_needs_series_columns(spark):
-    with pytest.raises(ValueError, match="i_0..i_N"):
+    with pytest.raises(ValueError, match="i_<number>"):
         reshape.to_long(spark.range(3))
 
 
@@ -72,6 +88,55 @@ def test_roles(spark):
         "wave_id": 1, "time": 2.0, "current": 3.0, "value": 4.0}
 
 
+def test_roles_lose_no_column(spark):
+    df = spark.createDataFrame([(1, 2.0, 5.0, 6.0)], "wave_id long, time_ms double, current double, value double")
+    assert project.normalize_roles(df).first().asDict() == {
+        "wave_id": 1, "time": 2.0, "value": 5.0, "value_other": 6.0}
+
+
+def test_passed_through_values_stay_as_they_came(spark):
+    rows = [(1, 0, 0.0, 5), (1, 1, 0.1, None), (None, 0, 0.0, 7), (2, 0, 0.0, None)]
+    sig = Signals(spark.createDataFrame(rows, "wave_id long, sample int, time_ms double, value int"))
+    result = spark.createDataFrame([(1, 0, 0.0)], "wave_id long, run int, wait_time_ms double")
+    from settlespark.operators import sequence
+    zero = F.lit(0.0)
+    for df in (sequence.with_position(sig), sequence.with_diff(sig), sequence.tail(sig, 5),
+               sequence.hold_ok(sig, zero, zero, 1), sequence.stays_within(sig, zero, zero),
+               joins.lookup_result(sig, result, "wait_time_ms", "run"), sequence.sort_samples(sig)):
+        got = sorted(((r.wave_id, r.sample, r["value"]) for r in df.collect()))
+        assert got == [(1, 0, 5), (1, 1, None), (2, 0, None)]
+        assert df.schema["value"].dataType.simpleString() == "int"
+    noisy = {(r.wave_id, r.sample): r["value"] for r in perturb.add_noise(sig, 1.0, 1).collect()}
+    assert noisy[1, 1] is None and noisy[1, 0] is not None and len(noisy) == 3
+    ids = sig.df.select("wave_id").filter("wave_id = 1")
+    kept = perturb.truncate_waves(sig, ids, F.lit(1.0)).collect()
+    assert sorted(((r.wave_id, r.sample, r["value"] is None) for r in kept)) == [(1, 0, False), (1, 1, True), (2, 0, True)]
+
+
+@pytest.mark.parametrize("hot_rows", [1000, 1])
+def test_duplicate_order_fails_positions(spark, hot_rows):
+    rows = [(1, 0, 0.0, 1.0), (1, 1, 0.1, 2.0), (1, 1, 0.1, 3.0)]
+    sig = Signals(spark.createDataFrame(rows, "wave_id long, sample int, time_ms double, value double"), hot_rows=hot_rows)
+    from settlespark.operators import sequence
+    with pytest.raises(Exception, match="two samples of wave 1 share sample"):
+        sequence.with_position(sig).collect()
+
+
+def test_order_of_sorted_results(spark):
+    rng = np.random.default_rng(2)
+    sig = Signals(spark.createDataFrame(w.frame(w.random_waves(50))).repartition(5))
+    from settlespark.operators import sequence
+    rows = [(r.wave_id, r.time_ms, r.sample) for r in sequence.sort_samples(sig).collect()]
+    assert rows == sorted(rows) and len(rows) == sig.df.count()
+    ids = [r.wave_id for r in joins.distinct_ids(sig.df).collect()]
+    assert ids == sorted(set(ids))
+    result = spark.createDataFrame(
+        [(k, 0, float(rng.random())) for k in range(50)], "wave_id long, run int, wait_time_ms double")
+    drawn = review.overlay(sig, result, "check_train", "run", per_page=7)
+    rows = [(r.page, r.wave_id, r.time_ms, r.sample) for r in drawn.collect()]
+    assert rows == sorted(rows) and len(rows) == sig.df.count()
+
+
 def test_label_and_meta_columns(spark):
     rows = [(1, 1.0, 5.0), (2, float("nan"), 5.0), (3, None, 5.0)]
     df = spark.createDataFrame(rows, "wave_id long, wait_time_ms double, temp_C double")
@@ -93,6 +158,12 @@ def test_csv(spark, sig, tmp_path):
     assert io.read_signals(spark, path, infer=True).schema["value"].dataType.simpleString() == "double"
     with pytest.raises(Exception):
         io.read_signals(spark, path, io.SCORING_SCHEMA).collect()
+    scoring = rows.withColumnRenamed("time_ms", "time").drop("sd")
+    io.write_table(scoring, f"{path}.scoring.csv", format="csv")
+    assert io.read_signals(spark, f"{path}.scoring.csv").columns == io.SCORING_SCHEMA.fieldNames()
+    io.write_table(scoring.drop("time"), f"{path}.other.csv", format="csv")
+    with pytest.raises(ValueError, match="schema"):
+        io.read_signals(spark, f"{path}.other.csv")
 
 
 def test_runs_are_replaced_one_by_one(spark, tmp_path):
@@ -169,7 +240,7 @@ def test_actual_lines_fall_back_as_a_whole(spark):
 def test_first_non_null_meta(spark):
     df = spark.createDataFrame(pd.DataFrame({
         "wave_id": [1] * 4, "sample": [3, 2, 1, 0], "time_ms": [0.0] * 4, "value": [1.0] * 4,
-        "flag": ["d", "c", "b", None],
+        "flag": ["d", "c", "b", None], "level": [21.0, 20.0, float("nan"), float("nan")],
     }))
-    got = grouped_features(Signals(df), ["x0"], meta=["flag"], min_length=1).first()
-    assert got["flag"] == "b"
+    got = grouped_features(Signals(df), ["x0"], meta=["flag", "level"], min_length=1).first()
+    assert got["flag"] == "b" and got["level"] == 20.0
