@@ -19,23 +19,32 @@ from settlespark.operators.reshape import (
     append_features, non_series_columns, to_long, wide_plus_features,
 )
 from settlespark.operators.settle import Rule, labels
+from settlespark.plans.skew import scratch
 from settlespark.signals import Signals
 from settlespark.sources import io
 
 
+def _scratch(sig: Signals):
+    """Intermediate tables of a step go when it has written its result."""
+    sig.hot_ids  # belongs to the caller's table and is found before
+    return scratch(sig.df.sparkSession)
+
+
 def training_features(
     sig: Signals, out: str, features: str | Sequence[str] = CURRENT, rule: Rule = Rule(),
     format: str = "parquet",
 ) -> None:
     """Write the feature table with labels."""
-    io.write_table(grouped_features(sig, features, label=rule), out, format)
+    with _scratch(sig):
+        io.write_table(grouped_features(sig, features, label=rule), out, format)
 
 
 def label_table(
     sig: Signals, out: str, rule: Rule = Rule(), format: str = "parquet",
 ) -> None:
     """Write the label file: wave id and wait time."""
-    io.write_table(labels(sig, rule), out, format)
+    with _scratch(sig):
+        io.write_table(labels(sig, rule), out, format)
 
 
 def classic_features_of_wide(
@@ -55,7 +64,8 @@ def scoring_table(
     features: str | Sequence[str] = CURRENT, format: str = "parquet",
 ) -> None:
     """Write the wide scoring table with meta columns and features."""
-    io.write_table(wide_plus_features(sig, samples, features), out, format)
+    with _scratch(sig):
+        io.write_table(wide_plus_features(sig, samples, features), out, format)
 
 
 def train(
@@ -76,17 +86,18 @@ def train(
     scored = mo.score(table.select(id, label, *trained.features), trained.model, trained.features, id)
     held = mo.split_waves(scored, holdout, id=id)[1] if trained.held_out else scored
     apart = mo.held_out(holdout, id=id) if trained.held_out else F.lit(False)
-    importance = mo.permutation_importance(
-        held.drop(mo.PRED), trained.model, trained.features, label, id=id
-    )
-    for name, df in (
-        ("leaderboard", mo.leaderboard(spark, trained)),
-        ("diagnosis", mo.diagnosis_report(scored, label, id).withColumn("held_out", apart)),
-        ("train_with_predictions", mo.train_with_predictions(scored, label, id)),
-        ("metrics", mo.metrics(held, label)),
-        ("importance", importance),
-    ):
-        io.write_run(df, f"{out}/{name}", run_id)
+    with scratch(spark):
+        importance = mo.permutation_importance(
+            held.drop(mo.PRED), trained.model, trained.features, label, id=id
+        )
+        for name, df in (
+            ("leaderboard", mo.leaderboard(spark, trained)),
+            ("diagnosis", mo.diagnosis_report(scored, label, id).withColumn("held_out", apart)),
+            ("train_with_predictions", mo.train_with_predictions(scored, label, id)),
+            ("metrics", mo.metrics(held, label)),
+            ("importance", importance),
+        ):
+            io.write_run(df, f"{out}/{name}", run_id)
     return run_id, trained
 
 
@@ -108,5 +119,6 @@ def review(
     The files of the points follow one another in drawing order, so a reader of a page
     opens the few that hold it by their statistics.
     """
-    io.write_table(rv.review_table(sig, result, mode, order, per_page), f"{out}/{mode}")
-    io.write_table(rv.overlay(sig, result, mode, order, per_page), f"{out}/{mode}_points")
+    with _scratch(sig):
+        io.write_table(rv.review_table(sig, result, mode, order, per_page), f"{out}/{mode}")
+        io.write_table(rv.overlay(sig, result, mode, order, per_page), f"{out}/{mode}_points")

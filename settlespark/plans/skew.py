@@ -10,9 +10,13 @@ per (wave, range).
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
@@ -40,23 +44,46 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        # one JVM does all the work
+        # one JVM does all the work, and the folder goes with it
         path = tempfile.mkdtemp(prefix="settlespark-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
+_FROZEN: list[str] = []
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there.
 
     Partition numbers in it survive lost executors, and later passes read only
-    the columns they use.
+    the columns they use.  The table stays until :func:`scratch` ends or the folder
+    is cleared.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _FROZEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables frozen inside this block when it ends.
+
+    What the block returns must not read them any more: write results inside it.
+    """
+    start = len(_FROZEN)
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _FROZEN[start:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        del _FROZEN[start:]
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint when the known row bound is small, plain join otherwise."""
     return F.broadcast(df) if rows <= MAX_BROADCAST_IDS else df
@@ -67,9 +94,12 @@ def order_key(order: list[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def range_count(df: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
-    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffles, math.ceil(rows / rows_per_range))
+    return max(shuffle_partitions(df), math.ceil(rows / rows_per_range))
 
 
 def number_rows(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
@@ -81,6 +111,8 @@ def number_rows(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame
     twice.
     """
     ranged = freeze(df.orderBy(*keys).withColumn("_mono", F.monotonically_increasing_id()))
+    # one row per partition of that sort
+    parts = shuffle_partitions(df)
     # monotonically_increasing_id: partition in the upper 31 bits, row in the lower 33.
     ranged = ranged.withColumns({
         SEG: F.shiftright("_mono", 33), name: F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1)),
@@ -90,7 +122,7 @@ def number_rows(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame
         SEG, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
     )
     return (
-        ranged.join(F.broadcast(starts), SEG)
+        ranged.join(bounded_broadcast(starts, parts), SEG)
         .withColumn(name, F.col("_start") + F.col(name))
         .drop(SEG, "_start")
     )
@@ -121,12 +153,13 @@ class Part:
             wave = Window.partitionBy(self.sig.id)
             aggregates |= {name: F.median(x) for name, x in medians.items()}
             return self.with_columns(**{k: c.over(wave) for k, c in aggregates.items()})
+        # per-wave figures are frozen, as every later pass joins them again
         df = self.df
         if aggregates:
-            df = df.join(self._small(self.collapse(**aggregates)), self.sig.id)
+            df = df.join(self._small(freeze(self.collapse(**aggregates))), self.sig.id)
         for name, x in medians.items():
             rows = self.df.select(self.sig.id, x.alias("_v")).filter(F.col("_v").isNotNull())
-            median = exact_median(rows, self.sig.id, "_v", name, self.sig.hot_count)
+            median = freeze(exact_median(rows, self.sig.id, "_v", name, self.sig.hot_count))
             df = df.join(self._small(median), self.sig.id, "left")
         return replace(self, df=df)
 
@@ -202,7 +235,7 @@ def hot_positions(sig: Signals, df: DataFrame, total: int) -> Part:
     local = Window.partitionBy(sig.id, SEG).orderBy(*sig.order)
     in_wave = Window.partitionBy(sig.id).orderBy(SEG)
     # One row per (wave, range): at most ranges + number of hot waves.
-    offsets = (
+    offsets = freeze(
         ranged.groupBy(sig.id, SEG)
         .agg(F.count(F.lit(1)).alias("_rows"), F.max_by(sig.value, order_key(sig.order)).alias("_last"))
         .select(
