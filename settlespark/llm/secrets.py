@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from settlespark.llm.batches import text_or_empty
-from settlespark.plans.skew import checkpoint_dir
+from settlespark.llm.columns import small
+from settlespark.plans.skew import checkpoint_dir, freeze
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
@@ -146,9 +147,12 @@ def scan_documents(
         spark = df.sparkSession
         ledger = Ledger(spark, f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}")
     ledger.scan(df, rules, text)
-    paths = df.select(F.col(f"`{id}`").alias(id), address(text_or_empty(text)).alias("blob"))
-    return paths.join(ledger.findings(rules), "blob", "left").select(
-        id, F.lower(F.hex("blob")).alias("blob"),
+    paths = df.select(F.col(f"`{id}`").alias("id"), address(text_or_empty(text)).alias("blob"))
+    # written first, so that the join stands alone and a blob with many paths can be split
+    findings = freeze(ledger.findings(rules))
+    found = findings.agg(F.sum(F.size("found"))).first()[0] or 0
+    return paths.join(small(findings, found), "blob", "left").select(
+        F.col("id").alias(id), F.lower(F.hex("blob")).alias("blob"),
         F.coalesce("found", F.array().cast(f"array<{SPAN}>")).alias("found"))
 
 
