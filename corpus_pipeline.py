@@ -16,7 +16,7 @@ from settlespark.llm.exact_dedup import drop_exact_copies
 from settlespark.llm.near_dedup import drop_near_copies
 from settlespark.llm.packing import pack_sequences
 from settlespark.llm.quality import drop_low_quality
-from settlespark.plans.skew import checkpoint_dir
+from settlespark.plans.skew import checkpoint_dir, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
