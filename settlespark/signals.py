@@ -50,7 +50,10 @@ class Signals:
     def replace(self, df: DataFrame, **changes) -> Signals:
         """The same roles over another table."""
         roles = {k: getattr(self, k) for k in ("id", "order", "time", "value", "missing", "hot_rows")}
-        return Signals(df, **{**roles, **changes})
+        other = Signals(df, **{**roles, **changes})
+        if df is self.df and not {"id", "hot_rows"} & changes.keys() and "_hot" in self.__dict__:
+            other.__dict__["_hot"] = self._hot  # the same waves need not be counted again
+        return other
 
     @property
     def roles(self) -> list[str]:
