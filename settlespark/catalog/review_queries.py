@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from settlespark.catalog import sql
@@ -21,19 +22,30 @@ PAIRS = 40
 LATE, EARLY = 1500.0, 870.0
 
 
+_PREPARED: dict[tuple[str, str], DataFrame] = {}
+
+
 def results(spark, sf):
+    """The waves and their results, prepared once per session and table."""
+    sig = t.price_signals(spark, sf)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PREPARED:
+        _PREPARED[key] = freeze(_results(sig))
+    return sig, _PREPARED[key]
+
+
+def _results(sig):
     """Two runs of results per wave: hold rule with predictions, then early exit-rule ones.
 
     Waves that settle late have no result in the first run.
     """
-    sig = t.price_signals(spark, sf)
     table = freeze(grouped_features(sig, ["std_all"], label=Rule()).filter(F.col("wait_time_ms") < LATE))
     model, _ = fit_line(table, "std_all")
     columns = ["wave_id", "run", "wait_time_ms", "pred_wait_time_ms"]
     first = score(table, model, ["std_all"]).withColumn("run", F.lit(0)).select(*columns)
     early = labels(sig, Rule("exit", tol=0.02)).filter(F.col("wait_time_ms") < EARLY)
     second = early.withColumns({"run": F.lit(1), "pred_wait_time_ms": F.col("wait_time_ms") + 0.5})
-    return sig, first.unionByName(second.select(*columns))
+    return first.unionByName(second.select(*columns))
 
 
 RESULTS = f"""{sql.D2P}, {sql.settle()}, {sql.settle('exit', '0.02', name='e')},
