@@ -251,7 +251,8 @@ def _texts(df: DataFrame, id: str, text: str) -> DataFrame:
 def fit_quality(df: DataFrame, id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS):
     """The weak model over all rows, and the scorer's weights from about ``sample_rows``.
 
-    Rows of the sample are chosen by a hash of id and text.  At most ``PATTERNS`` counts
+    Rows of the sample are chosen by a hash of id and text, and rows equal in both
+    count once.  At most ``PATTERNS`` counts
     and one row of weights reach the driver.
     """
     held = _texts(df, id, text)
@@ -264,7 +265,8 @@ def fit_quality(df: DataFrame, id: str = "doc_id", text: str = "text", sample_ro
     posterior = model.posterior(np.arange(PATTERNS))
     share = min(1.0, sample_rows / max(1.0, counts.sum()))
     sample = held.filter(
-        F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).select("text")
+        F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))
+    ).select("key", "text").dropDuplicates(["key"]).select("text")
     learned = map_batches(sample.repartition(1), _train, T.StructType(
         [T.StructField("weights", T.ArrayType(T.DoubleType()))]), posterior)
     return model, posterior, np.array(learned.collect()[0].weights)
