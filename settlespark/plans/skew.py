@@ -228,16 +228,25 @@ def cold_positions(sig: Signals, df: DataFrame) -> Part:
 
 
 def hot_positions(sig: Signals, df: DataFrame, total: int) -> Part:
-    """Positions of hot waves: local numbers per order range plus range offsets."""
+    """Positions of hot waves: local numbers per order range plus range offsets.
+
+    The samples are sorted into ranges, numbered there and written once; range numbers
+    are read from the written table only, so nothing depends on cutting the same ranges
+    again.
+    """
     ranges = range_count(df, total)
-    ranged = df.repartitionByRange(ranges, sig.id, *sig.order)
-    ranged = freeze(ranged.withColumn(SEG, F.spark_partition_id()))
+    ranged = df.repartitionByRange(ranges, sig.id, *sig.order).withColumn(SEG, F.spark_partition_id())
     local = Window.partitionBy(sig.id, SEG).orderBy(*sig.order)
+    # each range number is a partition of its own, as even as the ranges
+    numbered = freeze(ranged.repartitionById(ranges, SEG).withColumns({
+        "_local": _numbered(sig, local),
+        "_prev": F.lag(sig.value).over(local),
+    }))
     in_wave = Window.partitionBy(sig.id).orderBy(SEG)
     # One row per (wave, range): at most ranges + number of hot waves.
     offsets = freeze(
-        ranged.groupBy(sig.id, SEG)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.max_by(sig.value, order_key(sig.order)).alias("_last"))
+        numbered.groupBy(sig.id, SEG)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.max_by(sig.value, "_local").alias("_last"))
         .select(
             sig.id, SEG,
             F.coalesce(
@@ -247,17 +256,12 @@ def hot_positions(sig: Signals, df: DataFrame, total: int) -> Part:
             F.lag("_last").over(in_wave).alias("_before"),
         )
     )
-    # ranges of range numbers spread the rows evenly; hashing few ranges would not
-    numbered = (
-        ranged.repartitionByRange(ranges, SEG).withColumns({
-            "_local": _numbered(sig, local),
-            "_prev": F.lag(sig.value).over(local),
-        })
-        .join(bounded_broadcast(offsets, ranges + sig.hot_count), [sig.id, SEG])
+    placed = (
+        numbered.join(bounded_broadcast(offsets, ranges + sig.hot_count), [sig.id, SEG])
         .withColumns({
             POS: F.col("_start") + F.col("_local"),
             DX: F.col(sig.value) - F.coalesce("_prev", "_before"),
         })
         .drop("_local", "_prev", "_start", "_before", SEG)
     )
-    return Part(freeze(numbered), sig, hot=True)
+    return Part(placed, sig, hot=True)
