@@ -204,6 +204,24 @@ def _(spark, sf):
     return rounded(fe.apply_per_wave(t.price_signals(spark, sf), shape, schema))
 
 
+@query("u1_fold_per_wave", f"""
+WITH {sql.D2P}
+SELECT wave_id, max(n) AS n, {sql.r('sum(abs(dx))', 'path')} FROM p GROUP BY wave_id""")
+def _(spark, sf):
+    def step(state, block):
+        count, last, path = state
+        x = block["value"].to_numpy()
+        joined = x if last is None else np.r_[last, x]
+        return count + len(x), x[-1], path + np.abs(np.diff(joined)).sum()
+
+    def finish(wave, state):
+        return {"wave_id": wave, "n": state[0], "path": state[2]}
+
+    sig = t.price_signals(spark, sf, hot_rows=100)
+    return rounded(fe.fold_per_wave(
+        sig, lambda: (0, None, 0.0), step, finish, "wave_id long, n long, path double"))
+
+
 @query("h1_with_position", f"""
 WITH {sql.D2P} SELECT wave_id, order_key, line_no, part_key, pos, n FROM p""")
 def _(spark, sf):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,12 +98,12 @@ def meta_table(sig: Signals, meta: Sequence[str]) -> DataFrame:
 def apply_per_wave(sig: Signals, fn, schema: str | StructType) -> DataFrame:
     """Run a user function from one wave (pandas) to rows of features.
 
-    The function sees whole waves, so hot waves are refused rather than sent to
-    one Python worker.
+    The function sees whole waves, so hot waves are refused rather than held by one
+    Python worker; :func:`fold_per_wave` takes waves of any size.
     """
     if sig.hot_ids is not None:
         raise ValueError(
-            f"{sig.hot_count} waves exceed hot_rows={sig.hot_rows}; a user function cannot split them"
+            f"{sig.hot_count} waves exceed hot_rows={sig.hot_rows}; use fold_per_wave"
         )
     order = sig.order
 
@@ -112,6 +113,37 @@ def apply_per_wave(sig: Signals, fn, schema: str | StructType) -> DataFrame:
     return sig.samples.groupBy(sig.id).applyInPandas(ordered, schema)
 
 
+def fold_per_wave(
+    sig: Signals, start: Callable[[], Any], step: Callable[[Any, pd.DataFrame], Any],
+    finish: Callable[[Any, Any], dict], schema: str | StructType,
+) -> DataFrame:
+    """Run user functions along each wave, block by block in the order of its samples.
+
+    ``start()`` gives a state, ``step(state, block)`` the next one for a pandas block of
+    samples, ``finish(id, state)`` the row of the wave.  Only a block and the state are
+    held, so a wave may have any size.
+    """
+    id = sig.id
+
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wave, state, rows = None, None, []
+        for block in blocks:
+            for key, part in block.groupby(id, sort=False):
+                if key != wave:
+                    if wave is not None:
+                        rows.append(finish(wave, state))
+                    wave, state = key, start()
+                state = step(state, part)
+            if rows:
+                yield pd.DataFrame(rows)
+                rows = []
+        if wave is not None:
+            yield pd.DataFrame([finish(wave, state)])
+
+    ordered = sig.samples.repartition(id).sortWithinPartitions(id, *sig.order)
+    return ordered.mapInPandas(run, schema)
+
+
 def count_waves(sig: Signals) -> DataFrame:
     """Number of waves and of samples."""
     return sig.samples.agg(

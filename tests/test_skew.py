@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from settlespark import Rule, Signals
 from settlespark.operators import sequence as seq
-from settlespark.operators.features import apply_per_wave, grouped_features
+from settlespark.operators.features import apply_per_wave, fold_per_wave, grouped_features
 from settlespark.operators.joins import lookup_result
 from settlespark.operators.review import id_rank, post_settle_stats
 from settlespark.operators.settle import settle
@@ -116,6 +116,24 @@ def test_user_function_refuses_hot_waves(spark):
         apply_per_wave(sig, lambda p: p, "wave_id long")
 
 
+def test_fold_sees_every_sample_in_order(spark):
+    waves = w.random_waves(12)
+    waves[3] = np.arange(25_000.0)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        got = fold_per_wave(
+            Signals(spark.createDataFrame(w.frame(waves)).repartition(6), hot_rows=50), list,
+            lambda seen, block: seen + [list(block["sample"])],
+            lambda wave, seen: {"wave_id": wave, "n": sum(map(len, seen)), "blocks": len(seen),
+                                "sorted": sum(seen, []) == list(range(sum(map(len, seen))))},
+            "wave_id long, n long, blocks long, sorted boolean").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r["wave_id"]: r["n"] for r in got} == {k: len(x) for k, x in waves.items()}
+    assert all(r["sorted"] for r in got) and max(r["blocks"] for r in got) >= 35
+
+
 def test_features_and_label_need_one_exchange(spark, small):
     df = spark.read.parquet(f"{small}/lineitem.parquet").select(
         F.col("l_suppkey").alias("wave_id"), F.col("l_orderkey").alias("sample"),
