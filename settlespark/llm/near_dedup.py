@@ -5,10 +5,10 @@ copies are never compared.  Nodes meet in the buckets of signature bands:
 
 1. in every bucket each node is paired with the smallest one, the pairs are verified
    on the full shingle sets, and the links give first components;
-2. buckets that still hold several components are completed: nodes outside the
-   largest component of a bucket are compared with all nodes of other components
-   there, block by block on the signatures, and what may reach the threshold is
-   verified in the same way.
+2. buckets that still hold several components are completed block by block: nodes
+   outside the largest component are compared with all nodes of other components on
+   their signatures, and those that may reach the threshold meet again with their full
+   sets, likeliest pairs first, until a link joins their components or all have failed.
 
 Pairs within one component need no comparison, so a group of thousands of copies
 costs a star and not all its pairs, and no link between components is lost that
@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 
 from settlespark.llm.batches import map_batches, slices, text_or_empty
 from settlespark.llm.columns import MAX_BROADCAST_ROWS, row_key, small
-from settlespark.llm.components import components
+from settlespark.llm.components import EDGES as LINKS
+from settlespark.llm.components import UnionFind, components
 from settlespark.llm.superminhash import SLOTS, band_keys, mix, signatures
 from settlespark.plans.skew import freeze
 
@@ -42,7 +43,7 @@ BAND_ROWS = 5
 # Equal slots from which a pair is verified; at the threshold 106 are expected, with a
 # standard deviation below 4, so fewer than 88 have a probability of about 1e-6.
 PLAUSIBLE = 88
-BLOCK = 1_000
+BLOCK = 500
 SLICE_BYTES = 4 << 20
 CACHED_WORDS = 500_000
 
@@ -141,9 +142,9 @@ class _Groups:
         self.places = self.nodes.select("node", "n", F.explode("bands").alias("band"))
         self.sets: DataFrame | None = None
 
-    def _fetch_sets(self, pairs: DataFrame) -> None:
-        """Full sets of the nodes of some pairs that have none yet, from the texts."""
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def _fetch_sets(self, nodes: DataFrame) -> None:
+        """Full sets of the nodes that have none yet, from the texts."""
+        wanted = nodes.distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
         wanted = freeze(self.nodes.join(wanted, "node", "left_semi").select("node", "digest", "head.key"))
@@ -157,7 +158,8 @@ class _Groups:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b), by the sizes of full sets and their intersection."""
-        self._fetch_sets(pairs)
+        self._fetch_sets(pairs.select(F.col("a").alias("node")).unionByName(
+            pairs.select(F.col("b").alias("node"))))
         sets = self.sets
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
@@ -173,8 +175,8 @@ class _Groups:
         return freeze(met.filter(_same_size(F.col("n"), F.col("least.n"))).select(
             F.col("least.node").alias("a"), F.col("node").alias("b")).distinct())
 
-    def completing(self, buckets: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-        """Plausible pairs between different components of a bucket that are not in ``done``."""
+    def completing(self, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links between different components that meet in a bucket."""
         met = self.places.join(buckets.select("band"), "band").join(
             roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         per_root = met.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
@@ -182,67 +184,136 @@ class _Groups:
             F.sum("m").alias("rows"), F.max(F.struct("m", "root")).alias("main"),
         ).filter(F.col("rows") > F.col("main.m")))
         held = freeze(met.join(open_, "band").select(
-            "band", "node", "root", "n", (F.col("root") != F.col("main.root")).alias("odd"),
-            F.ceil((F.col("rows") - F.col("main.m")) / BLOCK).cast("int").alias("left_blocks"),
-            F.ceil(F.col("rows") / BLOCK).cast("int").alias("right_blocks"),
-        ).join(self.nodes.select("node", "sig"), "node"))
-
-        def blocks(count: str) -> Column:
-            return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
-
-        def every(count: str) -> Column:
-            return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-        common = ["band", "node", "root", "n", "sig", "odd"]
-        left = held.filter("odd").select(
-            *common, blocks("left_blocks").alias("i"), every("right_blocks").alias("j"), F.lit(True).alias("left"))
-        right = held.select(
-            *common, every("left_blocks").alias("i"), blocks("right_blocks").alias("j"), F.lit(False).alias("left"))
-        cells = left.unionByName(right).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "left", "node")
-        pairs = map_batches(cells, _compare, T.StructType([
-            T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).distinct()
-        return freeze(pairs.join(done, ["a", "b"], "left_anti"))
-
-
-def _compare(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Plausible pairs of each cell (band, i, j); its rows follow one another."""
-    names = ("band", "i", "j", "left", "node", "root", "n", "odd")
-    kept = None
-    for batch in batches:
-        rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in names}
-        rows["sig"] = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).reshape(-1, SLOTS)
-        if kept is not None:
-            rows = {c: np.concatenate((kept[c], rows[c])) for c in rows}
-        new = np.zeros(len(rows["band"]), bool)
-        for c in ("band", "i", "j"):
-            new[1:] |= rows[c][1:] != rows[c][:-1]
-        starts = np.concatenate(([0], np.flatnonzero(new), [len(new)]))
-        yield from _pairs(rows, starts[:-1], schema)
-        kept = {c: v[starts[-2]:] for c, v in rows.items()}
-    if kept is not None:
-        yield from _pairs(kept, np.array([0, len(kept["band"])]), schema)
-
-
-def _pairs(rows: dict, starts: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    a, b = [], []
-    for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        # right rows come first
-        middle = begin + int(np.count_nonzero(~rows["left"][begin:end]))
-        node, root, n = (rows[c][begin:middle] for c in ("node", "root", "n"))
-        odd, sig = rows["odd"][begin:middle], rows["sig"][begin:middle]
-        for x in range(middle, end):
-            own = rows["node"][x], rows["root"][x], rows["n"][x]
-            # two nodes outside the largest component meet twice; the smaller one leads
-            fits = (root != own[1]) & (~odd | (node > own[0]))
-            fits &= 100 * np.minimum(n, own[2]) >= PERCENT * np.maximum(n, own[2])
+            "band", "node", "root", "n", (F.col("root") != F.col("main.root")).alias("odd")))
+        marks = self.nodes.select("node", "sig", "bands")
+        plausible = freeze(map_batches(
+            _cells(held, marks), _compare, T.StructType([T.StructField("band", T.LongType()),
+                                                         T.StructField("node", T.LongType())])).distinct())
+        if plausible.isEmpty():
+            return plausible.select(F.col("band").alias("u"), F.col("node").alias("v"))
+        self._fetch_sets(plausible.select("node"))
+        full = marks.join(self.sets, "node")
+        return freeze(map_batches(
+            _cells(held.join(plausible, ["band", "node"], "left_semi"), full), _link, LINKS).distinct())
+
+
+def _cells(held: DataFrame, carried: DataFrame) -> DataFrame:
+    """Rows of buckets dealt to cells of a left and a right block, one cell after another.
+
+    Left are the nodes outside the largest component of a bucket, right are all nodes;
+    each left block meets each right block once, so a bucket of any size is spread.
+    """
+    sizes = held.groupBy("band").agg(
+        F.ceil(F.count_if("odd") / BLOCK).cast("int").alias("left_blocks"),
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("right_blocks")).filter("left_blocks > 0")
+    rows = held.join(sizes, "band").join(carried, "node")
+
+    def block(count: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    columns = ["band", "node", "root", "n", "odd", *[c for c in carried.columns if c != "node"]]
+    left = rows.filter("odd").select(
+        *columns, block("left_blocks").alias("i"), every("right_blocks").alias("j"), F.lit(True).alias("left"))
+    right = rows.select(
+        *columns, every("left_blocks").alias("i"), block("right_blocks").alias("j"), F.lit(False).alias("left"))
+    return left.unionByName(right).repartition("band", "i", "j").sortWithinPartitions(
+        "band", "i", "j", "left", "node")
+
+
+class _Cell:
+    """The rows of one cell; the right ones come first."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(rows)
+        left = table["left"].to_numpy()
+        self.band = table["band"][0].as_py()
+        self.right = len(left) - int(np.count_nonzero(left))
+        self.node, self.root, self.n = (table[c].to_numpy() for c in ("node", "root", "n"))
+        self.odd = table["odd"].to_numpy()
+        self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, SLOTS)
+        self.bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(left), -1)
+        self.sets = table["shingles"] if "shingles" in table.column_names else None
+
+    def plausible(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each left row the right rows that it may be linked with, and equal slots.
+
+        A pair belongs to the first band that it shares, and to the smaller node if both
+        are outside the largest component.
+        """
+        root, odd, n = self.root[:self.right], self.odd[:self.right], self.n[:self.right]
+        for x in range(self.right, len(self.node)):
+            fits = (root != self.root[x]) & (~odd | (self.node[:self.right] > self.node[x]))
+            fits &= 100 * np.minimum(n, self.n[x]) >= PERCENT * np.maximum(n, self.n[x])
             at = np.flatnonzero(fits)
             if not len(at):
                 continue
-            at = at[np.count_nonzero(sig[at] == rows["sig"][x], axis=1) >= PLAUSIBLE]
-            a.append(np.minimum(node[at], own[0]))
-            b.append(np.maximum(node[at], own[0]))
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+            same = self.bands[at] == self.bands[x]
+            at = at[self.bands[x][np.argmax(same, axis=1)] == self.band]
+            equal = np.count_nonzero(self.sig[at] == self.sig[x], axis=1)
+            kept = equal >= PLAUSIBLE
+            if kept.any():
+                yield x, at[kept], equal[kept]
+
+    def shingles(self, row: int) -> np.ndarray:
+        # sorted as unsigned numbers
+        return self.sets[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _by_cell(batches) -> Iterator[_Cell]:
+    """Cells in a stream of rows in which those of a cell follow one another."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        ids = list(zip(*[batch[c].to_pylist() for c in ("band", "i", "j")]))
+        start = 0
+        for row, cell in enumerate(ids):
+            if cell != last:
+                if row > start:
+                    held.append(batch.slice(start, row - start))
+                if held:
+                    yield _Cell(held)
+                held, start, last = [], row, cell
+        if len(ids) > start:
+            held.append(batch.slice(start))
+    if held:
+        yield _Cell(held)
+
+
+def _compare(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell that have a plausible partner."""
+    for cell in _by_cell(batches):
+        rows: set[int] = set()
+        for x, partners, _ in cell.plausible():
+            rows.add(x)
+            rows.update(partners.tolist())
+        if rows:
+            nodes = np.unique(cell.node[list(rows)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(nodes), cell.band)), pa.array(nodes)], schema=schema)
+
+
+def _link(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Links between components in each cell; joined components are compared no more."""
+    for cell in _by_cell(batches):
+        joined, found = UnionFind(), []
+        for x, partners, equal in cell.plausible():
+            own = cell.shingles(x)
+            for y in partners[np.argsort(-equal, kind="stable")].tolist():
+                a, b = int(cell.root[x]), int(cell.root[y])
+                if joined.find(a) == joined.find(b):
+                    continue
+                other = cell.shingles(y)
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                shared = int(np.count_nonzero(own[at] == other))
+                if 100 * shared >= PERCENT * (len(own) + len(other) - shared):
+                    joined.join(a, b)
+                    found.append((int(cell.node[x]), int(cell.node[y])))
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
 
 
 def _grouped(df: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -253,11 +324,9 @@ def _grouped(df: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
     pairs = run.stars(buckets)
     links = run.verify(pairs)
     roots = freeze(components(links))
-    more = run.completing(buckets, roots, pairs)
+    more = run.completing(buckets, roots)
     if not more.isEmpty():
-        found = run.verify(more)
-        if not found.isEmpty():
-            roots = freeze(components(links.unionByName(found)))
+        roots = freeze(components(links.unionByName(more)))
     heads = run.nodes.select("digest", "head", "node").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     stays = heads.groupBy("root").agg(F.min("head").alias("stays")).withColumn("component_id", F.col("stays.id"))
