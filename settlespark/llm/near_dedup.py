@@ -93,12 +93,10 @@ def _sketch(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
             chosen = [sets[row] for row in rows]
             owner = np.repeat(np.arange(len(chosen)), [len(s) for s in chosen])
             table = signatures(np.concatenate(chosen) if chosen else np.zeros(0, np.uint64), owner, len(chosen))
-            keys = band_keys(table, BAND_ROWS)
             at = {row: k for k, row in enumerate(rows)}
             columns = {
                 "digest": digests, "n": [len(s) for s in sets],
                 "sig": [table[at[r]].tobytes() if f else None for r, f in enumerate(fresh)],
-                "bands": [keys[at[r]] if f else None for r, f in enumerate(fresh)],
             }
             yield pa.RecordBatch.from_arrays([
                 part[f.name] if f.name in ("id", "key") else pa.array(columns[f.name], f.type) for f in schema
@@ -108,10 +106,22 @@ def _sketch(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 def _full_sets(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, pc.binary_length(batch["text"]).to_pylist(), SLICE_BYTES):
-            sets, digests = shingle_sets(part["text"].to_pylist())
+            sets, _ = shingle_sets(part["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([
-                pa.array(digests, pa.binary()),
-                pa.array([s.view(np.int64) for s in sets], schema.field(1).type)], schema=schema)
+                part["node"], pa.array([s.view(np.int64) for s in sets], schema.field(1).type)], schema=schema)
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SLOTS)
+
+
+def _places(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One row per node and band."""
+    for batch in batches:
+        keys = band_keys(_signatures(batch["sig"]), BAND_ROWS)
+        yield pa.RecordBatch.from_arrays([
+            *[pa.array(np.repeat(batch[c].to_numpy(), keys.shape[1])) for c in ("node", "n")],
+            pa.array(keys.reshape(-1))], schema=schema)
 
 
 def _same_size(a: Column, b: Column) -> Column:
@@ -130,16 +140,20 @@ class _Groups:
         self.documents = freeze(map_batches(self.texts, _sketch, T.StructType([
             *self.texts.schema.fields[:2], T.StructField("digest", T.BinaryType()),
             T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()),
-            T.StructField("bands", T.ArrayType(T.LongType())),
         ])))
         self.nodes = freeze(
             self.documents.filter("n > 0").groupBy("digest").agg(
                 # a null id comes last
                 F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "key")).alias("head"),
                 F.first("n").alias("n"),
-                F.first("sig", ignorenulls=True).alias("sig"), F.first("bands", ignorenulls=True).alias("bands"),
+                F.first("sig", ignorenulls=True).alias("sig"),
             ).withColumn("node", F.monotonically_increasing_id()))
-        self.places = self.nodes.select("node", "n", F.explode("bands").alias("band"))
+        places = map_batches(self.nodes.select("node", "n", "sig"), _places, T.StructType([
+            T.StructField(c, T.LongType()) for c in ("node", "n", "band")]))
+        buckets = places.groupBy("band").agg(
+            F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("least")).filter("m > 1").drop("m")
+        # nodes in buckets with others
+        self.met = freeze(places.join(buckets, "band"))
         self.sets: DataFrame | None = None
 
     def _fetch_sets(self, nodes: DataFrame) -> None:
@@ -147,13 +161,11 @@ class _Groups:
         wanted = nodes.distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
-        wanted = freeze(self.nodes.join(wanted, "node", "left_semi").select("node", "digest", "head.key"))
-        keys = wanted.select("key")
-        texts = self.texts.join(small(keys, keys.count(), MAX_BROADCAST_ROWS), "key", "left_semi")
+        wanted = freeze(self.nodes.join(wanted, "node", "left_semi").select("node", "head.key"))
+        texts = self.texts.select("key", "text").join(small(wanted, wanted.count(), MAX_BROADCAST_ROWS), "key")
         # rows that share a key are the same text
-        found = map_batches(texts.dropDuplicates(["key"]).select("text"), _full_sets, T.StructType([
-            T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
-        sets = freeze(wanted.select("node", "digest").join(found, "digest").select("node", "shingles"))
+        sets = freeze(map_batches(texts.dropDuplicates(["node"]), _full_sets, T.StructType([
+            T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])))
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -169,15 +181,15 @@ class _Groups:
             (F.size("of_a") + F.size("of_b")).alias("sizes"),
         ).filter(100 * F.col("shared") >= PERCENT * (F.col("sizes") - F.col("shared"))).select("u", "v"))
 
-    def stars(self, buckets: DataFrame) -> DataFrame:
+    def stars(self) -> DataFrame:
         """Pairs of each node with the smallest of its bucket, if the sizes allow a link."""
-        met = self.places.join(buckets, "band").filter("node <> least.node")
-        return freeze(met.filter(_same_size(F.col("n"), F.col("least.n"))).select(
+        others = self.met.filter("node <> least.node")
+        return freeze(others.filter(_same_size(F.col("n"), F.col("least.n"))).select(
             F.col("least.node").alias("a"), F.col("node").alias("b")).distinct())
 
-    def completing(self, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    def completing(self, roots: DataFrame) -> DataFrame:
         """Links between different components that meet in a bucket."""
-        met = self.places.join(buckets.select("band"), "band").join(
+        met = self.met.drop("least").join(
             roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         per_root = met.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
         open_ = freeze(per_root.groupBy("band").agg(
@@ -185,7 +197,7 @@ class _Groups:
         ).filter(F.col("rows") > F.col("main.m")))
         held = freeze(met.join(open_, "band").select(
             "band", "node", "root", "n", (F.col("root") != F.col("main.root")).alias("odd")))
-        marks = self.nodes.select("node", "sig", "bands")
+        marks = self.nodes.select("node", "sig")
         plausible = freeze(map_batches(
             _cells(held, marks), _compare, T.StructType([T.StructField("band", T.LongType()),
                                                          T.StructField("node", T.LongType())])).distinct())
@@ -233,8 +245,8 @@ class _Cell:
         self.right = len(left) - int(np.count_nonzero(left))
         self.node, self.root, self.n = (table[c].to_numpy() for c in ("node", "root", "n"))
         self.odd = table["odd"].to_numpy()
-        self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, SLOTS)
-        self.bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(left), -1)
+        self.sig = _signatures(table["sig"])
+        self.bands = band_keys(self.sig, BAND_ROWS)
         self.sets = table["shingles"] if "shingles" in table.column_names else None
 
     def plausible(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -319,12 +331,9 @@ def _link(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 def _grouped(df: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """All documents, and per node its component's smallest id and the head that stays."""
     run = _Groups(df, id, text)
-    buckets = freeze(run.places.groupBy("band").agg(
-        F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("least")).filter("m > 1").drop("m"))
-    pairs = run.stars(buckets)
-    links = run.verify(pairs)
+    links = run.verify(run.stars())
     roots = freeze(components(links))
-    more = run.completing(buckets, roots)
+    more = run.completing(roots)
     if not more.isEmpty():
         roots = freeze(components(links.unionByName(more)))
     heads = run.nodes.select("digest", "head", "node").join(roots, "node", "left").withColumn(
