@@ -67,21 +67,34 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of frozen tables, which nothing may read any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+@contextmanager
+def kept_paths() -> Iterator[list[str]]:
+    """A list that holds, when the block ends, the folders frozen inside it."""
+    start, paths = len(_FROZEN), []
+    try:
+        yield paths
+    finally:
+        paths += _FROZEN[start:]
+        del _FROZEN[start:]
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables frozen inside this block when it ends.
 
     What the block returns must not read them any more: write results inside it.
     """
-    start = len(_FROZEN)
-    try:
+    with kept_paths() as paths:
         yield
-    finally:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _FROZEN[start:]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
-        del _FROZEN[start:]
+    delete(spark, paths)
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
