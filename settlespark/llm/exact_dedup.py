@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -118,83 +119,103 @@ def _fold(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
 
 
 def _settle(
-    batches: Iterator[pa.RecordBatch], schema: pa.Schema, table_bytes: int
+    batches: Iterator[pa.RecordBatch], schema: pa.Schema, table_bytes: int, keep_rows: bool
 ) -> Iterator[pa.RecordBatch]:
-    """Classes of one bucket; records beyond the table's bytes leave as they came."""
+    """Classes of one bucket; records beyond the table's bytes leave as they came.
+
+    Returns a row per record with its class, or with ``keep_rows`` one whole row per
+    class: the record that stays.
+    """
     table = ContentTable()
-    best_id, best_key, sizes, keys, entries = [], [], [], [], []
+    best, sizes, keys, entries = [], [], [], []
+    carried = [f.name for f in schema if f.name in ("absent", "rest")]
     for batch in batches:
         passed = []
         columns = [batch[c].to_pylist() for c in ("key", "id", "n", "digest", "content")]
         for row, (key, id_, n, digest, content) in enumerate(zip(*columns)):
             hash_ = int(digest[:16], 16)
             entry, slot = table.find(hash_, content)
-            if entry < 0:
+            new = entry < 0
+            if new:
                 if len(table) and table.bytes + len(content) > table_bytes:
                     passed.append(row)
                     continue
                 entry = table.add(hash_, content, slot)
-                best_id.append(id_)
-                best_key.append(key)
+                best.append(None)
                 sizes.append(0)
-            elif _larger(id_, best_id[entry]):
-                best_id[entry], best_key[entry] = id_, key
+            if new or _larger(id_, best[entry]["keep_id"]):
+                best[entry] = {"keep_key": key, "keep_id": id_, "key": key, "id": id_, "digest": digest}
+                if keep_rows:
+                    best[entry] |= {c: batch[c][row].as_py() for c in carried}
             sizes[entry] += n
-            keys.append(key)
-            entries.append(entry)
+            if not keep_rows:
+                keys.append(key)
+                entries.append(entry)
         if passed:
             kept = batch.take(pa.array(passed))
-            empty = pa.nulls(len(passed))
             yield pa.RecordBatch.from_arrays([
-                kept[f.name] if f.name in kept.schema.names else empty.cast(f.type) for f in schema
+                kept[f.name] if f.name in kept.schema.names else pa.nulls(len(passed), f.type) for f in schema
             ], schema=schema)
+    if keep_rows:
+        start, held = 0, 0
+        for entry in range(len(table) + 1):
+            if entry == len(table) or held > BATCH_BYTES:
+                yield _filled(schema, entry - start, best[start:entry], content=table.contents[start:entry])
+                start, held = entry, 0
+            held += len(table.contents[entry]) if entry < len(table) else 0
+        return
     for start in range(0, len(keys), 10_000):
         found = entries[start:start + 10_000]
-        columns = {
-            "key": keys[start:start + 10_000], "keep_key": [best_key[e] for e in found],
-            "keep_id": [best_id[e] for e in found], "group_size": [sizes[e] for e in found],
-        }
-        yield pa.RecordBatch.from_arrays([
-            pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(found), f.type)
-            for f in schema
-        ], schema=schema)
-
-
-def _classes(df: DataFrame, id: str, text: str, table_bytes: int, carry: bool):
-    """Folded rows, and for the key of each folded content its class."""
-    held = df.select(
+        classes = [{"keep_key": best[e]["keep_key"], "keep_id": best[e]["keep_id"], "group_size": sizes[e]}
+                   for e in found]
+        yield _filled(schema, len(found), classes, key=keys[start:start + 10_000])
+
+
+def _filled(schema: pa.Schema, rows: int, values: list[dict], **columns: list) -> pa.RecordBatch:
+    """A batch from some columns and row values, null where there is neither."""
+    known = values[0].keys() if values else ()
+    return pa.RecordBatch.from_arrays([
+        pa.array(columns[f.name], f.type) if f.name in columns
+        else pa.array([v[f.name] for v in values], f.type) if f.name in known
+        else pa.nulls(rows, f.type) for f in schema
+    ], schema=schema)
+
+
+def _held(df: DataFrame, id: str, text: str, carry: bool) -> DataFrame:
+    return df.select(
         F.col(f"`{id}`").alias("id"), text_or_empty(text).cast("binary").alias("content"),
         F.col(f"`{text}`").isNull().alias("absent"),
         *([others(df, id, text).alias("rest")] if carry else []),
     )
-    schema = T.StructType([
+
+
+def _folded(held: DataFrame) -> DataFrame:
+    return map_batches(held, _fold, T.StructType([
         *[f for f in held.schema.fields if f.name != "content"],
         T.StructField("key", T.LongType()), T.StructField("head", T.BooleanType()),
         T.StructField("n", T.LongType()), T.StructField("digest", T.StringType()),
         T.StructField("bytes", T.LongType()), T.StructField("content", T.BinaryType()),
-    ])
-    folded = freeze(map_batches(held, _fold, schema))
-    records = folded.filter("head").select("key", "id", "n", "digest", "bytes", "content")
+    ]))
+
+
+def _levels(records: DataFrame, left: int | None, table_bytes: int, keep_rows: bool) -> DataFrame:
+    """Partition, settle, and partition again what was passed on, until nothing is left."""
     out = T.StructType([
         *records.schema.fields, T.StructField("keep_key", T.LongType()),
-        T.StructField("keep_id", held.schema["id"].dataType), T.StructField("group_size", T.LongType()),
+        T.StructField("keep_id", records.schema["id"].dataType), T.StructField("group_size", T.LongType()),
     ])
-    levels, left = [], records.agg(F.sum("bytes")).first()[0]
-    while left is not None:
-        level = len(levels)
+    columns, found = records.columns, None
+    for level in count():
         # half a table on average, so that few buckets pass records on
-        buckets = int_bounded(left, table_bytes // 2, shuffles(df) if level == 0 else 1)
+        buckets = int_bounded(left or 0, table_bytes // 2, shuffles(records) if level == 0 else 1)
         dealt = records.repartition(buckets, F.xxhash64(F.lit(level), "digest"))
-        spilled = freeze(map_batches(dealt, _settle, out, table_bytes))
-        levels.append(spilled.filter("keep_key is not null").select(
-            "key", "keep_key", "keep_id", "group_size"))
-        records = spilled.filter("keep_key is null").select(*records.columns)
+        spilled = freeze(map_batches(dealt, _settle, out, table_bytes, keep_rows))
+        settled = spilled.filter("keep_key is not null")
+        found = settled if found is None else found.unionByName(settled)
+        records = spilled.filter("keep_key is null").select(*columns)
         left = records.agg(F.sum("bytes")).first()[0]
-    found = levels[0] if levels else folded.sparkSession.createDataFrame(
-        [], T.StructType([f for f in out.fields if f.name in ("key", "keep_key", "keep_id", "group_size")]))
-    for other in levels[1:]:
-        found = found.unionByName(other)
-    return folded, found
+        if left is None:
+            return found
 
 
 def exact_groups(
@@ -208,8 +229,13 @@ def exact_groups(
     An empty table gives an empty result.  ``table_bytes`` bounds the contents
     that a task holds (a single longer content is held alone).
     """
-    folded, found = _classes(df, id, text, table_bytes, carry=False)
-    return folded.select("key", "id", "head", "digest").join(found, "key").select(
+    folded = freeze(_folded(_held(df, id, text, carry=False)))
+    records = folded.filter("head").select("key", "id", "n", "digest", "bytes", "content")
+    left = records.agg(F.sum("bytes")).first()[0]
+    found = _levels(records, left, table_bytes, keep_rows=False)
+    return folded.select("key", "id", "head", "digest").join(
+        found.select("key", "keep_key", "keep_id", "group_size"), "key"
+    ).select(
         F.col("id").alias(id), F.col("keep_id"), F.col("group_size"),
         (F.col("head") & (F.col("key") == F.col("keep_key"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
@@ -220,9 +246,9 @@ def drop_exact_copies(
     df: DataFrame, id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES
 ) -> DataFrame:
     """The rows of ``df`` that :func:`exact_groups` keeps, with all their columns."""
-    folded, found = _classes(df, id, text, table_bytes, carry=True)
-    keys = found.filter(F.col("key") == F.col("keep_key")).select("key")
-    kept = folded.filter("head").join(keys, "key", "left_semi")
+    held = _held(df, id, text, carry=True)
+    left = held.agg(F.sum(F.octet_length("content"))).first()[0]
+    kept = _levels(_folded(held).filter("head").drop("head"), left, table_bytes, keep_rows=True)
     content = F.when(~F.col("absent"), F.col("content").cast("string"))
     return restore(kept, df.columns, **{
         id: F.col("id"), text: content.cast(df.schema[text].dataType)})
