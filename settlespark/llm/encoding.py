@@ -21,7 +21,7 @@ import numpy as np
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Chunks of a tokenizer that drops white space, and of one whose tokens may begin with it.
 BARE, SPACED = f"[^{SPACE}]+", f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
-CACHED_PARTS = 800_000
+CACHED_PARTS = 400_000
 
 # Texts of these characters and without a control string are cut into pieces here; all
 # others into chunks.  The letters are those of Latin-1 and Latin Extended-A that keep

@@ -25,7 +25,7 @@ from settlespark.llm.batches import (
 )
 from settlespark.plans.skew import freeze
 
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
 
 

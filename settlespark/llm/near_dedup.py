@@ -45,7 +45,7 @@ BAND_ROWS = 5
 PLAUSIBLE = 88
 BLOCK = 500
 SLICE_BYTES = 4 << 20
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 
 
 class _WordHashes(dict):
