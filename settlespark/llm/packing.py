@@ -6,7 +6,8 @@ packed by one task: best fit places the pieces, then a local search exchanges
 pieces of underfull sequences, one for one, two for one, or by moving one.  Every
 step increases the sum of squared fills, so the emptiest sequence drains until it
 is gone.  What the groups leave underfull is dealt again into fewer groups, until
-one group is left.
+one group is left.  In every round the fullest sequences that hold half of a group's
+pieces are final, so the pieces halve and the last group is no larger than others.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from settlespark.llm.encoding import encoder
 from settlespark.plans.skew import freeze
 
 GROUP_PIECES = 20_000
+# Tokens of a group suffice for so many sequences, however small its pieces are.
+GROUP_SEQUENCES = 8
 # A sequence with less room than this share of its length is not opened again.
 CLOSED_SHARE = 1 / 256
 SOURCES = 50
@@ -185,16 +188,35 @@ def pack(sizes: list[int], capacity: int, sources: int = SOURCES) -> list[list[i
     return [[i for _, i in p] for p in bins.pieces if p]
 
 
+def closing(filled: list[tuple[int, int]], capacity: int) -> list[bool]:
+    """Which sequences, given as (tokens, pieces), are not opened again: those with little
+    room, and the fullest ones until half of the pieces are in closed ones."""
+    pieces, held, closed = sum(n for _, n in filled), 0, [False] * len(filled)
+    for at in sorted(range(len(filled)), key=lambda at: -filled[at][0]):
+        tokens, n = filled[at]
+        if 2 * held >= pieces and capacity - tokens > capacity * CLOSED_SHARE:
+            break
+        closed[at] = True
+        held += n
+    return closed
+
+
+def group_count(pieces: int, tokens: int, capacity: int, group_pieces: int) -> int:
+    """Groups of about ``group_pieces``, each with tokens for some sequences."""
+    return max(1, min(math.ceil(pieces / group_pieces), tokens // (GROUP_SEQUENCES * capacity)))
+
+
 def _pack_group(capacity: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("deal", "ascending")])
         sizes = table["length"].to_pylist()
         sequence, offset, closed = ([0] * len(sizes) for _ in range(3))
-        slack = 0 if last else capacity * CLOSED_SHARE
-        for number, members in enumerate(pack(sizes, capacity)):
-            at, room = 0, capacity - sum(sizes[i] for i in members)
+        packed = pack(sizes, capacity)
+        final = closing([(sum(sizes[i] for i in members), len(members)) for members in packed], capacity)
+        for number, members in enumerate(packed):
+            at = 0
             for i in members:
-                sequence[i], offset[i], closed[i] = number, at, last or room <= slack
+                sequence[i], offset[i], closed[i] = number, at, last or final[number]
                 at += sizes[i]
         for name, values, kind in (
             ("sequence", sequence, pa.int64()), ("offset", offset, pa.int64()), ("closed", closed, pa.bool_())
@@ -215,28 +237,33 @@ def pack_sequences(
     document before it), ``length``, ``ids_crc32``, ``sequence_id`` and
     ``offset`` in the sequence, gapless from 0.  Rows that repeat an id are
     documents of their own; other columns are ignored; an empty table gives an
-    empty result.  ``group_pieces`` is about the number of pieces a task packs.
+    empty result.  ``group_pieces`` is about the number of pieces a task packs, in
+    every round (more if they are so small that they fill few sequences).
     """
     left = freeze(cut(df, tokenizer, end_id, length, id, text))
     out = T.StructType([
         *left.schema.fields, T.StructField("group", T.LongType()), T.StructField("sequence", T.LongType()),
         T.StructField("offset", T.LongType()), T.StructField("closed", T.BooleanType()),
     ])
-    rounds, result, pieces = 0, None, left.count()
+    def measure(df: DataFrame) -> tuple[int, int]:
+        count, tokens = df.agg(F.count(F.lit(1)), F.sum("length")).first()
+        return count, tokens or 0
+
+    rounds, numbered, result, (pieces, tokens) = 0, 0, None, measure(left)
     while result is None or pieces:
-        groups = max(1, math.ceil(pieces / group_pieces))
+        groups = group_count(pieces, tokens, length, group_pieces)
         dealt = left.withColumn("group", F.pmod(F.xxhash64("deal", F.lit(rounds)), F.lit(groups)))
         packed = freeze(
             dealt.repartition(groups, "group").groupBy("group")
             .applyInArrow(_pack_group(length, groups == 1), out))
+        # sequences of a group; each round numbers from where the one before it ended
+        width = (packed.agg(F.max("sequence")).first()[0] or 0) + 1
         done = packed.filter("closed").select(
             F.col("id").alias(id), "piece", "start", "length", "ids_crc32",
-            # round, group (28 bits) and sequence in the group (30 bits)
-            (F.lit(rounds << 58) + F.shiftleft("group", 30) + F.col("sequence")).alias("sequence_id"),
+            (F.lit(numbered).cast("long") + F.col("group") * F.lit(width).cast("long") + F.col("sequence")).alias("sequence_id"),
             "offset")
         result = done if result is None else result.unionByName(done)
         left = packed.filter(~F.col("closed")).select(*left.columns)
-        before, pieces, rounds = groups, 0 if groups == 1 else left.count(), rounds + 1
-        if before > 1 and math.ceil(pieces / group_pieces) >= before:
-            group_pieces *= 2
+        pieces, tokens = (0, 0) if groups == 1 else measure(left)
+        rounds, numbered = rounds + 1, numbered + groups * width
     return result

@@ -8,7 +8,8 @@ import public_tokenizers
 import pytest
 
 from settlespark.llm.encoding import _tokenizer
-from settlespark.llm.packing import Bins, improve, pack, pack_sequences
+from settlespark.llm import packing
+from settlespark.llm.packing import Bins, closing, group_count, improve, pack, pack_sequences
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -70,5 +71,32 @@ def test_pieces_hold_every_token_once(spark, group_pieces):
     assert len(sequences) <= math.ceil(sum(r.length for r in got) / 128) + 2
 
 
+def test_groups_stay_bounded_when_pieces_fill_no_gaps(spark, tmp_path, monkeypatch):
+    run = packing._pack_group
+
+    def watched(capacity, last):
+        inner = run(capacity, last)
+
+        def pack_one(table):
+            (tmp_path / f"{random.random()}").write_text(str(table.num_rows))
+            return inner(table)
+        return pack_one
+
+    monkeypatch.setattr(packing, "_pack_group", watched)
+    # 80 tokens and the end: no two fit into 128
+    df = spark.createDataFrame([(i, "the " * 80) for i in range(1200)], "doc_id long, text string")
+    got = pack_sequences(df, PATH, 1, length=128, group_pieces=100).collect()
+    assert len({r.sequence_id for r in got}) == len(got) == 1200
+    assert max(int(f.read_text()) for f in tmp_path.iterdir()) < 200
+
+
+def test_half_of_the_pieces_are_closed_fullest_first():
+    assert closing([(60, 1), (90, 2), (100, 1), (55, 2), (70, 1)], 100) == [False, True, True, False, True]
+    assert closing([(100, 1), (100, 1), (40, 1)], 100) == [True, True, False]
+    # many small pieces are not spread over more groups than they fill sequences of
+    assert group_count(1_000_000, 1_000_000, 100_000, 20_000) == 1
+    assert group_count(1_000_000, 500_000_000, 4096, 20_000) == 50
+
+
 def test_empty_table(spark):
     assert pack_sequences(spark.createDataFrame([], "doc_id long, text string"), PATH, 1).collect() == []
