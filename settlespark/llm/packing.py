@@ -32,7 +32,8 @@ GROUP_PIECES = 20_000
 GROUP_SEQUENCES = 8
 # A sequence with less room than this share of its length is not opened again.
 CLOSED_SHARE = 1 / 256
-SOURCES = 50
+# Sequences in a row that could not be emptied, after which the search ends.
+FAILURES = 50
 
 
 def _pieces(
@@ -133,58 +134,61 @@ def _gain(source: list, target: list, gap: int, least: int):
     return out, given, amount
 
 
-def improve(bins: Bins, sources: int = SOURCES) -> None:
+def improve(bins: Bins, failures: int = FAILURES) -> None:
     """Drain the emptiest sequences into the gaps of fuller ones.
 
     Each accepted exchange moves a positive amount from a sequence to one that
     becomes fuller than the first was, so the sum of squares rises and the search
-    ends.  It also ends when no packing can have fewer sequences.  ``sources``
-    bounds the sequences that are tried, emptiest first.
+    ends.  It also ends when no packing can have fewer sequences.  Sequences are tried
+    emptiest first, again after each pass that emptied one; ``failures`` in a row end
+    the search, as fuller ones are harder to empty.
     """
     capacity, fill, pieces = bins.capacity, bins.fill, bins.pieces
     total = sum(fill)
     alive = sum(1 for f in fill if f)
-    tried = 0
-    for source in sorted(range(len(fill)), key=fill.__getitem__):
-        if alive * capacity - total < capacity or tried >= sources:
-            break
-        if not fill[source] or fill[source] == capacity:
-            continue
-        tried += 1
-        order = sorted(
-            (b for b in range(len(fill)) if b != source and 0 < fill[b] < capacity),
-            key=lambda b: -fill[b])
-        moved = True
-        while fill[source] and moved:
-            moved = False
-            for target in order:
-                gap = capacity - fill[target]
-                if not gap:
-                    continue
-                found = _gain(pieces[source], pieces[target], gap, max(0, fill[source] - fill[target]))
-                if found is None:
-                    continue
-                out, back, amount = found
-                for p in out:
-                    pieces[source].remove(p)
-                    pieces[target].append(p)
-                if back:
-                    pieces[target].remove(back)
-                    pieces[source].append(back)
-                fill[source] -= amount
-                fill[target] += amount
-                moved = True
-                if not fill[source]:
-                    alive -= 1
-                    break
-
-
-def pack(sizes: list[int], capacity: int, sources: int = SOURCES) -> list[list[int]]:
+    failed, before = 0, None
+    while alive != before:
+        before = alive
+        for source in sorted(range(len(fill)), key=fill.__getitem__):
+            if alive * capacity - total < capacity or failed >= failures:
+                return
+            if not fill[source] or fill[source] == capacity:
+                continue
+            order = sorted(
+                (b for b in range(len(fill)) if b != source and 0 < fill[b] < capacity),
+                key=lambda b: -fill[b])
+            failed += 1
+            moved = True
+            while fill[source] and moved:
+                moved = False
+                for target in order:
+                    gap = capacity - fill[target]
+                    if not gap:
+                        continue
+                    found = _gain(pieces[source], pieces[target], gap, max(0, fill[source] - fill[target]))
+                    if found is None:
+                        continue
+                    out, back, amount = found
+                    for p in out:
+                        pieces[source].remove(p)
+                        pieces[target].append(p)
+                    if back:
+                        pieces[target].remove(back)
+                        pieces[source].append(back)
+                    fill[source] -= amount
+                    fill[target] += amount
+                    moved = True
+                    if not fill[source]:
+                        alive, failed = alive - 1, 0
+                        break
+
+
+def pack(sizes: list[int], capacity: int, failures: int = FAILURES) -> list[list[int]]:
     """Indices of the pieces in each sequence."""
     bins = Bins(capacity)
     for index in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         bins.place(sizes[index], index)
-    improve(bins, sources)
+    improve(bins, failures)
     return [[i for _, i in p] for p in bins.pieces if p]
 
 

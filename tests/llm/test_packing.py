@@ -45,6 +45,12 @@ def test_search_empties_a_sequence(members):
     assert [sum(s for s, _ in p) for p in bins.pieces] == bins.fill
 
 
+def test_search_goes_on_while_sequences_can_be_emptied():
+    bins = bins_of(10, *[[7]] * 120, *[[3, 3]] * 60)
+    improve(bins)
+    assert sum(1 for f in bins.fill if f) == 120
+
+
 ROWS = [(1, ""), (2, None), (3, "the cat " * 900), (3, "again"), (None, "x"), (4, "word " * 70)] + [
     (i, "some words here " * (i % 37)) for i in range(10, 200)]
 
