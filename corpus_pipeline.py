@@ -21,6 +21,9 @@ from settlespark.llm.quality import drop_low_quality
 from settlespark.plans.skew import checkpoint_dir, delete, kept_paths
 
 
+# Documents are near copies from this share of common five-word shingles on.
+NEAR_PERCENT = 80
+
 _left: list[str] = []
 
 
@@ -55,7 +58,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs)
+    return drop_near_copies(docs, percent=NEAR_PERCENT)
 
 
 @_stage

@@ -18,7 +18,10 @@ shares a band.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +39,48 @@ from settlespark.llm.superminhash import SLOTS, band_keys, mix, signatures
 from settlespark.plans.skew import freeze
 
 SHINGLE = 5
-# Links: 100 * intersection >= PERCENT * union.
+# Links: 100 * intersection >= percent * union.
 PERCENT = 85
-# 25 bands of 5 slots: a pair at the threshold shares no band with probability 4e-7.
-BAND_ROWS = 5
-# Equal slots from which a pair is verified; at the threshold 106 are expected, with a
-# standard deviation below 4, so fewer than 88 have a probability of about 1e-6.
-PLAUSIBLE = 88
+# A pair at the threshold shares no band with less than this probability.
+UNMET = 1e-6
+# Below so many equal slots a pair is not verified; a pair at the threshold has fewer with
+# less than this probability, taking slots as independent.
+UNLIKELY = 1e-5
 BLOCK = 500
 SLICE_BYTES = 4 << 20
 CACHED_WORDS = 150_000
 
 
+@dataclass(frozen=True)
+class Threshold:
+    """Links from ``percent`` on, and how pairs are sought for them."""
+
+    percent: int
+
+    @cached_property
+    def band_rows(self) -> int:
+        """Slots a band, as many as ``UNMET`` allows: 5 at 85 percent, 4 at 80."""
+        p = self.percent / 100
+        rows = [r for r in range(1, SLOTS + 1) if (1 - p ** r) ** (SLOTS // r) < UNMET]
+        if not rows or p > 1:
+            raise ValueError(f"pairs are not found reliably at {self.percent} percent")
+        return max(rows)
+
+    @cached_property
+    def plausible(self) -> int:
+        """Equal slots from which a pair is verified."""
+        p, below = self.percent / 100, 0.0
+        for slots in range(SLOTS):
+            below += comb(SLOTS, slots) * p ** slots * (1 - p) ** (SLOTS - slots)
+            if below >= UNLIKELY:
+                return slots
+        return SLOTS
+
+    def same_size(self, a: Column, b: Column) -> Column:
+        """A bound on the sizes that every link keeps."""
+        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = value = xxhash.xxh3_64_intdigest(word)
@@ -115,24 +148,20 @@ def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SLOTS)
 
 
-def _places(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _places(batches, schema: pa.Schema, band_rows: int) -> Iterator[pa.RecordBatch]:
     """One row per node and band."""
     for batch in batches:
-        keys = band_keys(_signatures(batch["sig"]), BAND_ROWS)
+        keys = band_keys(_signatures(batch["sig"]), band_rows)
         yield pa.RecordBatch.from_arrays([
             *[pa.array(np.repeat(batch[c].to_numpy(), keys.shape[1])) for c in ("node", "n")],
             pa.array(keys.reshape(-1))], schema=schema)
 
 
-def _same_size(a: Column, b: Column) -> Column:
-    """A bound on the sizes that every link keeps."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-
-
 class _Groups:
     """The tables of one run; every one that is read twice is written first."""
 
-    def __init__(self, df: DataFrame, id: str, text: str):
+    def __init__(self, df: DataFrame, id: str, text: str, threshold: Threshold):
+        self.threshold = threshold
         body = text_or_empty(text)
         self.texts = df.select(
             F.col(f"`{id}`").alias("id"), row_key(F.col(f"`{id}`"), body).alias("key"),
@@ -149,7 +178,7 @@ class _Groups:
                 F.first("sig", ignorenulls=True).alias("sig"),
             ).withColumn("node", F.monotonically_increasing_id()))
         places = map_batches(self.nodes.select("node", "n", "sig"), _places, T.StructType([
-            T.StructField(c, T.LongType()) for c in ("node", "n", "band")]))
+            T.StructField(c, T.LongType()) for c in ("node", "n", "band")]), threshold.band_rows)
         buckets = places.groupBy("band").agg(
             F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("least")).filter("m > 1").drop("m")
         # nodes in buckets with others
@@ -179,12 +208,12 @@ class _Groups:
         return freeze(both.select(
             F.col("a").alias("u"), F.col("b").alias("v"), shared.alias("shared"),
             (F.size("of_a") + F.size("of_b")).alias("sizes"),
-        ).filter(100 * F.col("shared") >= PERCENT * (F.col("sizes") - F.col("shared"))).select("u", "v"))
+        ).filter(100 * F.col("shared") >= self.threshold.percent * (F.col("sizes") - F.col("shared"))).select("u", "v"))
 
     def stars(self) -> DataFrame:
         """Pairs of each node with the smallest of its bucket, if the sizes allow a link."""
         others = self.met.filter("node <> least.node")
-        return freeze(others.filter(_same_size(F.col("n"), F.col("least.n"))).select(
+        return freeze(others.filter(self.threshold.same_size(F.col("n"), F.col("least.n"))).select(
             F.col("least.node").alias("a"), F.col("node").alias("b")).distinct())
 
     def completing(self, roots: DataFrame) -> DataFrame:
@@ -200,13 +229,15 @@ class _Groups:
         marks = self.nodes.select("node", "sig")
         plausible = freeze(map_batches(
             _cells(held, marks), _compare, T.StructType([T.StructField("band", T.LongType()),
-                                                         T.StructField("node", T.LongType())])).distinct())
+                                                         T.StructField("node", T.LongType())]),
+            self.threshold).distinct())
         if plausible.isEmpty():
             return plausible.select(F.col("band").alias("u"), F.col("node").alias("v"))
         self._fetch_sets(plausible.select("node"))
         full = marks.join(self.sets, "node")
         return freeze(map_batches(
-            _cells(held.join(plausible, ["band", "node"], "left_semi"), full), _link, LINKS).distinct())
+            _cells(held.join(plausible, ["band", "node"], "left_semi"), full), _link, LINKS,
+            self.threshold).distinct())
 
 
 def _cells(held: DataFrame, carried: DataFrame) -> DataFrame:
@@ -238,7 +269,8 @@ def _cells(held: DataFrame, carried: DataFrame) -> DataFrame:
 class _Cell:
     """The rows of one cell; the right ones come first."""
 
-    def __init__(self, rows: list[pa.RecordBatch]):
+    def __init__(self, rows: list[pa.RecordBatch], threshold: Threshold):
+        self.threshold = threshold
         table = pa.Table.from_batches(rows)
         left = table["left"].to_numpy()
         self.band = table["band"][0].as_py()
@@ -246,7 +278,7 @@ class _Cell:
         self.node, self.root, self.n = (table[c].to_numpy() for c in ("node", "root", "n"))
         self.odd = table["odd"].to_numpy()
         self.sig = _signatures(table["sig"])
-        self.bands = band_keys(self.sig, BAND_ROWS)
+        self.bands = band_keys(self.sig, threshold.band_rows)
         self.sets = table["shingles"] if "shingles" in table.column_names else None
 
     def plausible(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -258,14 +290,14 @@ class _Cell:
         root, odd, n = self.root[:self.right], self.odd[:self.right], self.n[:self.right]
         for x in range(self.right, len(self.node)):
             fits = (root != self.root[x]) & (~odd | (self.node[:self.right] > self.node[x]))
-            fits &= 100 * np.minimum(n, self.n[x]) >= PERCENT * np.maximum(n, self.n[x])
+            fits &= 100 * np.minimum(n, self.n[x]) >= self.threshold.percent * np.maximum(n, self.n[x])
             at = np.flatnonzero(fits)
             if not len(at):
                 continue
             same = self.bands[at] == self.bands[x]
             at = at[self.bands[x][np.argmax(same, axis=1)] == self.band]
             equal = np.count_nonzero(self.sig[at] == self.sig[x], axis=1)
-            kept = equal >= PLAUSIBLE
+            kept = equal >= self.threshold.plausible
             if kept.any():
                 yield x, at[kept], equal[kept]
 
@@ -274,7 +306,7 @@ class _Cell:
         return self.sets[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def _by_cell(batches) -> Iterator[_Cell]:
+def _by_cell(batches, threshold: Threshold) -> Iterator[_Cell]:
     """Cells in a stream of rows in which those of a cell follow one another."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -286,17 +318,17 @@ def _by_cell(batches) -> Iterator[_Cell]:
                 if row > start:
                     held.append(batch.slice(start, row - start))
                 if held:
-                    yield _Cell(held)
+                    yield _Cell(held, threshold)
                 held, start, last = [], row, cell
         if len(ids) > start:
             held.append(batch.slice(start))
     if held:
-        yield _Cell(held)
+        yield _Cell(held, threshold)
 
 
-def _compare(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _compare(batches, schema: pa.Schema, threshold: Threshold) -> Iterator[pa.RecordBatch]:
     """The rows of each cell that have a plausible partner."""
-    for cell in _by_cell(batches):
+    for cell in _by_cell(batches, threshold):
         rows: set[int] = set()
         for x, partners, _ in cell.plausible():
             rows.add(x)
@@ -307,9 +339,9 @@ def _compare(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
                 [pa.array(np.full(len(nodes), cell.band)), pa.array(nodes)], schema=schema)
 
 
-def _link(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _link(batches, schema: pa.Schema, threshold: Threshold) -> Iterator[pa.RecordBatch]:
     """Links between components in each cell; joined components are compared no more."""
-    for cell in _by_cell(batches):
+    for cell in _by_cell(batches, threshold):
         joined, found = UnionFind(), []
         for x, partners, equal in cell.plausible():
             own = cell.shingles(x)
@@ -320,7 +352,7 @@ def _link(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
                 other = cell.shingles(y)
                 at = np.minimum(np.searchsorted(own, other), len(own) - 1)
                 shared = int(np.count_nonzero(own[at] == other))
-                if 100 * shared >= PERCENT * (len(own) + len(other) - shared):
+                if 100 * shared >= threshold.percent * (len(own) + len(other) - shared):
                     joined.join(a, b)
                     found.append((int(cell.node[x]), int(cell.node[y])))
         if found:
@@ -328,9 +360,9 @@ def _link(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
                 [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
 
 
-def _grouped(df: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+def _grouped(df: DataFrame, id: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """All documents, and per node its component's smallest id and the head that stays."""
-    run = _Groups(df, id, text)
+    run = _Groups(df, id, text, Threshold(percent))
     links = run.verify(run.stars())
     roots = freeze(components(links))
     more = run.completing(roots)
@@ -342,16 +374,16 @@ def _grouped(df: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
     return run.documents, heads.join(stays, "root").select("digest", "component_id", F.col("stays.key").alias("stays"))
 
 
-def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``df``: id, ``n_shingles``, ``component_id`` and ``kept``.
 
     Documents are linked when their sets of ``SHINGLE``-word shingles have a Jaccard
-    similarity of at least ``PERCENT`` / 100; ``component_id`` is the smallest id
+    similarity of at least ``percent`` / 100; ``component_id`` is the smallest id
     reachable over links (a null id counts only if there is no other), ``kept`` says
     whether it is the row's own.  A text without words (or null) is linked with
     nothing.  Rows may repeat; other columns are ignored; an empty table gives no row.
     """
-    documents, heads = _grouped(df, id, text)
+    documents, heads = _grouped(df, id, text, percent)
     joined = documents.select("id", "digest", "n").join(heads, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return joined.select(
@@ -359,11 +391,13 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
         F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_copies(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(
+    df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT
+) -> DataFrame:
     """One row of each group of near copies (the one with the smallest id), with all
     columns; texts without words stay.  Rows equal in id and text count as one row
     and stay or go together."""
-    documents, heads = _grouped(df, id, text)
+    documents, heads = _grouped(df, id, text, percent)
     gone = freeze(documents.filter("n > 0").select("key", "digest").join(heads, "digest")
                   .filter("key <> stays").select("key").distinct())
     number = "_row_key"

@@ -97,6 +97,27 @@ def test_drop_keeps_one_of_each_group(spark):
     assert sorted(set(left)) == sorted(groups)
 
 
+def test_pairs_between_both_thresholds_are_near_for_the_pipeline(spark):
+    import corpus_pipeline
+
+    words = [f"p{i}" for i in range(204)]
+    # each change spoils 5 of 200 shingles: 180 / 220 = 0.818
+    other = [f"q{i}" if i in (20, 60, 100, 140) else w for i, w in enumerate(words)]
+    far = [f"q{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert near_groups(df).filter("kept").count() == 2
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()] == [1]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(far))], "doc_id long, text string")
+    assert near_groups(df, percent=80).filter("kept").count() == 2
+
+
+def test_bands_and_equal_slots_follow_the_threshold():
+    for percent, rows in ((85, 5), (80, 4)):
+        link = near_dedup.Threshold(percent)
+        assert link.band_rows == rows
+        assert 50 < link.plausible < 1.25 * percent
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_groups(df).collect() == [] and drop_near_copies(df).collect() == []
