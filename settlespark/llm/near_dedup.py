@@ -45,7 +45,7 @@ PERCENT = 85
 UNMET = 1e-6
 # Below so many equal slots a pair is not verified; a pair at the threshold has fewer with
 # less than this probability, taking slots as independent.
-UNLIKELY = 1e-5
+UNLIKELY = 2e-7
 BLOCK = 500
 SLICE_BYTES = 4 << 20
 CACHED_WORDS = 150_000

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -118,6 +119,13 @@ def test_bands_and_equal_slots_follow_the_threshold():
         assert 50 < link.plausible < 1.25 * percent
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_plausible_pairs_are_missed_no_more_than_by_the_bands(percent):
+    link, p = near_dedup.Threshold(percent), percent / 100
+    tail = sum(math.comb(125, k) * p ** k * (1 - p) ** (125 - k) for k in range(link.plausible))
+    assert tail < (1 - 0.85 ** 5) ** 25
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_groups(df).collect() == [] and drop_near_copies(df).collect() == []
