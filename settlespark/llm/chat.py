@@ -4,9 +4,9 @@ A conversation is rendered as a whole and encoded once with character offsets.
 The spans of the assistant texts are then intersected with the token spans by
 binary search.  Every border of a span is a control token, so no token crosses it.
 
-A conversation too long for one row is rendered in blocks of ``TURNS`` turns; as
-each turn begins and ends with control tokens, the blocks put together are the
-encoding of the whole.
+Turns are sorted over the whole table and cut into blocks of at most ``TURNS`` rows
+as they stream by; as each turn begins and ends with control tokens, the blocks of a
+conversation put together are the encoding of the whole.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from settlespark.llm.batches import map_batches
+from settlespark.llm.batches import map_batches, partition_id
 from settlespark.plans.skew import freeze
 
 START, BODY, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TURNS = 256
+PREFIX = 128
 TARGET = "assistant"
 
 
@@ -91,30 +92,57 @@ FORMATTED = [
 ]
 
 
-def _format(batches, schema: pa.Schema, tokenizer: str):
-    chat = chat_tokenizer(tokenizer)
+def _format(batches, schema: pa.Schema, tokenizer: str, turns_per_block: int):
+    """Blocks of sorted turns; those of earlier partitions have lower numbers."""
+    chat, number = chat_tokenizer(tokenizer), partition_id() << 33
+
+    def formatted(id_, turns) -> pa.RecordBatch:
+        text, spans = render(turns)
+        encoding = chat.encode(text, add_special_tokens=False)
+        offsets = np.array(encoding.offsets, np.int64).reshape(-1, 2)
+        mask = loss_mask(offsets, spans)
+        values = (
+            id_, number, np.array(encoding.ids, "<u4").tobytes(),
+            np.packbits(mask, bitorder="little").tobytes(), len(mask), len(text))
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+
+    last, turns = None, []
     for batch in batches:
-        for row in range(batch.num_rows):
-            turns = batch["turns"][row].as_py()
-            text, spans = render([(t["role"], t["text"]) for t in turns])
-            encoding = chat.encode(text, add_special_tokens=False)
-            offsets = np.array(encoding.offsets, np.int64).reshape(-1, 2)
-            mask = loss_mask(offsets, spans)
-            yield pa.RecordBatch.from_arrays([
-                batch["id"].slice(row, 1), batch["block"].slice(row, 1),
-                pa.array([np.array(encoding.ids, "<u4").tobytes()], pa.binary()),
-                pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary()),
-                pa.array([len(mask)], pa.int64()), pa.array([len(text)], pa.int64()),
-            ], schema=schema)
+        for id_, role, text in zip(*[batch[c].to_pylist() for c in ("id", "role", "text")]):
+            if turns and (id_ != last or len(turns) == turns_per_block):
+                yield formatted(last, turns)
+                turns, number = [], number + 1
+            last = id_
+            turns.append((role, text))
+    if turns:
+        yield formatted(last, turns)
+
+
+def _sorted_turns(rows: DataFrame) -> DataFrame:
+    """Range partitions in the order of id, turn, role and text, sorted inside.
+
+    Only the first ``PREFIX`` characters of roles and texts are range keys, as a sample
+    of the keys is held by the driver.  Rows equal in all of them are told apart by a
+    random number if nothing was cut off, so that any number of them is spread; others
+    stay in one partition, which is sorted and streamed, not held.
+    """
+    cut_role, cut_text = (F.length(c) > PREFIX for c in ("role", "text"))
+    keys = {
+        "_role": F.substring("role", 1, PREFIX), "_cut_role": cut_role,
+        "_text": F.when(cut_role, "").otherwise(F.substring("text", 1, PREFIX)),
+        "_cut_text": cut_role | cut_text, "_spread": F.when(~(cut_role | cut_text), F.rand(0)),
+    }
+    return rows.withColumns(keys).repartitionByRange("id", "turn", *keys).sortWithinPartitions(
+        "id", "turn", "role", "text").select("id", "role", "text")
 
 
 def format_conversations(
     df: DataFrame, tokenizer: str, id: str = "conv_id", turn: str = "turn", role: str = "role",
     text: str = "text", turns_per_block: int = TURNS,
 ) -> DataFrame:
-    """One row per block of a conversation: id, ``block``, token ``ids`` (little-endian
-    unsigned 32-bit), ``mask`` (one bit per token, lowest first), ``n_tokens``,
-    ``formatted_chars``.
+    """One row per block of a conversation, at most ``turns_per_block`` rows: id, ``block``
+    (ascending in the conversation, with gaps), token ``ids`` (little-endian unsigned 32-bit),
+    ``mask`` (one bit per token, lowest first), ``n_tokens``, ``formatted_chars``.
 
     Turns are in ascending order of ``turn`` (null first, ties by role and text);
     null roles and texts count as empty; rows with a null id form one
@@ -127,13 +155,9 @@ def format_conversations(
         column(id).alias("id"), column(turn).alias("turn"),
         F.coalesce(column(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
-    # a block is a range of turn numbers, so no window over a whole conversation is needed
-    block = F.coalesce(F.floor(F.col("turn").cast("double") / turns_per_block), F.lit(-1)).cast("long")
-    blocks = rows.withColumn("block", block).groupBy("id", "block").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return map_batches(blocks, _format, T.StructType([
+    return map_batches(_sorted_turns(rows), _format, T.StructType([
         T.StructField("id", df.schema[id].dataType), T.StructField("block", T.LongType()), *FORMATTED,
-    ]), tokenizer)
+    ]), tokenizer, turns_per_block)
 
 
 def _digest(batches, schema: pa.Schema, tokenizer: str):

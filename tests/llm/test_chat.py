@@ -64,6 +64,26 @@ def test_digests(spark, block):
     assert sorted([tuple(r)[:6] for r in got.collect()], key=repr) == expected(rows)
 
 
+def test_no_block_exceeds_its_rows_when_turns_repeat(spark):
+    rows = [(9, None, "user", f"m{i}") for i in range(700)] + [(None, i % 8, "assistant", "same") for i in range(700)]
+    rows += [(8, 1, "user", "long " * 50 + f"{i}") for i in range(300)] + [(8, 1, "u" * 200 + f"{i}", "x") for i in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    blocks = format_conversations(df.repartition(3), PATH)
+    one = len(chat_tokenizer(PATH).encode(render([("assistant", "same")])[0], add_special_tokens=False).ids)
+    assert max(r.n_tokens for r in blocks.filter("id IS NULL").collect()) <= 256 * one
+    assert sorted([tuple(r)[:6] for r in chat_digests(df, PATH).collect()], key=repr) == expected(rows)
+
+
+def test_repeated_rows_are_spread(spark):
+    df = spark.createDataFrame([(9, 1, "user", "same")] * 4000, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = format_conversations(df, PATH).selectExpr("shiftright(block, 33) AS part").distinct()
+        assert blocks.count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_digests(df, PATH).collect() == []
