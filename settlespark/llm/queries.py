@@ -215,6 +215,109 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+#: DuckDB: the bytewise table of CRC-32.
+_CRC_TABLE = """crc AS (
+        SELECT list(list_reduce(list_concat([i::UBIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+                    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tbl
+        FROM range(256) AS r(i))"""
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text with code points below 256; needs ``tbl``."""
+    utf8 = f"""flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::UBIGINT]
+        ELSE [(192 + (unicode(x) >> 6))::UBIGINT, (128 + (unicode(x) & 63))::UBIGINT] END))"""
+    return f"""xor(list_reduce(list_concat([4294967295::UBIGINT], {utf8}),
+        lambda c, b: xor(c >> 8, tbl[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)"""
+
+
+@query("op11_spelling_variants", rf"""
+    WITH RECURSIVE {_CRC_TABLE},
+    d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+              {_LOWER.format('text')}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+    r AS (SELECT id, run, count(*) AS n FROM d GROUP BY ALL),
+    h AS (SELECT run, n, {_crc32_sql("id || ':' || run")} AS h FROM r, crc),
+    c AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::BIGINT)
+                      || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+    v AS (SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    o AS (SELECT word, n, i, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS b
+          FROM v, unnest(range(1, length(word) + 1)) AS u(i)),
+    p AS (SELECT x.word AS word, y.word AS near FROM o AS x JOIN o AS y USING (i, a, b) WHERE x.word <> y.word
+          UNION SELECT o.word, v.word FROM o JOIN v ON v.word = o.a || o.b
+          UNION SELECT v.word, o.word FROM o JOIN v ON v.word = o.a || o.b),
+    s AS (SELECT p.word, count(*) AS n_near, arg_min(near, (-v.n, near)) AS near, max(v.n) AS near_n
+          FROM p JOIN v ON v.word = p.near GROUP BY p.word),
+    f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+                 CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM v LEFT JOIN s USING (word)),
+    w(word, place, steps) AS (SELECT word, word, 0 FROM v
+                           UNION ALL SELECT w.word, f.form, steps + 1 FROM w JOIN f ON f.word = w.place WHERE f.form IS NOT NULL)
+    SELECT f.word, form, root, n, n_near, form_n
+    FROM f JOIN (SELECT word, arg_max(place, steps) AS root FROM w GROUP BY word) AS l USING (word)""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from settlespark.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", rf"""
+    WITH {_CRC_TABLE},
+    t AS (SELECT conv_id, role, body, row_number() OVER (
+              PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || body)) AS pos
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body
+                FROM conversations WHERE conv_id IS NOT NULL) AS x),
+    c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32_sql('conv_id::VARCHAR')} % 4 AS h
+          FROM (SELECT DISTINCT conv_id FROM t) AS x, crc),
+    head AS (SELECT c.conv_id, t.pos AS d, role, body FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h),
+    m AS (SELECT conv_id, count(*) AS m FROM head GROUP BY conv_id),
+    r AS (SELECT * FROM head UNION ALL
+          SELECT t.conv_id, pos - h::BIGINT + coalesce(m, 0), role, body
+          FROM t JOIN c USING (conv_id) LEFT JOIN m USING (conv_id) WHERE pos > h),
+    path AS (SELECT conv_id, coalesce(list([role, body] ORDER BY d) FILTER (d IS NOT NULL), []) AS p
+             FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+    node AS (SELECT list_slice(p, 1, d) AS k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(p) = d), '')) AS ends_sha256
+             FROM path, unnest(range(0, len(p) + 1)) AS u(d) GROUP BY ALL),
+    kid AS (SELECT list_slice(k, 1, depth - 1) AS k, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+    full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(
+                  regexp_extract_all(k[depth][2], '[^\x20\x09-\x0D]+')) END AS saved FROM node LEFT JOIN kid USING (k)),
+    below AS (SELECT list_slice(k, 1, d) AS k, count(*) FILTER (n_children = 0) AS n_leaves,
+                     sum(saved)::BIGINT AS saved_tokens
+              FROM full_, unnest(range(0, depth + 1)) AS u(d) GROUP BY ALL)
+    SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+    FROM full_ AS f JOIN below ON below.k = f.k
+    LEFT JOIN node AS up ON f.depth > 0 AND up.k = list_slice(f.k, 1, f.depth - 1)""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from settlespark.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"), share=True)
+
+
+@query("op13_repeated_passages", """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS body FROM documents),
+    w AS (SELECT r, i, md5(body[i + 1:i + 200]) AS h
+          FROM d, unnest(range(0, octet_length(body) - 199)) AS u(i)),
+    g AS (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 200 < i, true) AS new
+          FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) AS m USING (h)),
+    s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (
+              SELECT r, i, count(*) FILTER (new) OVER (PARTITION BY r ORDER BY i) AS k FROM g) AS x GROUP BY r, k),
+    k AS (SELECT r, lag(b, 1, 0) OVER w AS a, a AS b FROM s WINDOW w AS (PARTITION BY r ORDER BY a)
+          UNION ALL SELECT r, coalesce(max(b), 0), octet_length(body) FROM d LEFT JOIN s USING (r) GROUP BY r, body),
+    t AS (SELECT r, sha256(unhex(coalesce(string_agg(hex(body[a + 1:b]), '' ORDER BY a, b) FILTER (a < b), ''))) AS kept_sha256
+          FROM k JOIN d USING (r) GROUP BY r),
+    c AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY r)
+    SELECT doc_id, octet_length(body)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+           coalesce(n_spans, 0) AS n_spans, kept_sha256
+    FROM d JOIN t USING (r) LEFT JOIN c USING (r)""")
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from settlespark.llm.repeats import cut_repeats
+
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from settlespark.llm.quality import quality_scores

@@ -21,7 +21,7 @@ def plain_sets(rows):
     return out
 
 
-def expected(rows):
+def expected(rows, percent=85):
     sets, parent = plain_sets(rows), list(range(len(rows)))
 
     def find(x):
@@ -33,7 +33,7 @@ def expected(rows):
         for j in range(i):
             if a and sets[j]:
                 both = len(a & sets[j])
-                if 100 * both >= 85 * (len(a) + len(sets[j]) - both):
+                if 100 * both >= percent * (len(a) + len(sets[j]) - both):
                     parent[find(i)] = find(j)
     out = []
     for i, (id_, _) in enumerate(rows):
