@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,9 @@ GROUP_PIECES = 20_000
 GROUP_SEQUENCES = 8
 # A sequence with less room than this share of its length is not opened again.
 CLOSED_SHARE = 1 / 256
-# Sequences in a row that could not be emptied, after which the search ends.
-FAILURES = 50
+# Sequences in a row that could not be emptied, after which the search ends, and the share
+# of the sequences of a larger group.
+FAILURES, FAILED_SHARE = 50, 32
 
 
 def _pieces(
@@ -108,49 +110,64 @@ class Bins:
         return -(-sum(self.fill) // self.capacity)
 
 
-def _gain(source: list, target: list, gap: int, least: int):
-    """The exchange that takes most out of ``source`` and still fits into the gap.
-
-    Gives (taken out, given back, amount) with pieces of the source and one or no
-    piece of the target; only amounts above ``least`` raise the squared fill.
-    """
-    best, amount = None, least
-    outs = [(a,) for a in source]
-    outs += [(a, b) for i, a in enumerate(source) for b in source[i + 1:]]
-    backs = sorted([0, *{p[0] for p in target}])
-    sizes = np.array(backs)
-    for out in outs:
-        total = sum(p[0] for p in out)
-        # the smallest piece given back that leaves the amount within the gap
-        at = int(np.searchsorted(sizes, total - gap))
-        if at == len(backs) or (len(out) == 2 and backs[at] == 0):
-            continue
-        if total - backs[at] > amount:
-            amount, best = total - backs[at], (out, backs[at])
-    if best is None:
-        return None
-    out, back = best
-    given = next((p for p in target if p[0] == back), None) if back else None
-    return out, given, amount
-
-
-def improve(bins: Bins, failures: int = FAILURES) -> None:
+class _Outs:
+    """What a sequence may give away: the totals of one piece or two, each once."""
+
+    def __init__(self, pieces: list[tuple[int, int]]):
+        held = Counter(size for size, _ in pieces)
+        sizes = sorted(held)
+        pairs = [(a, b) for i, a in enumerate(sizes) for b in sizes[i:] if a < b or held[a] > 1]
+        self.outs = [(a,) for a in sizes] + pairs
+        self.totals = np.array([sum(out) for out in self.outs], np.int64)
+        self.single = len(sizes)
+        #: Exchanges found so far; targets with the same gap and sizes give the same.
+        self.known: dict[tuple, tuple | None] = {}
+
+    def best(self, target: list[tuple[int, int]], gap: int, least: int) -> tuple | None:
+        """The exchange that takes most out and still fits into the gap of the target.
+
+        Gives (sizes taken out, size given back or 0, amount); only amounts above ``least``
+        raise the squared fill.
+        """
+        backs = sorted({0, *(size for size, _ in target)})
+        key = (gap, least, *backs)
+        if key not in self.known:
+            sizes = np.array(backs, np.int64)
+            # the smallest piece given back that leaves the amount within the gap
+            at = np.searchsorted(sizes, self.totals - gap)
+            fits = at < len(backs)
+            # two pieces go only for one
+            fits[self.single:] &= at[self.single:] > 0
+            amount = np.where(fits, self.totals - sizes[np.minimum(at, len(backs) - 1)], 0)
+            one = int(np.argmax(amount))
+            self.known[key] = (self.outs[one], backs[at[one]], int(amount[one])) if amount[one] > least else None
+        return self.known[key]
+
+
+def _take(pieces: list[tuple[int, int]], size: int) -> tuple[int, int]:
+    """Remove a piece of that size."""
+    return pieces.pop(next(i for i, p in enumerate(pieces) if p[0] == size))
+
+
+def improve(bins: Bins, failures: int | None = None) -> None:
     """Drain the emptiest sequences into the gaps of fuller ones.
 
     Each accepted exchange moves a positive amount from a sequence to one that
     becomes fuller than the first was, so the sum of squares rises and the search
     ends.  It also ends when no packing can have fewer sequences.  Sequences are tried
-    emptiest first, again after each pass that emptied one; ``failures`` in a row end
-    the search, as fuller ones are harder to empty.
+    emptiest first, again after each pass that emptied one; ``failures`` in a row
+    (``FAILURES``, or more in a larger group) end the search, as fuller ones are harder
+    to empty.
     """
     capacity, fill, pieces = bins.capacity, bins.fill, bins.pieces
     total = sum(fill)
     alive = sum(1 for f in fill if f)
+    limit = max(FAILURES, alive // FAILED_SHARE) if failures is None else failures
     failed, before = 0, None
     while alive != before:
         before = alive
         for source in sorted(range(len(fill)), key=fill.__getitem__):
-            if alive * capacity - total < capacity or failed >= failures:
+            if alive * capacity - total < capacity or failed >= limit:
                 return
             if not fill[source] or fill[source] == capacity:
                 continue
@@ -159,31 +176,32 @@ def improve(bins: Bins, failures: int = FAILURES) -> None:
                 key=lambda b: -fill[b])
             failed += 1
             moved = True
+            outs = _Outs(pieces[source])
             while fill[source] and moved:
                 moved = False
                 for target in order:
-                    gap = capacity - fill[target]
-                    if not gap:
+                    gap, least = capacity - fill[target], max(0, fill[source] - fill[target])
+                    # an exchange moves no more than the gap
+                    if gap <= least:
                         continue
-                    found = _gain(pieces[source], pieces[target], gap, max(0, fill[source] - fill[target]))
+                    found = outs.best(pieces[target], gap, least)
                     if found is None:
                         continue
                     out, back, amount = found
-                    for p in out:
-                        pieces[source].remove(p)
-                        pieces[target].append(p)
-                    if back:
-                        pieces[target].remove(back)
-                        pieces[source].append(back)
+                    given = _take(pieces[target], back) if back else None
+                    pieces[target] += [_take(pieces[source], size) for size in out]
+                    if given:
+                        pieces[source].append(given)
                     fill[source] -= amount
                     fill[target] += amount
                     moved = True
                     if not fill[source]:
                         alive, failed = alive - 1, 0
                         break
+                    outs = _Outs(pieces[source])
 
 
-def pack(sizes: list[int], capacity: int, failures: int = FAILURES) -> list[list[int]]:
+def pack(sizes: list[int], capacity: int, failures: int | None = None) -> list[list[int]]:
     """Indices of the pieces in each sequence."""
     bins = Bins(capacity)
     for index in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):

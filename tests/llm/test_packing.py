@@ -106,3 +106,23 @@ def test_half_of_the_pieces_are_closed_fullest_first():
 
 def test_empty_table(spark):
     assert pack_sequences(spark.createDataFrame([], "doc_id long, text string"), PATH, 1).collect() == []
+
+
+def test_many_tiny_pieces():
+    """Sequences with hundreds of equal pieces are searched by distinct sizes."""
+    import time
+
+    began = time.perf_counter()
+    packed = pack([4090] * 10_000 + [7] * 10_000, 4096)
+    assert time.perf_counter() - began < 60
+    assert len(packed) == 10_000 + math.ceil(7 * 10_000 / 4096)
+    assert sorted(i for b in packed for i in b) == list(range(20_000))
+
+
+def test_search_tries_a_share_of_a_large_group():
+    """Pairs of pieces too large for one another: a sequence that can be emptied is found
+    behind more than FAILURES that cannot."""
+    members = [[60]] * (packing.FAILURES * packing.FAILED_SHARE * 2) + [[30, 31], [39]]
+    bins = bins_of(100, *members)
+    improve(bins)
+    assert sum(1 for f in bins.fill if f) <= len(members) - 1
