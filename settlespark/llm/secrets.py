@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from settlespark.llm.batches import text_or_empty
@@ -24,6 +24,8 @@ from settlespark.llm.columns import small
 from settlespark.plans.skew import checkpoint_dir, freeze
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
+# In the ledger a span also names the rule version that found it.
+FOUND = "struct<rule:string,kind:string,start:bigint,end:bigint>"
 
 
 @dataclass(frozen=True)
@@ -56,27 +58,21 @@ MORE = (
 )
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Array of (kind, start, end) in code points, end exclusive."""
+MATCH = "struct<rule:int,gap:bigint,size:bigint,held:int>"
+
+
+def matches(text: Column, rule: Rule, number: int) -> Column:
+    """Array of the matches of a rule: its number, the characters since the match before,
+    and the characters of the match and of its group."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     between = F.split(text, rule.pattern, -1)
     parts = F.zip_with(
         F.slice(between, 1, F.size(found)), F.arrays_zip(found.alias("m"), held.alias("g")),
         lambda gap, x: F.struct(
-            F.length(gap).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("size"),
-            F.length(x["g"]).alias("held")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(done: Column, x: Column) -> Column:
-        begin = done["at"] + x["gap"]
-        span = F.struct(F.lit(rule.kind).alias("kind"), begin.alias("start"), (begin + x["size"]).alias("end"))
-        return F.struct(
-            (begin + x["size"]).alias("at"),
-            F.when(x["held"] >= rule.least, F.concat(done["out"], F.array(span))).otherwise(done["out"]).alias("out"))
-
-    every = F.aggregate(parts, start, step)["out"]
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), every).otherwise(F.array().cast(f"array<{SPAN}>"))
+            F.lit(number).alias("rule"), F.length(gap).cast("long").alias("gap"),
+            F.length(x["m"]).cast("long").alias("size"), F.length(x["g"]).alias("held")))
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), parts).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
 class Ledger:
@@ -86,7 +82,7 @@ class Ledger:
     only when its findings are there; a scan that fails is repeated.
     """
 
-    SCHEMA = f"blob binary, rules array<string>, found array<{SPAN}>"
+    SCHEMA = f"blob binary, rules array<string>, found array<{FOUND}>"
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
@@ -103,18 +99,34 @@ class Ledger:
         names = F.array(*[F.lit(r.name) for r in rules])
         todo = F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))
         unseen = blobs.withColumn("rules", todo).filter(F.size("rules") > 0)
-        found = F.concat(*[
-            F.when(F.array_contains("rules", r.name), spans(F.col("text"), r))
-            .otherwise(F.array().cast(f"array<{SPAN}>")) for r in rules])
-        unseen.select("blob", "rules", found.alias("found")).write.mode("append").parquet(self.path)
+        every = F.concat(*[
+            F.when(F.array_contains("rules", r.name), matches(F.col("text"), r, k))
+            .otherwise(F.array().cast(f"array<{MATCH}>")) for k, r in enumerate(rules)])
+        # one row per match, and one for a blob without any; they stay in the blob's task
+        rows = unseen.select("blob", "rules", F.posexplode_outer(every).alias("at", "m"))
+        end = F.sum(F.col("m.gap") + F.col("m.size")).over(Window.partitionBy("blob", "m.rule").orderBy("at"))
+        rule, kind, least = (F.get(F.array(*[F.lit(v) for v in values]), F.col("m.rule")) for values in (
+            [r.name for r in rules], [r.kind for r in rules], [r.least for r in rules]))
+        span = F.struct(
+            rule.alias("rule"), kind.alias("kind"), (F.col("end") - F.col("m.size")).alias("start"), F.col("end"))
+        found = F.collect_list(F.when(F.col("m.held") >= least, span))
+        rows.withColumn("end", end).groupBy("blob").agg(
+            F.first("rules").alias("rules"), found.cast(f"array<{FOUND}>").alias("found")
+        ).write.mode("append").parquet(self.path)
 
     def findings(self, rules: Sequence[Rule]) -> DataFrame:
-        """Spans of the given kinds per blob that has any: ``blob``, ``found``."""
-        kinds = [r.kind for r in rules]
-        one = self.table().filter(F.size("found") > 0).groupBy("blob").agg(
-            F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-        return one.withColumn("found", F.filter("found", lambda s: s["kind"].isin(kinds))).filter(
-            F.size("found") > 0)
+        """Spans that these rule versions found, per blob that has any: ``blob``, ``found``.
+
+        What other versions of a rule found in the same blob stays in the ledger only.
+        """
+        one = self.table().select("blob", "found", F.explode("rules").alias("rule")).filter(
+            F.col("rule").isin([r.name for r in rules]))
+        own = F.transform(F.filter("found", lambda s: s["rule"] == F.col("rule")), lambda s: F.struct(
+            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        # a scan that was repeated found the same
+        once = one.select("blob", "rule", own.alias("found")).filter(F.size("found") > 0).groupBy("blob", "rule").agg(
+            F.first("found").alias("found"))
+        return once.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
 def address(text: Column) -> Column:

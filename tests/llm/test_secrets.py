@@ -64,3 +64,26 @@ def test_empty_table(spark):
 
 def test_kinds_are_distinct():
     assert len({r.kind for r in BASE + MORE}) == 5
+
+
+def test_findings_are_those_of_the_rule_version(spark, tmp_path):
+    """Narrowed and widened rules, after both have scanned the same blobs."""
+    rows = [(1, "abcdef0123 x 0123456789abcdef"), (2, "deadbeef"), (3, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    versions = [Rule("hex", f"[0-9a-f]{{{n},}}", version=v) for v, n in ((1, 8), (2, 12), (3, 4))]
+    for rule in [*versions, versions[0]]:
+        want = {i: [("hex", m.start(), m.end()) for m in re.finditer(rule.pattern, t)] for i, t in rows}
+        got = scan_documents(df, rules=[rule], ledger=ledger).collect()
+        assert {r.doc_id: sorted(map(tuple, r.found)) for r in got} == want
+    assert ledger.table().count() == 9
+
+
+def test_a_dump_of_five_megabytes(spark):
+    """300,000 matches in one text: their positions take time in proportion."""
+    text = "0123456789abcdef " * 300_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = scan_documents(df, rules=[BASE[2]]).selectExpr(
+        "size(found) AS n", "found[0].end AS first", "found[299999].start AS last", "found[31].start AS a",
+        "found[32].start AS b", "found[1024].start AS c").first()
+    assert tuple(row) == (300_000, 16, 17 * 299_999, 17 * 31, 17 * 32, 17 * 1024)
