@@ -42,7 +42,7 @@ GRAM = 64
 SYMBOLS = 4
 SEGMENT = 1 << 20
 # Contexts of a gram, from which it is split, and occurrences, from which it is hot.
-CROWDED = 5_000
+CROWDED = 2_000
 HOT = 20_000
 # Rows with one text, from which they are not dealt by their content.
 COPIES = 1_000
@@ -214,63 +214,73 @@ def _merge_tasks(batches, schema: pa.Schema, length: int, symbols: int) -> Itera
         yield done()
 
 
-def _halves(rows: DataFrame, low: int, high: int, length: int) -> list[tuple[DataFrame, int, int]]:
+def _halves(rows: DataFrame, length: int) -> DataFrame:
     """Rows by the two halves of the places that an anchor may have in a window.
 
-    ``low`` to ``high`` are the places; windows with the anchor at ``b`` or less and ``a``
-    or more share the bytes from ``a`` before it to ``length - b`` after its begin.
+    ``low`` to ``high`` are the places; windows with the anchor at ``high`` or less and
+    ``low`` or more share the bytes from ``low`` before it to ``length - high`` after its
+    begin, which are the new key.
     """
-    middle = (low + high) // 2
-    parts = []
-    for a, b in ((low, middle), (middle + 1, high)):
-        most, least = F.least("place", F.lit(b)), F.greatest(F.col("place") - F.col("windows") + 1, F.lit(a))
-        cut = F.col("place") - most
-        part = rows.filter(most >= least).select(
-            "context", "times", (F.col("shift") + cut).cast("int").alias("shift"), most.cast("int").alias("place"),
-            (most - least + 1).cast("int").alias("windows"),
-            F.substring("body", cut + 1, most - least + length).alias("body"))
-        core = F.substring("body", F.col("place") - a + 1, F.lit(length - b + a))
-        parts.append((part.withColumn("key", F.unhex(F.md5(core))), a, b))
-    return parts
+    middle = F.expr("(low + high) div 2").cast("int")
+    ranges = F.explode(F.array(
+        F.struct(F.col("low").alias("low"), middle.alias("high")),
+        F.struct((middle + 1).alias("low"), F.col("high").alias("high"))))
+    part = rows.withColumn("half", ranges).withColumns({"low": F.col("half.low"), "high": F.col("half.high")})
+    most, least = F.least("place", "high"), F.greatest(F.col("place") - F.col("windows") + 1, F.col("low"))
+    cut = F.col("place") - most
+    part = part.filter(most >= least).select(
+        "context", "times", "low", "high", (F.col("shift") + cut).alias("shift"), most.alias("place"),
+        (most - least + 1).alias("windows"), F.substring("body", cut + 1, most - least + length).alias("body"))
+    core = F.substring("body", F.col("place") - F.col("low") + 1, length - F.col("high") + F.col("low"))
+    # the key names the range: windows of two ranges are never compared
+    return part.withColumn("key", F.unhex(F.md5(F.concat(F.hex(core), F.lit(":"), F.col("low").cast("string")))))
 
 
 def window_runs(
-    rows: DataFrame, length: int = LENGTH, gram: int = GRAM, symbols: int = SYMBOLS, crowded: int = CROWDED
+    rows: DataFrame, grams: DataFrame, length: int = LENGTH, gram: int = GRAM, symbols: int = SYMBOLS,
+    crowded: int = CROWDED,
 ) -> DataFrame:
-    """Runs of repeated windows in contexts (``BODIES``): ``context``, ``first``, ``last``."""
-    start = rows.select(
-        "context", "times", F.lit(0).alias("shift"), "place", "windows", "body",
-        F.unhex(F.lpad(F.hex("gram"), 16, "0")).alias("key"))
-    todo, found = [(start, 0, length - gram)], None
-
-    def gather(part: DataFrame) -> None:
-        nonlocal found
-        found = part if found is None else found.unionByName(part)
-
-    while todo:
-        part, low, high = todo.pop()
-        sizes = part.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > crowded).select("key")
-        busy = freeze(sizes)
-        if m := busy.count():
+    """Runs of repeated windows in contexts (``BODIES``): ``context``, ``first``, ``last``.
+
+    ``grams`` has the number of contexts, ``c``, of each ``gram``.
+    """
+    key = F.unhex(F.lpad(F.hex("gram"), 16, "0")).alias("key")
+    part = rows.select(
+        "context", "times", F.lit(0).alias("low"), F.lit(length - gram).alias("high"), F.lit(0).alias("shift"),
+        "place", "windows", "body", key)
+    sizes, found = grams.select(key, F.col("c").alias("m")), None
+    while True:
+        busy = freeze(sizes.filter(F.col("m") > crowded).select("key"))
+        m = busy.count()
+        many = None
+        if m:
             busy = small(busy, m)
             many, part = part.join(busy, "key", "left_semi"), part.join(busy, "key", "left_anti")
-            if low == high:
-                # rows that share a key are the same window, more than once
-                gather(many.select("context", F.col("shift").alias("first"), (F.col("shift") + 1).alias("last")))
-            else:
-                todo += [(freeze(p), a, b) for p, a, b in _halves(many, low, high, length)]
-        dealt = part.repartition("key").sortWithinPartitions("key")
-        gather(map_batches(dealt, _merge_tasks, RUNS, length, symbols))
-    return found
+        dealt = part.select("key", "context", "times", "shift", "place", "body").repartition("key")
+        runs = map_batches(dealt.sortWithinPartitions("key"), _merge_tasks, RUNS, length, symbols)
+        found = runs if found is None else found.unionByName(runs)
+        if many is None:
+            return found
+        # with one place left, rows that share a key are the same window, more than once
+        found = found.unionByName(many.filter("low = high").select(
+            "context", F.col("shift").alias("first"), (F.col("shift") + 1).alias("last")))
+        part = freeze(_halves(many.filter("low < high"), length))
+        sizes = part.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+
+
+def hot_rows(rows: int, most: int = HOT) -> int:
+    """Rows from which a key is hot: ``most``, or a thousandth of a smaller table.
+
+    There are never more hot keys than a broadcast may hold.
+    """
+    return max(min(most, rows // 1000), rows // MAX_BROADCAST_ROWS, 1)
 
 
 def _joined(rows: DataFrame, table: DataFrame, key: str, busy: DataFrame) -> DataFrame:
     """Join with a table that has each key once; ``busy`` keys, which have very many rows,
     are met by broadcast."""
     busy = freeze(busy)
-    if not (m := busy.count()):
-        return rows.join(table, key)
-    keys = small(busy, m)
+    keys = small(busy, busy.count())
     few = freeze(table.join(keys, key, "left_semi"))
     return rows.join(keys, key, "left_anti").join(table, key).unionByName(
         rows.join(small(few, few.count()), key))
@@ -299,7 +309,7 @@ def _merge_spans(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(
     texts: DataFrame, length: int = LENGTH, gram: int = GRAM, symbols: int = SYMBOLS, crowded: int = CROWDED,
-    hot: int = HOT,
+    most: int = HOT,
 ) -> tuple[DataFrame, DataFrame]:
     """``digest`` and ``spans`` (start, end; sorted, apart) of each text that has repeated
     passages, and the ``digest`` of each text that occurs more than ``COPIES`` times.
@@ -310,6 +320,7 @@ def repeated_spans(
     docs = freeze(found.filter("digest is not null").groupBy("digest").agg(
         F.min("doc").alias("doc"), F.count_distinct("doc").alias("copies")))
     found = found.drop("digest")
+    hot = hot_rows(found.count(), most)
     grams = freeze(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     # rows are folded before they are shuffled, those of ordinary grams after the join
     contexts = freeze(_joined(found, grams.select("gram"), "gram", grams.filter(F.col("n") > hot).select("gram"))
@@ -322,7 +333,7 @@ def repeated_spans(
         "gram", "context", "times", "one.place", "one.windows", "one.start").alias("w")
     ).groupBy("doc").agg(F.collect_list("w").alias("wanted")).join(docs.select("doc", "digest"), "doc")
     sources = texts.dropDuplicates(["digest"]).join(wanted.select("digest", "wanted"), "digest").select("text", "wanted")
-    runs = window_runs(map_batches(sources, _bodies, BODIES, length), length, gram, symbols, crowded)
+    runs = window_runs(map_batches(sources, _bodies, BODIES, length), mixed, length, gram, symbols, crowded)
     # a gram in one context only, which occurs more than once: all its windows do
     settled = contexts.filter("times > 1").join(mixed.select("gram"), "gram", "left_anti").select(
         "context", F.lit(0).alias("first"), F.col("one.windows").alias("last"))

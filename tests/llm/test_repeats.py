@@ -49,7 +49,7 @@ def corpus():
 
 
 @pytest.mark.parametrize("options", [
-    {"crowded": 4, "hot": 3}, {"gram": 5, "symbols": 3}, {"gram": 24, "symbols": 8, "crowded": 1, "hot": 1}])
+    {"crowded": 4, "most": 3}, {"gram": 5, "symbols": 3}, {"gram": 24, "symbols": 8, "crowded": 1, "most": 1}])
 def test_equals_counting_all_windows(spark, options):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
