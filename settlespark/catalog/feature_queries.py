@@ -222,6 +222,27 @@ def _(spark, sf):
         sig, lambda: (0, None, 0.0), step, finish, "wave_id long, n long, path double"))
 
 
+@query("u1_fold_ranges", f"""
+WITH {sql.D2P}
+SELECT wave_id, max(n) AS n, {sql.r('sum(abs(dx))', 'path')} FROM p GROUP BY wave_id""")
+def _(spark, sf):
+    def step(state, block):
+        count, first, last, path = state
+        x = block["value"].to_numpy()
+        joined = x if last is None else np.r_[last, x]
+        return count + len(x), x[0] if first is None else first, x[-1], path + np.abs(np.diff(joined)).sum()
+
+    def merge(a, b):
+        return a[0] + b[0], a[1], b[2], a[3] + abs(b[1] - a[2]) + b[3]
+
+    def finish(wave, state):
+        return {"wave_id": wave, "n": state[0], "path": state[3]}
+
+    return rounded(fe.fold_ranges(
+        t.price_signals(spark, sf), lambda: (0, None, None, 0.0), step, merge, finish,
+        "wave_id long, n long, path double", rows_per_range=1000))
+
+
 @query("h1_with_position", f"""
 WITH {sql.D2P} SELECT wave_id, order_key, line_no, part_key, pos, n FROM p""")
 def _(spark, sf):

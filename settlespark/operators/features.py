@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import BinaryType, DoubleType, FloatType, LongType, StructField, StructType
 
 from settlespark.functions.features import BASE, DERIVED, SETS, UNPLACED, resolve
 from settlespark.functions.scalar import is_missing
 from settlespark.operators.settle import Names, Rule, wait_time, with_settle
-from settlespark.plans.skew import N, POS, Part, order_key
+from settlespark.plans.skew import N, POS, ROWS_PER_RANGE, Part, freeze, order_key, range_count
 from settlespark.signals import Signals
 
 MIN_CURRENT = 10  # shorter waves have no current features
@@ -144,6 +146,64 @@ def fold_per_wave(
     return ordered.mapInPandas(run, schema)
 
 
+MERGE_WIDTH = 16
+
+
+def fold_ranges(
+    sig: Signals, start: Callable[[], Any], step: Callable[[Any, pd.DataFrame], Any],
+    merge: Callable[[Any, Any], Any], finish: Callable[[Any, Any], dict], schema: str | StructType,
+    rows_per_range: int = ROWS_PER_RANGE, merge_width: int = MERGE_WIDTH,
+) -> DataFrame:
+    """Like :func:`fold_per_wave`, but a wave of any size is folded by many tasks.
+
+    The samples are range-partitioned by (wave, order).  Each range is folded on its own
+    from ``start()`` to a partial state, and ``merge(earlier, later)`` joins the states of
+    neighbouring ranges, ``merge_width`` at a time, until each wave has one.  ``merge`` must
+    give the state that folding the later range after the earlier one gives; states are
+    pickled.
+    """
+    id, order = sig.id, sig.order
+    ranges = range_count(sig.df, sig.samples.count(), rows_per_range)
+    key = StructField("wave", sig.samples.schema[id].dataType)
+    partial = StructType([key, StructField("part", LongType()), StructField("state", BinaryType())])
+
+    def fold(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        states: dict[Any, Any] = {}
+        for block in blocks:
+            for wave, rows in block.groupby(id, sort=False):
+                # waves are sorted, so all but the last are complete
+                done = [w for w in states if w != wave]
+                if done:
+                    yield pd.DataFrame({
+                        "wave": done, "part": part, "state": [pickle.dumps(states.pop(w)) for w in done]})
+                states[wave] = step(states[wave] if wave in states else start(), rows)
+        if states:
+            yield pd.DataFrame({"wave": list(states), "part": part, "state": [pickle.dumps(x) for x in states.values()]})
+
+    def joined(rows: pd.DataFrame) -> Any:
+        state = None
+        for number, one in enumerate(rows.sort_values("part")["state"]):
+            state = pickle.loads(one) if not number else merge(state, pickle.loads(one))
+        return state
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({
+            "wave": rows["wave"].iloc[:1].tolist(), "part": [int(rows["part"].iloc[0]) // merge_width],
+            "state": [pickle.dumps(joined(rows))]})
+
+    def finished(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([finish(rows["wave"].iloc[0], joined(rows))])
+
+    ordered = sig.samples.repartitionByRange(ranges, id, *order).sortWithinPartitions(id, *order)
+    # the ranges must not be cut anew when a task is repeated
+    states = freeze(ordered.mapInPandas(fold, partial))
+    while ranges > merge_width:
+        states = states.groupBy("wave", F.expr(f"part div {merge_width}").alias("_to")).applyInPandas(merged, partial)
+        ranges = -(-ranges // merge_width)
+    return states.groupBy("wave").applyInPandas(finished, schema)
+
+
 def count_waves(sig: Signals) -> DataFrame:
     """Number of waves and of samples."""
     return sig.samples.agg(

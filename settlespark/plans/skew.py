@@ -185,31 +185,65 @@ class Part:
 
 
 def exact_median(
-    df: DataFrame, id: str, x: str, name: str, groups: int, accuracy: int = 20_000
+    df: DataFrame, id: str, x: str, name: str, groups: int, accuracy: int = 20_000, held: int = 10_000
 ) -> DataFrame:
     """Exact median of ``x`` for each of at most ``groups`` ids, without gathering a group.
 
-    A quantile sketch of known rank error brackets the middle.  Rows below the
-    bracket are counted under one null key, rows inside it per value, so a
-    running count over the few keys left gives exact ranks.
+    Selection by narrowing brackets: a quantile sketch of known rank error brackets the
+    two middle ranks, one pass counts the rows below, at the ends of and inside the
+    bracket, and the next sketch looks inside only.  Every pass is an aggregation with one
+    row per id and leaves a share of about ``16 / accuracy`` of the rows inside, so two or
+    three suffice for any wave.  When at most ``held`` rows are left inside, they are
+    sorted as one bounded array.
     """
-    margin = 4.0 / accuracy
-    bracket = F.percentile_approx(x, [0.5 - margin, 0.5 + margin], accuracy)
-    bounds = df.groupBy(id).agg(F.count(x).alias("_m"), bracket.alias("_b"))
-    low, high = F.col("_b")[0], F.col("_b")[1]
-    ranked = Window.partitionBy(id).orderBy(F.col("_x").asc_nulls_first())
-    counts = (
-        df.join(bounded_broadcast(bounds, groups), id)
-        .filter(F.col(x) <= high)
-        .groupBy(id, F.when(F.col(x) >= low, F.col(x)).alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_m").alias("_m"))
-        .withColumn("_to", F.sum("_c").over(ranked))
-    )
-    first, second = F.expr("(_m - 1) div 2"), F.expr("_m div 2")
-    return counts.groupBy(id).agg(
-        ((F.min(F.when(F.col("_to") > first, F.col("_x")))
-          + F.min(F.when(F.col("_to") > second, F.col("_x")))) / 2).alias(name)
-    )
+    def fine(margin: float) -> Column:
+        return F.percentile_approx(x, [0.5 - margin, 0.5 + margin], accuracy)
+
+    margin, none = 4.0 / accuracy, F.lit(None).cast("double")
+    # ranks _k and _l count from the rows at _low, of which there are _at_low
+    state = freeze(df.groupBy(id).agg(F.count(F.lit(1)).alias("_m"), fine(margin).alias("_f")).select(
+        id, F.expr("(_m - 1) div 2").alias("_k"), F.expr("_m div 2").alias("_l"), F.col("_m").alias("_in"),
+        F.lit(0).cast("long").alias("_at_low"), none.alias("_low"), none.alias("_high"),
+        F.col("_f")[0].alias("_a"), F.col("_f")[1].alias("_b")))
+    above = F.col("_low").isNull() | (F.col(x) > F.col("_low"))
+    inside = above & (F.col("_high").isNull() | (F.col(x) < F.col("_high")))
+    while True:
+        # what lies below, at the ends of and inside the new bracket
+        a, b, v = F.col("_a"), F.col("_b"), F.col(x)
+        counted = df.join(bounded_broadcast(state.filter("_a is not null"), groups), id).filter(inside).groupBy(id).agg(
+            F.count_if(v < a).alias("_below"), F.count_if(v == a).alias("_ends"),
+            F.count_if((v > a) & (v < b)).alias("_left"))
+        shift, new = F.col("_at_low") + F.col("_below"), F.col("_below").isNotNull()
+        state = freeze(state.join(counted, id, "left").select(id, *[
+            F.when(new, value).otherwise(F.col(old)).alias(old) for old, value in (
+                ("_k", F.col("_k") - shift), ("_l", F.col("_l") - shift), ("_in", F.col("_left")),
+                ("_at_low", F.col("_ends")), ("_low", a), ("_high", b))]))
+        known = bounded_broadcast(state, groups)
+        open_ = (F.col("_in") > held) & (F.col("_l") >= F.col("_at_low")) & (F.col("_k") < F.col("_at_low") + F.col("_in"))
+        if state.filter(open_).isEmpty():
+            break
+        # where the ranks lie among the rows inside, and quantiles around them
+        rows = F.greatest("_in", F.lit(1))
+        first = F.greatest(F.col("_k") - F.col("_at_low"), F.lit(0)) / rows
+        last = F.least(F.col("_l") - F.col("_at_low"), F.col("_in") - 1) / rows
+        grid = F.percentile_approx(x, [i / 64 for i in range(65)], accuracy)
+        sketch = df.join(bounded_broadcast(state.filter(open_), groups), id).filter(inside).groupBy(id).agg(
+            grid.alias("_q"), fine(margin).alias("_f"))
+        middle = (first > 0.5 - margin / 2) & (last < 0.5 + margin / 2)
+        low = F.get("_q", F.greatest(F.floor(first * 64).cast("int") - 1, F.lit(0)))
+        high = F.get("_q", F.least(F.ceil(last * 64).cast("int") + 1, F.lit(64)))
+        state = freeze(state.join(sketch, id, "left").select(
+            *state.columns, F.when(middle, F.col("_f")[0]).otherwise(low).alias("_a"),
+            F.when(middle, F.col("_f")[1]).otherwise(high).alias("_b")))
+    few = df.join(known, id).filter(inside & (F.col("_in") <= held)).groupBy(id).agg(
+        F.sort_array(F.collect_list(x)).alias("_values"))
+
+    def at(rank: str) -> Column:
+        place = (F.col(rank) - F.col("_at_low")).cast("int")
+        return F.when(F.col(rank) < F.col("_at_low"), F.col("_low")).when(
+            place < F.col("_in"), F.get("_values", place)).otherwise(F.col("_high"))
+
+    return state.join(few, id, "left").select(id, ((at("_k") + at("_l")) / 2).alias(name))
 
 
 def find_hot(df: DataFrame, id: str, hot_rows: int) -> tuple[DataFrame | None, int]:

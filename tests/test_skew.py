@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from settlespark import Rule, Signals
 from settlespark.operators import sequence as seq
-from settlespark.operators.features import apply_per_wave, fold_per_wave, grouped_features
+from settlespark.operators.features import apply_per_wave, fold_per_wave, fold_ranges, grouped_features
 from settlespark.operators.joins import lookup_result
 from settlespark.operators.review import id_rank, post_settle_stats
 from settlespark.operators.settle import settle
@@ -33,6 +33,28 @@ def test_exact_median(spark, n, kind):
     assert got == np.median(x)
 
 
+def test_exact_median_narrows_its_bracket(spark):
+    """Several rounds, ranks at the ends of a bracket, NaN, infinities and two values."""
+    rng = np.random.default_rng(1)
+    two = (np.arange(4001) % 2).astype(float)
+    tail = np.exp(rng.normal(0, 1, 6000) * 30)
+    waves = {
+        0: rng.normal(0, 1, 9000), 1: two, 2: np.r_[np.zeros(2000), np.ones(2000)], 3: tail,
+        4: np.r_[rng.normal(0, 1, 1000), np.full(2000, np.nan)], 5: np.r_[np.full(3000, -np.inf), np.full(10, np.inf)],
+        6: np.array([4.0]), 7: np.full(5000, 2.5)}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"id": k, "x": x}) for k, x in waves.items()])).repartition(4)
+    got = {r["id"]: r["m"] for r in exact_median(df, "id", "x", "m", groups=8, accuracy=100, held=20).collect()}
+    for k, x in waves.items():
+        x = np.sort(x)
+        want = (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
+        assert got[k] == want or (np.isnan(got[k]) and np.isnan(want)), k
+
+
+def test_exact_median_ranks_no_wave_in_one_task(spark):
+    df = spark.range(1000).select(F.lit(1).alias("id"), F.col("id").cast("double").alias("x"))
+    assert "Window" not in plan(exact_median(df, "id", "x", "m", groups=1))
+
+
 def test_number_rows_is_a_global_rank(spark):
     df = spark.range(10_000).select((F.col("id") * 7919 % 10_007).alias("k"))
     got = number_rows(df, ["k"], "rank").toPandas().sort_values("k")
@@ -134,6 +156,30 @@ def test_fold_sees_every_sample_in_order(spark):
     assert all(r["sorted"] for r in got) and max(r["blocks"] for r in got) >= 35
 
 
+def test_fold_of_a_large_wave_uses_many_tasks(spark):
+    """Partial states of ranges, merged in order, equal the serial fold."""
+    waves = w.random_waves(12)
+    waves[3] = np.arange(25_000.0)
+    sig = Signals(spark.createDataFrame(w.frame(waves)).repartition(6), hot_rows=50)
+
+    def step(seen, block):
+        return {"samples": seen["samples"] + list(block["sample"]), "ranges": seen["ranges"]}
+
+    def merge(a, b):
+        return {"samples": a["samples"] + b["samples"], "ranges": a["ranges"] + b["ranges"]}
+
+    def finish(wave, seen):
+        return {"wave_id": wave, "n": len(seen["samples"]), "ranges": seen["ranges"],
+                "sorted": seen["samples"] == list(range(len(seen["samples"])))}
+
+    got = fold_ranges(
+        sig, lambda: {"samples": [], "ranges": 1}, step, merge, finish,
+        "wave_id long, n long, ranges long, sorted boolean", rows_per_range=1000, merge_width=3).collect()
+    assert {r["wave_id"]: r["n"] for r in got} == {k: len(x) for k, x in waves.items()}
+    assert all(r["sorted"] for r in got)
+    assert {r["wave_id"]: r["ranges"] for r in got}[3] >= 20
+
+
 def test_features_and_label_need_one_exchange(spark, small):
     df = spark.read.parquet(f"{small}/lineitem.parquet").select(
         F.col("l_suppkey").alias("wave_id"), F.col("l_orderkey").alias("sample"),
