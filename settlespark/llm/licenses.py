@@ -96,11 +96,12 @@ def scan_licenses(
     sized = units.select("key", F.xxhash64("unit").alias("unit"), _words(F.col("unit")).alias("w")).withColumn(
         "a", size).filter((F.col("a") >= low) & (F.col("a") <= high) & (F.col("a") > 0))
     placed = sized.select("key", "unit", "a", "w", F.posexplode("w").alias("at", "word")).filter(
-        F.col("at") < F.col("a")).select("key", "unit", "a", _pair(F.col("w"), F.col("at")).alias("pair"))
+        F.col("at") < F.col("a")).select("key", "unit", "a", "at", _pair(F.col("w"), F.col("at")).alias("pair"))
     shared = placed.join(small(pairs, bounds[2], max_broadcast_rows), "pair").filter(
         (F.col("a") >= F.col("b") * ratio - 1e-6) & (F.col("a") <= F.col("b") / ratio + 1e-6)
     ).groupBy("key", "unit", "a", "license", "template", "b", "pair").agg(
-        F.count(F.lit(1)).alias("times"), F.first("times_b").alias("times_b"))
+        # places, as rows that repeat give the same unit again
+        F.count_distinct("at").alias("times"), F.first("times_b").alias("times_b"))
     matched = shared.groupBy("key", "unit", "a", "license", "template", "b").agg(
         F.sum(F.least("times", "times_b")).alias("both")
     ).withColumn("dice", 2 * F.col("both") / (F.col("a") + F.col("b"))).filter(F.col("dice") >= threshold)

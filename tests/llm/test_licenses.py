@@ -64,3 +64,14 @@ def test_empty_tables(spark):
     df = spark.createDataFrame(documents(), "doc_id long, text string")
     no_templates = spark.createDataFrame([(None, None), ("x", "one")], "license string, text string")
     assert {r.license for r in scan_licenses(df, no_templates).collect()} == {None}
+
+
+def test_repeated_rows_count_once(spark):
+    """A template with repeated bigrams; rows equal in id and text give what one gives."""
+    known = spark.createDataFrame([("L", "a b a b a b c d")], "license string, text string")
+    text = "a b x a b q c d"
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    many = spark.createDataFrame([(1, text)] * 5, "doc_id long, text string")
+    want = [tuple(r) for r in scan_licenses(one, known, threshold=0.3).collect()]
+    assert want[0][2] is not None
+    assert [tuple(r) for r in scan_licenses(many, known, threshold=0.3).collect()] == want * 5
