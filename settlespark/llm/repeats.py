@@ -333,7 +333,9 @@ def repeated_spans(
         "gram", "context", "times", "one.place", "one.windows", "one.start").alias("w")
     ).groupBy("doc").agg(F.collect_list("w").alias("wanted")).join(docs.select("doc", "digest"), "doc")
     sources = texts.dropDuplicates(["digest"]).join(wanted.select("digest", "wanted"), "digest").select("text", "wanted")
-    runs = window_runs(map_batches(sources, _bodies, BODIES, length), mixed, length, gram, symbols, crowded)
+    # written once, as crowded grams and the others read it apart
+    bodies = freeze(map_batches(sources, _bodies, BODIES, length))
+    runs = window_runs(bodies, mixed, length, gram, symbols, crowded)
     # a gram in one context only, which occurs more than once: all its windows do
     settled = contexts.filter("times > 1").join(mixed.select("gram"), "gram", "left_anti").select(
         "context", F.lit(0).alias("first"), F.col("one.windows").alias("last"))
