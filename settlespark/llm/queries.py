@@ -171,7 +171,7 @@ def _licenses_sql() -> str:
                FROM t, unnest(range(1, len(w))) AS u(i) GROUP BY ALL),
         units AS (SELECT doc_id, unnest(list_distinct(list_concat(
                       string_split(coalesce(text, ''), chr(10)),
-                      regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n')))) AS unit FROM documents),
+                      regexp_split_to_array(coalesce(text, ''), '\n[^\p{{L}}\p{{N}}\n]*\n')))) AS unit FROM documents),
         uw AS (SELECT doc_id, unit, {cut.format('unit')} AS w FROM units),
         up AS (SELECT doc_id, unit, len(w) - 1 AS a, w[i] || ' ' || w[i + 1] AS pair, count(*) AS n
                FROM uw, unnest(range(1, len(w))) AS u(i) 
@@ -179,11 +179,29 @@ def _licenses_sql() -> str:
         m AS (SELECT doc_id, unit, license, template, 2 * sum(least(up.n, tb.n)) / (a + b) AS dice
               FROM up JOIN tb USING (pair) GROUP BY doc_id, unit, a, license, template, b
               HAVING 2 * sum(least(up.n, tb.n)) / (a + b) >= {THRESHOLD}),
+        places AS (SELECT doc_id, i AS place, w[i] || ' ' || w[i + 1] AS pair
+                   FROM (SELECT doc_id, {cut.format("coalesce(text, '')")} AS w FROM documents) AS d,
+                        unnest(range(1, len(w))) AS u(i)),
+        hits AS (SELECT doc_id, license, template, b, place, pair, n FROM places JOIN tb USING (pair)),
+        whole AS (SELECT doc_id, license, template, b, pair, least(count(*), n) AS c FROM hits
+                  GROUP BY doc_id, license, template, b, pair, n),
+        near AS (SELECT doc_id, license, template FROM whole GROUP BY doc_id, license, template, b
+                 HAVING sum(c) >= {THRESHOLD} * b - 1e-6),
+        cover AS (SELECT doc_id, license, template, b, s, pair, least(count(*), n) AS c
+                  FROM hits JOIN near USING (doc_id, license, template),
+                       unnest(range(greatest(place - b + 1, 1), place + 1)) AS v(s)
+                  GROUP BY doc_id, license, template, b, s, pair, n),
+        inside AS (SELECT doc_id, license, template, 2 * sum(c) / (b + b) AS dice FROM cover
+                   GROUP BY doc_id, license, template, b, s HAVING 2 * sum(c) / (b + b) >= {THRESHOLD}),
+        found AS (SELECT doc_id, unit, license, template, dice FROM m
+                  UNION ALL SELECT doc_id, NULL, license, template, max(dice) FROM inside
+                  GROUP BY doc_id, license, template),
         best AS (SELECT doc_id, max(dice) AS dice, arg_min(license, (-dice, license)) AS license,
-                        count(DISTINCT unit) AS n_units, list_sort(list(DISTINCT license)) AS licenses
-                 FROM m GROUP BY doc_id)
+                        count(DISTINCT unit) AS n_units, list_sort(list(DISTINCT license)) AS licenses,
+                        count(DISTINCT (license, template)) AS n_templates
+                 FROM found GROUP BY doc_id)
         SELECT d.doc_id, license, dice, coalesce(n_units, 0) AS n_units,
-               coalesce(licenses, []::VARCHAR[]) AS licenses
+               coalesce(licenses, []::VARCHAR[]) AS licenses, coalesce(n_templates, 0) AS n_templates
         FROM documents AS d LEFT JOIN best ON d.doc_id = best.doc_id"""
 
 
