@@ -257,6 +257,19 @@ def _(spark, sf):
     return rounded(_unpivoted(rs.to_wide(_ragged(spark, sf), [0, 3, 60], select=True)))
 
 
+@query("r1_to_dense_long_waves", """
+SELECT l_linenumber AS wave_id, l_orderkey AS sample, round(max(l_extendedprice), 6) AS value
+FROM lineitem GROUP BY 1, 2""")
+def _(spark, sf):
+    # some waves with more samples than a table has columns
+    rows = t.table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").alias("wave_id"), F.col("l_orderkey").alias("sample"),
+        F.col("l_extendedprice").alias("value"))
+    dense = rs.to_dense(Signals(rows), on_duplicate="max").select("wave_id", "segment", F.posexplode("values").alias("at", "value"))
+    return rounded(dense.filter(F.col("value").isNotNull()).select(
+        "wave_id", (F.col("segment") * rs.SEGMENT + F.col("at")).alias("sample"), "value"))
+
+
 @query("r1b_duplicate_samples", """
 SELECT user_id AS wave_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS sample,
        count(*) AS n

@@ -15,6 +15,7 @@ from settlespark.signals import Signals
 SERIES = "i_"
 TIME_NAMES = ("time", "time_ms")
 CHUNK = 65_536
+SEGMENT = 1024
 
 
 _NUMBERED = re.compile(re.escape(SERIES) + r"(-?\d+)")
@@ -58,26 +59,22 @@ def to_wide(
     """One row per wave with a column ``i_<sample>`` per sample, missing ones null.
 
     Naming the ``samples`` saves a job; without them the distinct ones are
-    looked up, and more than ``spark.sql.pivotMaxValues`` are refused (a limit of
-    the engine).  A sample that is not named fails the job, so that none is lost
-    unnoticed; ``select=True`` leaves such samples out.  A duplicate (wave, sample)
-    fails the job, or gives the largest value with ``on_duplicate="max"``.
+    looked up, as they name the columns.  More than ``spark.sql.pivotMaxValues`` are
+    not pivoted: their values are scattered into the arrays of ``to_dense`` first
+    (samples must not be negative then).  A sample that is not named fails the job, so
+    that none is lost unnoticed; ``select=True`` leaves such samples out.  A duplicate
+    (wave, sample) fails the job, or gives the largest value with ``on_duplicate="max"``.
     """
-    if on_duplicate not in ("error", "max"):
-        raise ValueError(f"on_duplicate must be 'error' or 'max', not {on_duplicate!r}")
+    _check_duplicates(on_duplicate)
     sample = _sample(sig)
     if samples is None:
-        limit = int(sig.df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-        found = sig.samples.select(sample).distinct().limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"more than {limit} distinct samples; use to_array for long waves")
-        samples = [r[0] for r in found]
+        samples = [r[0] for r in sig.samples.select(sample).distinct().collect()]
     samples = sorted(int(s) for s in samples)
     value: Column = F.max(sig.value)
     if on_duplicate == "error":
         message = F.format_string("duplicate sample %s of wave %s", F.first(sample), F.first(sig.id))
         value = F.when(F.count(F.lit(1)) > 1, F.raise_error(message)).otherwise(value)
-    named = F.col(sample).isin(samples)
+    named = F.expr(f"`{sample}` IN ({', '.join(map(str, samples))})") if samples else F.lit(False)
     rows = sig.samples
     if select:
         # waves without a named sample keep their row
@@ -86,10 +83,70 @@ def to_wide(
     else:
         lost = F.raise_error(F.format_string("sample %s of wave %s has no column", sample, sig.id))
         rows = rows.withColumn(sample, F.when(named, F.col(sample)).otherwise(lost.cast(rows.schema[sample].dataType)))
+    if len(samples) > int(sig.df.sparkSession.conf.get("spark.sql.pivotMaxValues")):
+        return _project_segments(sig.replace(rows), samples, on_duplicate)
     wide = rows.groupBy(sig.id).pivot(sample, samples).agg(value)
     return wide.withColumnsRenamed({str(s): f"{SERIES}{s}" for s in samples})
 
 
+def _check_duplicates(on_duplicate: str) -> None:
+    if on_duplicate not in ("error", "max"):
+        raise ValueError(f"on_duplicate must be 'error' or 'max', not {on_duplicate!r}")
+
+
+def to_dense(sig: Signals, width: int = SEGMENT, on_duplicate: str = "error") -> DataFrame:
+    """Arrays with a place for every sample number: one row per wave and ``segment`` of
+    ``width`` numbers, whose ``values`` hold sample ``segment * width + k`` at place
+    ``k``, null where the wave has none.
+
+    A segment without a sample has no row.  A wave of any length is spread over its
+    segments, so no row or task holds it whole.  Sample numbers must not be negative
+    or null.  Duplicates are treated as in ``to_wide``.
+    """
+    _check_duplicates(on_duplicate)
+    sample = _sample(sig)
+    rows = sig.samples
+    if on_duplicate == "max":
+        rows = rows.groupBy(sig.id, sample).agg(F.max(sig.value).alias(sig.value))
+    number = F.col(sample).cast("long")
+    refused = F.raise_error(F.format_string("sample %s of wave %s has no place", sample, sig.id)).cast("long")
+    number = F.when(number >= 0, number).otherwise(refused)
+    slots = rows.select(sig.id, number.alias("_n"), F.col(sig.value).alias("_v")).select(
+        sig.id, F.expr(f"_n div {width}").alias("segment"), (F.col("_n") % width).cast("int").alias("slot"), "_v")
+    pairs = slots.groupBy(sig.id, "segment").agg(F.array_sort(F.collect_list(F.struct("slot", "_v"))).alias("pairs"))
+    twice = F.raise_error(F.format_string(
+        "duplicate sample in segment %s of wave %s", F.col("segment"), F.col(sig.id))).cast("int")
+
+    def run(pair: Column, at: Column) -> Column:
+        """The value after as many nulls as numbers are missing before it."""
+        last = F.coalesce(F.get("pairs", at - 1)["slot"], F.lit(-1))
+        gap = F.when(pair["slot"] > last, pair["slot"] - last - 1).otherwise(twice)
+        return F.concat(_nulls(gap), F.array(pair["_v"]))
+
+    rest = _nulls(F.lit(width - 1) - F.element_at("pairs", -1)["slot"])
+    return pairs.select(sig.id, "segment", F.concat(F.flatten(F.transform("pairs", run)), rest).alias("values"))
+
+
+def _nulls(n: Column) -> Column:
+    return F.array_repeat(F.lit(None).cast("double"), n)
+
+
+def _project_segments(sig: Signals, samples: Sequence[int], on_duplicate: str) -> DataFrame:
+    """The wide table from the arrays of ``to_dense``; a null sample only keeps its wave."""
+    if samples[0] < 0:
+        raise ValueError("more samples than Spark pivots must not be negative")
+    named = sig.replace(sig.df.filter(F.col(_sample(sig)).isNotNull()))
+    kept = sig.samples.filter(F.col(_sample(sig)).isNull()).select(
+        sig.id, F.lit(None).cast("long").alias("segment"), F.lit(None).cast("array<double>").alias("values"))
+    arrays = to_dense(named, SEGMENT, on_duplicate).unionByName(kept)
+    used = sorted({s // SEGMENT for s in samples})
+    wide = arrays.groupBy(sig.id).agg(*[
+        F.max(F.when(F.col("segment") == k, F.col("values"))).alias(f"_segment_{k}") for k in used])
+    # as text, since thousands of column objects take the driver minutes
+    return wide.selectExpr(f"`{sig.id}`", *[
+        f"get(_segment_{s // SEGMENT}, {s % SEGMENT}) AS `{SERIES}{s}`" for s in samples])
+
+
 def to_array(sig: Signals, chunk: int = CHUNK) -> DataFrame:
     """Ordered value arrays: one row per wave and block of ``chunk`` sample numbers.
 

@@ -60,6 +60,63 @@ def test_samples_without_a_column_are_not_lost(spark):
     assert sorted(map(tuple, chosen.collect())) == [(1, 0.0, 4.0), (2, 0.0, None)]
 
 
+@pytest.fixture
+def few_pivots(spark):
+    before = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", "10")
+    yield
+    spark.conf.set("spark.sql.pivotMaxValues", before)
+
+
+def test_wide_beyond_the_pivot_equals_the_pivot(spark, few_pivots):
+    rng = np.random.default_rng(4)
+    rows = [(wave, int(k), float(k), [None, float("nan"), 0.5 * int(k)][int(rng.integers(3))])
+            for wave in (1, 2, None, 3) for k in rng.choice(3000, 40, replace=False)]
+    sig = Signals(spark.createDataFrame(rows, "wave_id long, sample int, time_ms double, value double"))
+    samples = sorted({r[1] for r in rows if r[0] is not None})
+    for missing, on_duplicate in [("propagate", "error"), ("skip", "max")]:
+        own = sig.replace(sig.df, missing=missing)
+        got = reshape.to_wide(own, on_duplicate=on_duplicate)
+        spark.conf.set("spark.sql.pivotMaxValues", "10000")
+        want = reshape.to_wide(own, on_duplicate=on_duplicate)
+        chosen = reshape.to_wide(own, samples[::2], select=True)
+        spark.conf.set("spark.sql.pivotMaxValues", "10")
+        assert got.columns == want.columns and got.schema == want.schema
+        pd.testing.assert_frame_equal(ordered(got, "wave_id"), ordered(want, "wave_id"))
+        few = reshape.to_wide(own, samples[::2], select=True)
+        pd.testing.assert_frame_equal(ordered(few, "wave_id"), ordered(chosen, "wave_id"))
+    with pytest.raises(Exception, match="has no column"):
+        reshape.to_wide(sig, samples[1:]).collect()
+    twice = sig.replace(sig.df.union(sig.df.filter("wave_id = 2").limit(1)))
+    with pytest.raises(Exception, match="duplicate sample"):
+        reshape.to_wide(twice).collect()
+    with pytest.raises(ValueError, match="negative"):
+        reshape.to_wide(sig, range(-1, 20))
+
+
+def test_wave_of_twenty_thousand_samples_is_wide(spark):
+    rows = spark.range(2).select(F.col("id").alias("wave_id"), F.explode(F.sequence(F.lit(0), F.lit(19_999))).alias("sample"))
+    sig = Signals(rows.filter("wave_id = 0 or sample % 7 = 0").withColumn("value", F.col("sample") * 0.5))
+    wide = reshape.to_wide(sig)
+    assert wide.columns == ["wave_id", *[f"i_{k}" for k in range(20_000)]]
+    got = {r[0]: list(r[1:]) for r in wide.collect()}
+    assert got[0] == [k * 0.5 for k in range(20_000)]
+    assert got[1] == [None if k % 7 else k * 0.5 for k in range(20_000)]
+
+
+def test_dense_arrays(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 2, 3.0), (1, 9, 9.0), (2, 3, 4.0), (2, 3, 5.0)],
+                               "wave_id long, sample long, value double")
+    sig = Signals(df)
+    got = {(r[0], r[1]): r[2] for r in reshape.to_dense(sig, 4, "max").collect()}
+    assert got == {(1, 0): [1.0, None, 3.0, None], (1, 2): [None, 9.0, None, None], (2, 0): [None, None, None, 5.0]}
+    with pytest.raises(Exception, match="duplicate sample in segment 0 of wave 2"):
+        reshape.to_dense(sig, 4).collect()
+    with pytest.raises(Exception, match="has no place"):
+        reshape.to_dense(sig.replace(df.withColumn("sample", -F.col("sample"))), 4, "max").collect()
+    assert reshape.to_dense(sig.replace(df.limit(0)), 4).collect() == []
+
+
 def test_columns_that_only_look_like_samples(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "wave_id long, i_0 double, i_total double, i_10 double")
     assert reshape.series_columns(df) == ["i_0", "i_10"]
