@@ -119,6 +119,46 @@ def _(spark, sf):
     return rounded(board.drop("pred_time_val", "fit_time"))
 
 
+FOLDS, ROUNDS = 3, 10
+
+
+@query("m3_ensemble", f"""
+WITH RECURSIVE {sql.SUPPLIER_LINE},
+fits AS (SELECT f.fold, regr_slope(wait_time_ms, x) AS a, regr_intercept(wait_time_ms, x) AS b,
+                avg(wait_time_ms) AS m
+         FROM (SELECT DISTINCT wave_id % {FOLDS} AS fold FROM d7) f JOIN d7 ON wave_id % {FOLDS} <> fold
+         GROUP BY f.fold),
+oof AS (SELECT wait_time_ms AS y, a * x + b AS linear, m AS flat
+        FROM d7 JOIN fits ON wave_id % {FOLDS} = fold),
+grid AS (SELECT i, j, avg(abs((i * linear + j * flat) / (i + j) - y)) AS mae
+         FROM oof, range(0, {ROUNDS + 1}) i(i), range(0, {ROUNDS + 1}) j(j)
+         WHERE i + j BETWEEN 1 AND {ROUNDS} GROUP BY i, j),
+steps AS (
+  SELECT 0 AS n, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j
+  UNION ALL
+  SELECT n + 1, CASE WHEN l.mae <= f.mae THEN l.i ELSE f.i END, CASE WHEN l.mae <= f.mae THEN l.j ELSE f.j END
+  FROM steps JOIN grid l ON l.i = steps.i + 1 AND l.j = steps.j
+             JOIN grid f ON f.i = steps.i AND f.j = steps.j + 1
+  WHERE n < {ROUNDS}),
+done AS (SELECT steps.i, steps.j, mae FROM steps JOIN grid USING (i, j) WHERE n = {ROUNDS})
+SELECT 'linear' AS model, {sql.r(f'i / CAST({ROUNDS} AS DOUBLE)', 'weight')}, {sql.r('alone', 'mae')},
+       {sql.r('done.mae', 'ensemble_mae')}
+FROM done, (SELECT avg(abs(linear - y)) AS alone FROM oof)
+UNION ALL
+SELECT 'flat', {sql.r(f'j / CAST({ROUNDS} AS DOUBLE)', 'weight')}, {sql.r('alone', 'mae')},
+       {sql.r('done.mae', 'ensemble_mae')}
+FROM done, (SELECT avg(abs(flat - y)) AS alone FROM oof)""")
+def _(spark, sf):
+    """Greedy weights of two candidates from predictions for waves they were not fitted to."""
+    candidates = {
+        "linear": LinearRegression(regParam=0.0, solver="normal"),
+        "flat": LinearRegression(regParam=1e12, solver="normal"),
+    }
+    table = t.supplier_line(spark, sf)
+    predictions = mo.out_of_fold(table, candidates, F.col("wave_id") % FOLDS, FOLDS)
+    return rounded(mo.select_ensemble(predictions, list(candidates), ROUNDS))
+
+
 REPEATS = 5
 _P_VALUE = """0.5 - CAST('0.375' AS DOUBLE) * (t / sqrt(1 + t * t / 4))
               * (1 - t * t / (12 * (1 + t * t / 4)))"""

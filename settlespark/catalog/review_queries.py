@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from settlespark.operators import review as rv
 from settlespark.operators.features import grouped_features
 from settlespark.operators.model import fit_line, score
 from settlespark.operators.settle import Rule, labels
-from settlespark.plans.skew import freeze
+from settlespark.plans import flows
+from settlespark.plans.skew import checkpoint_dir, freeze
 from settlespark.sources import tables as t
 
 HOT = 600
@@ -214,6 +217,19 @@ def _overlay(sig, result):
     return rounded(rv.overlay(sig, result, "check_pred", "run").drop("price"))
 
 
+@query("v4_open_page", f"""
+WITH {RESULTS}
+SELECT rank // 20 AS page, wave_id, order_key, line_no, part_key, {sql.r('time_ms', 'time_ms')},
+       {sql.r('value', 'value')}, {sql.r('pred_wait_time_ms', 'line_ms')}
+FROM p JOIN ranks USING (wave_id) LEFT JOIN last USING (wave_id) WHERE rank // 20 = 0""")
+def _(spark, sf):
+    """The first page of a written review of all waves, by the list of its files."""
+    sig, result = results(spark, sf)
+    out = f"{checkpoint_dir(spark)}/review-{uuid.uuid4().hex}"
+    flows.review(sig, result, "check_pred", "run", out)
+    return rounded(flows.read_page(spark, out, "check_pred", 0).drop("price"))
+
+
 def prepare(spark, sf):
     """The input of :data:`ON_PREPARED`: the waves, and their results as a written table."""
     sig, result = results(spark, sf)

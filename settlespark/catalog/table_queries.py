@@ -104,6 +104,20 @@ def _(spark, sf):
     return rounded(io.read_run(spark, path, "20240102_090000"))
 
 
+@query("s4_list_runs", f"""
+WITH {sql.D2P}, {sql.settle()}
+SELECT '20240101_090000' AS run_id, (SELECT count(*) FROM s) AS rows
+UNION ALL SELECT '20240102_090000', (SELECT count(DISTINCT user_id) FROM events)""")
+def _(spark, sf):
+    """The finished runs with their rows; the second replaces one of another size."""
+    path = _folder(spark, "runs")
+    table = labels(t.price_signals(spark, sf))
+    io.write_run(table, path, "20240101_090000")
+    io.write_run(table, path, "20240102_090000")
+    io.write_run(jo.distinct_ids(t.events(spark, sf)), path, "20240102_090000")
+    return io.list_runs(spark, path).select("run_id", "rows")
+
+
 _ROLES = f"""
 WITH {sql.EVENTS}
 SELECT wave_id, {sql.r('time_ms', 'time')}, {sql.r('value', 'value')}, kind FROM d3"""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from settlespark.plans.skew import number_rows
 from settlespark.signals import Signals
 
+# Rows that one task may put in order.
+ONE_TASK_ROWS = 100_000
+
 
 def lookup_table(result: DataFrame, value: str, order: str, id: str = "wave_id") -> DataFrame:
     """One value per wave from a result table: the last row of a wave wins."""
@@ -31,9 +35,21 @@ def distinct_ids(df: DataFrame, id: str = "wave_id") -> DataFrame:
     return df.select(id).distinct().orderBy(id)
 
 
+def smallest(df: DataFrame, keys: list[str | Column], k: int) -> DataFrame:
+    """The ``k`` smallest rows in the order of ``keys``.
+
+    Up to ``ONE_TASK_ROWS`` rows the best of each partition meet in one task; beyond, rows
+    are numbered by a distributed sort and cut at the number.  Keys must tell all rows
+    apart for the same rows in every run.
+    """
+    if k <= ONE_TASK_ROWS:
+        return df.orderBy(*keys).limit(k)
+    return number_rows(df, keys, "_rank").filter(F.col("_rank") < k).drop("_rank")
+
+
 def first_ids(df: DataFrame, limit: int, id: str = "wave_id") -> DataFrame:
     """The ``limit`` smallest wave ids."""
-    return distinct_ids(df, id).limit(limit)
+    return smallest(df.select(id).distinct(), [id], limit)
 
 
 def pair_by_rank(
@@ -41,9 +57,8 @@ def pair_by_rank(
 ) -> DataFrame:
     """The k-th smallest id of ``a`` beside the k-th smallest of ``b``, k < limit."""
     def ranked(df: DataFrame, id: str, name: str) -> DataFrame:
-        # the window sees the top `limit` ids only
-        rank = (F.row_number().over(Window.orderBy(id)) - 1).cast("long")
-        return first_ids(df, limit, id).select(rank.alias("rank"), F.col(id).alias(name))
+        numbered = number_rows(df.select(id).distinct(), [id], "rank").filter(F.col("rank") < limit)
+        return numbered.select("rank", F.col(id).alias(name))
     return ranked(a, id_a, "id_a").join(ranked(b, id_b, "id_b"), "rank")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -17,6 +18,7 @@ from pyspark.sql.types import BooleanType, NumericType
 from pyspark.storagelevel import StorageLevel
 
 from settlespark.functions.stats import importance_stats
+from settlespark.operators.joins import smallest
 from settlespark.operators.project import drop_unlabelled, feature_columns, front_columns
 from settlespark.plans.skew import freeze, number_rows
 
@@ -139,6 +141,69 @@ def leaderboard(spark: SparkSession, trained: Trained, top: int | None = None) -
     return spark.createDataFrame(rows[:top], columns)
 
 
+def out_of_fold(
+    df: DataFrame,
+    candidates: dict[str, Estimator],
+    fold: Column,
+    folds: int,
+    features: Sequence[str] | None = None,
+    label: str = LABEL,
+    id: str = "wave_id",
+) -> DataFrame:
+    """Per labelled wave its id, label and one prediction of each candidate.
+
+    ``fold`` gives a wave a number below ``folds``; its predictions come from models
+    fitted to the waves of the other folds.  A fold whose number is not below ``folds``
+    or is null fails the job, as no model would predict it.
+    """
+    features = list(features or numeric_features(df, label, id))
+    table = _numeric(drop_unlabelled(df, label), [*features, label])
+    number = F.when((fold >= 0) & (fold < folds), fold).otherwise(
+        F.raise_error(F.lit("a wave is in none of the folds")))
+    table = freeze(table.select(id, label, *features, number.cast("int").alias("_fold")))
+    parts = []
+    for part in range(folds):
+        inside, rest = table.filter(F.col("_fold") == part), table.filter(F.col("_fold") != part)
+        for name, estimator in candidates.items():
+            fitted = _pipeline(features, label, estimator).fit(rest)
+            inside = fitted.transform(inside).drop(VECTOR, *[FILLED + c for c in features])
+            inside = inside.withColumnRenamed(PRED, name)
+        parts.append(inside.select(id, label, *candidates))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def select_ensemble(
+    predictions: DataFrame, candidates: Sequence[str], rounds: int = 20, label: str = LABEL
+) -> DataFrame:
+    """Weights of candidates whose weighted mean predicts the label well.
+
+    Greedy selection with replacement: each round adds the candidate that brings the
+    mean absolute error of the mean of all chosen ones lowest, the first named among
+    equals; all choices of a round are tried in one pass.  One row per candidate:
+    ``model``, ``weight`` (its share of the rounds), ``mae`` and ``ensemble_mae``.
+    """
+    names, spark = list(candidates), predictions.sparkSession
+    held = freeze(predictions.select(label, *names))
+
+    def errors(options: list[list[int]]) -> list[float]:
+        means = [
+            sum((F.col(c) * F.lit(float(n)) for c, n in zip(names, option)), F.lit(0.0)) / F.lit(float(sum(option)))
+            for option in options]
+        return list(held.agg(*[F.avg(F.abs(m - F.col(label))).alias(f"e{i}") for i, m in enumerate(means)]).first())
+
+    chosen = [0] * len(names)
+    alone, best = None, None
+    for _ in range(rounds):
+        options = [[n + (i == j) for j, n in enumerate(chosen)] for i in range(len(names))]
+        tried = errors(options)
+        if None in tried:
+            raise ValueError("an ensemble needs labelled rows")
+        alone, best = alone or tried, min(tried)
+        chosen = options[tried.index(best)]
+    rows = [(name, n / rounds, mae, best) for name, n, mae in zip(names, chosen, alone)]
+    return spark.createDataFrame(rows, "model string, weight double, mae double, ensemble_mae double")
+
+
 def score(
     df: DataFrame, model: PipelineModel, features: Sequence[str], id: str = "wave_id"
 ) -> DataFrame:
@@ -184,7 +249,7 @@ def worst_predictions(
 ) -> DataFrame:
     """The ``k`` waves with the largest absolute error; ties go to the smaller id."""
     table = residuals(scored, label)
-    top = table.orderBy(F.desc("abs_error_ms"), id).limit(k)
+    top = smallest(table, [F.desc("abs_error_ms"), F.col(id)], k)
     return top.select(id, label, PRED, "error_ms")
 
 

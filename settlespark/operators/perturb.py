@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from settlespark.functions.scalar import gaussian, is_missing, uniform
-from settlespark.operators.joins import disjoint_ids
+from settlespark.operators.joins import disjoint_ids, smallest
 from settlespark.plans.skew import N, POS, Part
 from settlespark.signals import OWN, Signals
 
@@ -21,7 +21,7 @@ def sample_ids(
     ``key`` replaces the hash; ties are broken by the id.
     """
     key = F.xxhash64(id, F.lit(seed)) if key is None else key
-    return df.select(id).distinct().orderBy(key, id).limit(k)
+    return smallest(df.select(id).distinct(), [key, F.col(id)], k)
 
 
 def disjoint_groups(

@@ -87,6 +87,17 @@ def overlay(
     )
 
 
+def page_files(points: DataFrame, id: str = "wave_id", time: str = "time_ms") -> DataFrame:
+    """Per written file of an overlay its first and last (page, wave, time) and its points.
+
+    ``points`` must be read from files.  One row per file, partially aggregated where
+    the file is read.
+    """
+    at = F.struct(F.col("page"), F.col(id).alias("wave"), F.col(time).alias("time"))
+    return points.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n_points"))
+
+
 def compare_pairs(
     train: Signals, test: Signals, limit: int = 100, per_page: int = PER_PAGE
 ) -> DataFrame:

@@ -114,11 +114,24 @@ def review(
     sig: Signals, result: DataFrame, mode: str, order: str, out: str,
     per_page: int = rv.PER_PAGE,
 ) -> None:
-    """Write the review table and the points to draw.
+    """Write the review table, the points to draw and the list of their files.
 
-    The files of the points follow one another in drawing order, so a reader of a page
-    opens the few that hold it by their statistics.
+    The files of the points follow one another in drawing order, and the list, written
+    last, names the pages each of them holds (:func:`read_page`).
     """
     with _scratch(sig):
         io.write_table(rv.review_table(sig, result, mode, order, per_page), f"{out}/{mode}")
-        io.write_table(rv.overlay(sig, result, mode, order, per_page), f"{out}/{mode}_points")
+        points = f"{out}/{mode}_points"
+        io.write_table(rv.overlay(sig, result, mode, order, per_page), points)
+        written = io.read_signals(sig.df.sparkSession, points)
+        io.write_table(rv.page_files(written, sig.id, sig.time).coalesce(1), f"{out}/{mode}_pages")
+
+
+def read_page(spark: SparkSession, out: str, mode: str, page: int) -> DataFrame:
+    """The points of one page of a written review; only the files that hold it are opened."""
+    points = f"{out}/{mode}_points"
+    files = [r.file for r in io.read_signals(spark, f"{out}/{mode}_pages").filter(
+        (F.col("first.page") <= page) & (F.col("last.page") >= page)).select("file").collect()]
+    if not files:
+        return io.read_signals(spark, points).filter(F.lit(False))
+    return spark.read.parquet(*[f"{points}/{f}" for f in files]).filter(F.col("page") == page)

@@ -41,6 +41,34 @@ def test_leaderboard(spark, trained):
     assert rows[0]["score_val"] > rows[1]["score_val"]
 
 
+def test_ensemble_of_predictions_for_unseen_waves(spark, table):
+    from pyspark.sql import functions as F
+    candidates = {name: LinearRegression(regParam=p, solver="normal") for name, p in (
+        ("linear", 0.0), ("shrunk", 3.0), ("flat", 1e12))}
+    oof = mo.out_of_fold(table, candidates, F.col("wave_id") % 4, 4, ["a"])
+    got = oof.toPandas().sort_values("wave_id")
+    data = table.toPandas().sort_values("wave_id")
+    assert got["wave_id"].tolist() == data["wave_id"].tolist()
+    for part in range(4):
+        rest, inside = data[data.wave_id % 4 != part], data[data.wave_id % 4 == part]
+        slope, intercept = np.polyfit(rest["a"], rest["wait_time_ms"], 1)
+        mine = got[got.wave_id % 4 == part]
+        assert np.allclose(mine["linear"], slope * inside["a"] + intercept)
+        assert np.allclose(mine["flat"], rest["wait_time_ms"].mean())
+    names, counts, rounds = list(candidates), np.zeros(3), 8
+    for _ in range(rounds):
+        tries = [np.abs(got[names].to_numpy() @ (counts + e) / (counts.sum() + 1) - got["wait_time_ms"]).mean()
+                 for e in np.eye(3)]
+        counts += np.eye(3)[int(np.argmin(tries))]
+    rows = mo.select_ensemble(oof, names, rounds).collect()
+    assert [r.weight for r in rows] == (counts / rounds).tolist()
+    assert abs(rows[0].ensemble_mae - min(tries)) < 1e-9
+    with pytest.raises(ValueError, match="labelled"):
+        mo.select_ensemble(oof.limit(0), names)
+    with pytest.raises(Exception, match="none of the folds"):
+        mo.out_of_fold(table, candidates, F.col("wave_id") % 5, 4, ["a"])
+
+
 def test_time_limit_stops_after_the_first_candidate(table):
     trained = mo.train_regressor(table, time_limit=0)
     assert [s[0] for s in trained.scores] == ["linear"]

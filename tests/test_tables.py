@@ -233,6 +233,86 @@ def test_runs_are_replaced_one_by_one(spark, tmp_path):
     assert len(io.new_run_id()) == 15
 
 
+def test_a_run_without_its_marker_stays_unseen(spark, tmp_path, monkeypatch):
+    path, run = str(tmp_path / "runs"), "20250101_000000"
+    assert io.list_runs(spark, path).collect() == []
+    with pytest.raises(FileNotFoundError):
+        io.read_run(spark, path, run)
+    io.write_run(spark.range(3), path, run)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+    with monkeypatch.context() as patch:
+        patch.setattr(io, "_put", killed)
+        with pytest.raises(KeyboardInterrupt):
+            io.write_run(spark.range(7), path, run)
+        with pytest.raises(KeyboardInterrupt):
+            io.write_run(spark.range(7), path, "20250102_000000")
+    assert io.read_run(spark, path, run).count() == 3
+    assert [(r.run_id, r.rows) for r in io.list_runs(spark, path).collect()] == [(run, 3)]
+    with pytest.raises(FileNotFoundError):
+        io.read_run(spark, path, "20250102_000000")
+
+
+def test_a_run_with_other_files_is_refused(spark, tmp_path):
+    path, run = str(tmp_path / "runs"), "20250101_000000"
+    table = spark.createDataFrame([(1, "a", None), (2, None, 0.5)], "k int, s string, x double")
+    io.write_run(table.withColumn("run_id", F.lit("old")), path, run, format="csv")
+    back = io.read_run(spark, path, run)
+    assert back.columns == ["k", "s", "x", "run_id"] and back.schema["k"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, back.collect())) == [(1, "a", None, run), (2, None, 0.5, run)]
+    with pytest.raises(ValueError, match="csv"):
+        io.read_run(spark, path, run, format="parquet")
+    lost = next((tmp_path / "runs" / f"run_id={run}").glob("*/part-*"))
+    lost.unlink()
+    with pytest.raises(ValueError, match="files"):
+        io.read_run(spark, path, run)
+    for bad in ("", "../x", "_/a", "a b"):
+        with pytest.raises(ValueError, match="run id"):
+            io.write_run(table, path, bad)
+
+
+def test_a_large_cut_is_no_single_task(spark, monkeypatch):
+    df = spark.range(2000).select((F.col("id") * 7 % 500).alias("wave_id"))
+    for limit in (0, 1, 7, 499, 500, 10_000_000):
+        monkeypatch.setattr(joins, "ONE_TASK_ROWS", 100_000)
+        few = sorted(r.wave_id for r in joins.first_ids(df, limit).collect())
+        monkeypatch.setattr(joins, "ONE_TASK_ROWS", -1)
+        assert sorted(r.wave_id for r in joins.first_ids(df, limit).collect()) == few == list(range(min(limit, 500)))
+    key = F.xxhash64("wave_id")
+    cut = {r.wave_id for r in perturb.sample_ids(df, 20, 1, key=key).collect()}
+    monkeypatch.setattr(joins, "ONE_TASK_ROWS", 100_000)
+    assert cut == {r.wave_id for r in perturb.sample_ids(df, 20, 1, key=key).collect()}
+    pairs = joins.pair_by_rank(df, df.filter("wave_id % 2 = 1"), 10_000_000)
+    assert sorted(map(tuple, pairs.collect())) == [(k, k, 2 * k + 1) for k in range(250)]
+    for big in (joins.first_ids(df, 10_000_000), pairs, perturb.sample_ids(df, 10_000_000, 1)):
+        plan = big._jdf.queryExecution().executedPlan().toString()
+        windows = [x for x in plan.splitlines() if "Window " in x]
+        assert "TakeOrderedAndProject" not in plan
+        # the only window adds up one row per range
+        assert windows and all("_rows" in x and "row_number" not in x for x in windows)
+
+
+def test_a_page_opens_only_its_files(spark, tmp_path):
+    from settlespark.plans import flows
+    waves = spark.createDataFrame(w.frame({k: np.arange(50.0) for k in range(60)}))
+    result = spark.createDataFrame([(k, 0, 0.1) for k in range(60)], "wave_id long, run int, wait_time_ms double")
+    out = str(tmp_path / "review with space")
+    # a table this small would become one file
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        flows.review(Signals(waves), result, "check_train", "run", out, per_page=3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pages = io.read_signals(spark, f"{out}/check_train_pages").collect()
+    assert len(pages) > 1 and sum(p.n_points for p in pages) == 3000
+    for page in (0, 7, 19):
+        points = flows.read_page(spark, out, "check_train", page)
+        assert {r.wave_id for r in points.collect()} == set(range(3 * page, 3 * page + 3))
+        assert points.count() == 150 and len(points.inputFiles()) <= 2 < len(pages)
+    assert flows.read_page(spark, out, "check_train", 20).collect() == []
+
+
 def test_truncation_and_oscillation_touch_chosen_waves_only(spark):
     waves = {k: np.ones(100) for k in range(10)}
     df = spark.createDataFrame(w.frame(waves)).withColumns(
