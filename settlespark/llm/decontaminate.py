@@ -2,9 +2,12 @@
 
 Each benchmark item gives windows of consecutive words, each window a set of
 shingles.  Full containment needs every shingle of a window, so a prefix of one,
-its rarest, is enough to join on.  The place of that shingle fixes where the window
-would begin; candidates that do not fit the document are dropped, the others are
-compared word by word.  Only DataFrame functions are used.
+its rarest, is enough to join on.  One pass counts the shingles of the benchmark in the
+documents, a second seeks the places of the prefixes only.  The place of such a shingle
+fixes where a window would begin, whatever number of windows and items share it; starts
+that do not fit the document are dropped, the words at the others are compared in full
+with the windows, and the items that own a window are joined last.  Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
@@ -20,6 +23,9 @@ from settlespark.plans.skew import freeze
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 SHINGLE = 5
+# A broadcast of hashes alone may have so many times the rows of another.
+HASHES = 10
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def item_words(text: Column) -> Column:
@@ -33,14 +39,18 @@ def _shingle(of: Column, at: Column, k: int) -> Column:
 
 
 def _windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """Distinct windows: ``item``, ``window`` (words), ``k`` (words of a shingle)."""
+    """Distinct windows of each item: ``item`` and ``body``, the words of the window."""
     items = benchmark.select(
         F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("item"),
         item_words(text_or_empty(text)).alias("all")).filter(F.size("all") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("all") - WINDOW, F.lit(0)))
     return items.select("item", "all", F.explode(starts).alias("start")).select(
-        "item", F.slice("all", F.col("start") + 1, WINDOW).alias("window")
-    ).distinct().withColumn("k", F.least(F.size("window"), F.lit(SHINGLE)))
+        "item", _body(F.slice("all", F.col("start") + 1, WINDOW)).alias("body")).distinct()
+
+
+def _body(window: Column) -> Column:
+    """The words of a window as one string; no word holds a blank."""
+    return F.array_join(window, " ")
 
 
 def _covered(places: Column) -> Column:
@@ -67,42 +77,53 @@ def contamination(
     held = df.select(
         F.col(f"`{id}`").alias("id"), row_key(F.col(f"`{id}`"), text_or_empty(text)).alias("key"),
         item_words(text_or_empty(text)).alias("words"))
-    windows = freeze(_windows(benchmark, item, item_text))
-    shingles = [r.k for r in windows.select("k").distinct().collect()]  # at most SHINGLE values
-    grams = freeze(windows.select("item", "window", "k", F.posexplode("window").alias("at", "word")).select(
-        "item", "window", "at", F.coalesce(*[
-            F.when(F.col("k") == k, _shingle(F.col("window"), F.col("at"), k)) for k in shingles or [1]
+    owners = freeze(_windows(benchmark, item, item_text))
+    # what many items share is one window
+    windows = freeze(owners.select("body").distinct().withColumn("window", F.split("body", " ")).withColumn(
+        "size", F.size("window")))
+    shingles = sorted({min(r.size, SHINGLE) for r in windows.select("size").distinct().collect()})
+    k = F.least("size", F.lit(SHINGLE))
+    grams = freeze(windows.select("body", "window", "size", F.posexplode("window").alias("at", "word")).select(
+        "body", "size", "at", F.coalesce(*[
+            F.when(k == n, _shingle(F.col("window"), F.col("at"), n)) for n in shingles or [1]
         ]).alias("h")).filter("h is not null"))
-    sought, n_grams = grams.select("h").distinct(), grams.count()
+    sought = freeze(grams.select("h").distinct())
 
-    # places of benchmark shingles in documents
+    # a row per place in a document; hashes alone are small enough for larger broadcasts
     spots = held.select("key", "words", F.posexplode("words").alias("pos", "word"))
-    hashes = [_shingle(F.col("words"), F.col("pos"), k) for k in shingles or [1]]
+    hashes = [_shingle(F.col("words"), F.col("pos"), n) for n in shingles or [1]]
     spots = (
         spots.select("key", "pos", hashes[0].alias("h")) if len(hashes) == 1
         else spots.select("key", "pos", F.explode(F.array(*hashes)).alias("h")))
-    found = freeze(spots.join(small(sought, n_grams, max_broadcast_rows), "h").distinct())
+    rarity = spots.select("h").join(small(sought, sought.count(), HASHES * max_broadcast_rows), "h").groupBy("h").agg(
+        F.count(F.lit(1)).alias("n"))
 
-    # the rarest shingle of each window; a window with a shingle found nowhere occurs nowhere
-    rarity = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    prefix = grams.join(rarity, "h", "left").groupBy("item", "window").agg(
+    # the rarest shingle of each window; a window with a shingle found nowhere occurs nowhere.
+    # Where a window may begin follows from the shingle, its place and the size alone.
+    prefix = freeze(grams.join(rarity, "h", "left").groupBy("body", "size").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "at")).alias("rarest")
-    ).filter("rarest.n > 0").select("item", "window", "rarest.h", "rarest.at")
-
-    candidates = found.join(small(prefix, n_grams, max_broadcast_rows), "h").withColumn(
+    ).filter("rarest.n > 0").select("rarest.h", "rarest.at", "size").distinct())
+    starts = spots.join(small(prefix, prefix.count(), max_broadcast_rows), "h").withColumn(
         "start", F.col("pos") - F.col("at")).filter("start >= 0")
-    per_row = freeze(candidates.groupBy("key").agg(
-        F.collect_list(F.struct("start", "item", "window")).alias("candidates")))
+    per_row = freeze(starts.groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("starts")))
+
+    # the words there, compared in full with the windows
     keys = per_row.select("key")
     near = held.select("key", "words").join(
         small(keys, keys.count(), max_broadcast_rows), "key", "left_semi").dropDuplicates(["key"])
-    real = F.filter("candidates", lambda c: F.slice(
-        F.col("words"), c["start"] + 1, F.size(c["window"])) == c["window"])
-    hits = near.join(per_row, "key").select("key", real.alias("real")).filter(F.size("real") > 0).select(
-        "key",
-        _covered(F.array_sort(F.array_distinct(F.transform("real", lambda c: F.struct(
-            c["start"].alias("start"), (c["start"] + F.size(c["window"])).alias("end")))))).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform("real", lambda c: c["item"]))).alias("items"))
+    there = near.join(per_row, "key").select("key", "words", F.explode("starts").alias("s")).select(
+        "key", "s.start", "s.size", _body(F.slice(F.col("words"), F.col("s.start") + 1, F.col("s.size"))).alias("body"))
+    known = windows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("body")).alias("bytes")).first()
+    few = known.n <= max_broadcast_rows and (known.bytes or 0) <= MAX_BROADCAST_BYTES
+    bodies = windows.select("body", "size")
+    real = freeze(there.join(F.broadcast(bodies) if few else bodies, ["body", "size"]))
+
+    # items last, each once per window of a document
+    found = real.select("key", "body").distinct().join(owners, "body").groupBy("key").agg(
+        F.array_sort(F.collect_set("item")).alias("items"))
+    hits = real.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(
+        F.col("start"), (F.col("start") + F.col("size")).alias("end")))).alias("places")
+    ).select("key", _covered(F.col("places")).alias("n_hit")).join(found, "key")
 
     n_words, n_hit = F.col("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))

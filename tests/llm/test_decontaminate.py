@@ -57,6 +57,15 @@ def test_hits_equal_those_of_a_plain_search(spark, broadcast):
     assert sorted(map(tuple, got.collect()), key=repr) == expected(documents, items)
 
 
+def test_many_items_that_share_a_passage(spark):
+    passage = " ".join(f"shared{i}" for i in range(20))
+    items = [(i, f"{passage} own{i} tail{i}") for i in range(1000)] + [(5000, "shared1 shared2"), (5001, "tail7 tail7")]
+    documents = [(1, f"{passage} filler " * 300), (2, f"a {passage} own7 tail7 tail7 z"), (3, "shared1 shared3"), (4, passage)]
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    got = contamination(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(documents, items)
+
+
 def test_drop_keeps_clean_rows_and_columns(spark):
     documents, items = passages()
     df = spark.createDataFrame([(*d, "k", 1) for d in documents], "doc_id long, text string, key string, _row_key int")
