@@ -4,8 +4,8 @@ A conversation is rendered as a whole and encoded once with character offsets.
 The spans of the assistant texts are then intersected with the token spans by
 binary search.  Every border of a span is a control token, so no token crosses it.
 
-Turns are sorted over the whole table and cut into blocks of at most ``TURNS`` rows
-as they stream by; as each turn begins and ends with control tokens, the blocks of a
+Turns are sorted over the whole table and cut into blocks of at most ``TURNS`` rows and
+``BLOCK_CHARS`` characters (or one longer turn) as they stream by; as each turn begins and ends with control tokens, the blocks of a
 conversation put together are the encoding of the whole.
 """
 
@@ -26,6 +26,7 @@ from settlespark.plans.skew import freeze
 
 START, BODY, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TURNS = 256
+BLOCK_CHARS = 1 << 20
 PREFIX = 128
 TARGET = "assistant"
 
@@ -92,7 +93,7 @@ FORMATTED = [
 ]
 
 
-def _format(batches, schema: pa.Schema, tokenizer: str, turns_per_block: int):
+def _format(batches, schema: pa.Schema, tokenizer: str, turns_per_block: int, chars_per_block: int):
     """Blocks of sorted turns; those of earlier partitions have lower numbers."""
     chat, number = chat_tokenizer(tokenizer), partition_id() << 33
 
@@ -106,13 +107,15 @@ def _format(batches, schema: pa.Schema, tokenizer: str, turns_per_block: int):
             np.packbits(mask, bitorder="little").tobytes(), len(mask), len(text))
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
-    last, turns = None, []
+    last, turns, held = None, [], 0
     for batch in batches:
-        for id_, role, text in zip(*[batch[c].to_pylist() for c in ("id", "role", "text")]):
-            if turns and (id_ != last or len(turns) == turns_per_block):
+        for cells in zip(*[batch[c] for c in ("id", "role", "text")]):
+            id_, role, text = (c.as_py() for c in cells)
+            size = len(role) + len(text)
+            if turns and (id_ != last or len(turns) == turns_per_block or held + size > chars_per_block):
                 yield formatted(last, turns)
-                turns, number = [], number + 1
-            last = id_
+                turns, held, number = [], 0, number + 1
+            last, held = id_, held + size
             turns.append((role, text))
     if turns:
         yield formatted(last, turns)
@@ -138,10 +141,11 @@ def _sorted_turns(rows: DataFrame) -> DataFrame:
 
 def format_conversations(
     df: DataFrame, tokenizer: str, id: str = "conv_id", turn: str = "turn", role: str = "role",
-    text: str = "text", turns_per_block: int = TURNS,
+    text: str = "text", turns_per_block: int = TURNS, chars_per_block: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """One row per block of a conversation, at most ``turns_per_block`` rows: id, ``block``
-    (ascending in the conversation, with gaps), token ``ids`` (little-endian unsigned 32-bit),
+    """One row per block of a conversation, at most ``turns_per_block`` rows and
+    ``chars_per_block`` characters of roles and texts (a longer turn is a block of its
+    own): id, ``block`` (ascending in the conversation, with gaps), token ``ids`` (little-endian unsigned 32-bit),
     ``mask`` (one bit per token, lowest first), ``n_tokens``, ``formatted_chars``.
 
     Turns are in ascending order of ``turn`` (null first, ties by role and text);
@@ -157,7 +161,7 @@ def format_conversations(
         F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
     return map_batches(_sorted_turns(rows), _format, T.StructType([
         T.StructField("id", df.schema[id].dataType), T.StructField("block", T.LongType()), *FORMATTED,
-    ]), tokenizer, turns_per_block)
+    ]), tokenizer, turns_per_block, chars_per_block)
 
 
 def _digest(batches, schema: pa.Schema, tokenizer: str):

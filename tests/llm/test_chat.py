@@ -7,8 +7,9 @@ import pytest
 
 from settlespark.llm.chat import (
     BODY, END, START, chat_digests, chat_tokenizer, escape, format_conversations, loss_mask, parse,
-    render, unescape,
+    read_back, render, unescape,
 )
+from settlespark.plans.skew import freeze
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = [START, END, BODY, "<|", "<\\|", "<\\\\|", "\\", "|", "<", "<|endoftext|>", " ", "\n", "ok", "é", "😀", "", "user\n"]
@@ -59,7 +60,6 @@ def test_digests(spark, block):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, id int, block int")
     got = chat_digests(df, PATH, turns_per_block=block) if block == 256 else None
     if got is None:
-        from settlespark.llm.chat import read_back
         got = read_back(format_conversations(df, PATH, turns_per_block=block), PATH)
     assert sorted([tuple(r)[:6] for r in got.collect()], key=repr) == expected(rows)
 
@@ -74,6 +74,18 @@ def test_no_block_exceeds_its_rows_when_turns_repeat(spark):
     assert sorted([tuple(r)[:6] for r in chat_digests(df, PATH).collect()], key=repr) == expected(rows)
 
 
+def test_no_block_exceeds_its_characters(spark):
+    rows = [(9, i, ("user", "assistant")[i % 2], f"{i} " * 400) for i in range(60)]
+    rows += [(8, i, "assistant", "x" * size) for i, size in enumerate((10, 30_000, 10, 0, 4_990))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    blocks = freeze(format_conversations(df, PATH, chars_per_block=5_000))
+    marks = len(START + BODY + END)
+    sizes = [(r.id, r.formatted_chars) for r in blocks.collect()]
+    assert len([s for i, s in sizes if i == 9]) > 10
+    assert [s for i, s in sizes if s > 5_000 + 256 * marks] == [30_000 + len("assistant") + marks]
+    assert sorted([tuple(r)[:6] for r in read_back(blocks, PATH).collect()], key=repr) == expected(rows)
+
+
 def test_repeated_rows_are_spread(spark):
     df = spark.createDataFrame([(9, 1, "user", "same")] * 4000, "conv_id long, turn long, role string, text string")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
