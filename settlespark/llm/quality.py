@@ -25,6 +25,10 @@ from settlespark.llm.columns import row_key
 # Rows that the scorer learns from, in expectation.
 SAMPLE_ROWS = 20_000
 BUCKETS = 8_192
+# Features of a text that the scorer learns from, the largest ones.
+LEARNT_FEATURES = 1_024
+# Words of a part of a text whose variety is measured.
+PART_WORDS = 1_000
 BAD, GOOD, NONE = 0, 1, 2
 
 SPACE, UPPER, LOWER, DIGIT, STOP, SYMBOL, OTHER = range(7)
@@ -50,6 +54,14 @@ LEAST_WORDS, LEAST_BYTES = 30, 200
 SYMBOLS, CAPITALS, REPEATS, LONE, TRAILING, VARIED, LENGTH = range(7)
 
 
+def _variety(words: list[bytes]) -> float:
+    """Share of distinct words, the mean over equal parts of ``PART_WORDS`` words or more,
+    so that it does not fall with the length of a text."""
+    parts = max(1, len(words) // PART_WORDS)
+    cuts = [len(words) * i // parts for i in range(parts + 1)]
+    return sum(len(set(words[a:b])) / max(1, b - a) for a, b in zip(cuts, cuts[1:])) / parts
+
+
 def _measure(text: bytes, codes: np.ndarray, words: list[bytes]) -> tuple[float, ...]:
     """Statistics of a text: shares of symbols, capitals, words that repeat the one
     before, lone symbols, words that end in a symbol, distinct words; bytes a word."""
@@ -63,7 +75,7 @@ def _measure(text: bytes, codes: np.ndarray, words: list[bytes]) -> tuple[float,
     return (
         counts[SYMBOL] / max(LEAST_BYTES, len(codes)), counts[UPPER] / max(LEAST_BYTES, letters),
         sum(map(eq, words, words[1:])) / n, lone / n, ending / n,
-        len(set(words)) / max(1, len(words)), len(text) / max(1, len(words)),
+        _variety(words), len(text) / max(1, len(words)),
     )
 
 
@@ -222,6 +234,9 @@ def _train(batches, schema: pa.Schema, posterior: np.ndarray) -> Iterator[pa.Rec
     for batch in batches:
         for text in batch["text"]:
             pattern, index, value = features(text.as_py())
+            if len(index) > LEARNT_FEATURES:
+                most = np.sort(np.argsort(-value, kind="stable")[:LEARNT_FEATURES])
+                index, value = index[most], value[most]
             rows.append((index.astype(np.int32), value.astype(np.float32)))
             label.append(posterior[pattern])
     weights = fit_scorer(rows, np.array(label))
@@ -251,6 +266,7 @@ def _texts(df: DataFrame, id: str, text: str) -> DataFrame:
 def fit_quality(df: DataFrame, id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS):
     """The weak model over all rows, and the scorer's weights from about ``sample_rows``.
 
+    The one task that learns holds at most ``LEARNT_FEATURES`` numbers of each.
     Rows of the sample are chosen by a hash of id and text, and rows equal in both
     count once.  At most ``PATTERNS`` counts
     and one row of weights reach the driver.
