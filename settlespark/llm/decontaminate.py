@@ -2,8 +2,8 @@
 
 Each benchmark item gives windows of consecutive words, each window a set of
 shingles.  Full containment needs every shingle of a window, so a prefix of one,
-its rarest, is enough to join on.  One pass counts the shingles of the benchmark in the
-documents, a second seeks the places of the prefixes only.  The place of such a shingle
+its rarest, is enough to join on.  One pass counts the shingles of the benchmark in each
+document; only documents that hold a prefix are searched for its places.  The place of such a shingle
 fixes where a window would begin, whatever number of windows and items share it; starts
 that do not fit the document are dropped, the words at the others are compared in full
 with the windows, and the items that own a window are joined last.  Only DataFrame
@@ -89,29 +89,37 @@ def contamination(
         ]).alias("h")).filter("h is not null"))
     sought = freeze(grams.select("h").distinct())
 
-    # a row per place in a document; hashes alone are small enough for larger broadcasts
-    spots = held.select("key", "words", F.posexplode("words").alias("pos", "word"))
-    hashes = [_shingle(F.col("words"), F.col("pos"), n) for n in shingles or [1]]
-    spots = (
-        spots.select("key", "pos", hashes[0].alias("h")) if len(hashes) == 1
-        else spots.select("key", "pos", F.explode(F.array(*hashes)).alias("h")))
-    rarity = spots.select("h").join(small(sought, sought.count(), HASHES * max_broadcast_rows), "h").groupBy("h").agg(
-        F.count(F.lit(1)).alias("n"))
+    # how often each document holds them; hashes alone are small enough for larger broadcasts
+    def places(rows: DataFrame) -> DataFrame:
+        spots = rows.select("key", "words", F.posexplode("words").alias("pos", "word"))
+        hashes = [_shingle(F.col("words"), F.col("pos"), n) for n in shingles or [1]]
+        return (
+            spots.select("key", "pos", hashes[0].alias("h")) if len(hashes) == 1
+            else spots.select("key", "pos", F.explode(F.array(*hashes)).alias("h")))
+
+    counted = freeze(places(held).select("key", "h").join(
+        small(sought, sought.count(), HASHES * max_broadcast_rows), "h"
+    ).groupBy("key", "h").agg(F.count(F.lit(1)).alias("n")))
+    rarity = counted.groupBy("h").agg(F.sum("n").alias("n"))
 
     # the rarest shingle of each window; a window with a shingle found nowhere occurs nowhere.
     # Where a window may begin follows from the shingle, its place and the size alone.
     prefix = freeze(grams.join(rarity, "h", "left").groupBy("body", "size").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "at")).alias("rarest")
     ).filter("rarest.n > 0").select("rarest.h", "rarest.at", "size").distinct())
-    starts = spots.join(small(prefix, prefix.count(), max_broadcast_rows), "h").withColumn(
+    prefix_rows = prefix.count()
+    keys = freeze(counted.join(
+        small(prefix.select("h").distinct(), prefix_rows, max_broadcast_rows), "h", "left_semi"
+    ).select("key").distinct())
+    # only these documents are cut into words again
+    near = df.select(row_key(F.col(f"`{id}`"), text_or_empty(text)).alias("key"), text_or_empty(text).alias("text")).join(
+        small(keys, keys.count(), max_broadcast_rows), "key", "left_semi").select("key", item_words(F.col("text")).alias("words"))
+    starts = places(near).join(small(prefix, prefix_rows, max_broadcast_rows), "h").withColumn(
         "start", F.col("pos") - F.col("at")).filter("start >= 0")
     per_row = freeze(starts.groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("starts")))
 
     # the words there, compared in full with the windows
-    keys = per_row.select("key")
-    near = held.select("key", "words").join(
-        small(keys, keys.count(), max_broadcast_rows), "key", "left_semi").dropDuplicates(["key"])
-    there = near.join(per_row, "key").select("key", "words", F.explode("starts").alias("s")).select(
+    there = near.dropDuplicates(["key"]).join(per_row, "key").select("key", "words", F.explode("starts").alias("s")).select(
         "key", "s.start", "s.size", _body(F.slice(F.col("words"), F.col("s.start") + 1, F.col("s.size"))).alias("body"))
     known = windows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("body")).alias("bytes")).first()
     few = known.n <= max_broadcast_rows and (known.bytes or 0) <= MAX_BROADCAST_BYTES
