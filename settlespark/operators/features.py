@@ -156,52 +156,117 @@ def fold_ranges(
 ) -> DataFrame:
     """Like :func:`fold_per_wave`, but a wave of any size is folded by many tasks.
 
-    The samples are range-partitioned by (wave, order).  Each range is folded on its own
-    from ``start()`` to a partial state, and ``merge(earlier, later)`` joins the states of
-    neighbouring ranges, ``merge_width`` at a time, until each wave has one.  ``merge`` must
+    The samples are range-partitioned by (wave, order), at least ``ROWS_PER_RANGE`` a task
+    once they fill all tasks.  In a task, each ``rows_per_range`` samples of a wave are
+    folded on their own from ``start()`` to a partial state, and ``merge(earlier, later)``
+    joins the states of neighbouring ranges: in the task until it has one a wave, then
+    those of ``merge_width`` tasks at a time until each wave has one.  ``merge`` must
     give the state that folding the later range after the earlier one gives; states are
     pickled.
     """
     id, order = sig.id, sig.order
-    ranges = range_count(sig.df, sig.samples.count(), rows_per_range)
-    key = StructField("wave", sig.samples.schema[id].dataType)
-    partial = StructType([key, StructField("part", LongType()), StructField("state", BinaryType())])
+    # a range needs no task of its own, so tasks and exchanged blocks stay few
+    tasks = range_count(sig.df, sig.samples.count(), max(rows_per_range, ROWS_PER_RANGE))
+    partial = StructType([
+        StructField("wave", sig.samples.schema[id].dataType), StructField("part", LongType()),
+        StructField("state", BinaryType())])
 
     def fold(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        states: dict[Any, Any] = {}
+        wave, merged, state, room, states = None, None, None, 0, []
         for block in blocks:
-            for wave, rows in block.groupby(id, sort=False):
-                # waves are sorted, so all but the last are complete
-                done = [w for w in states if w != wave]
-                if done:
-                    yield pd.DataFrame({
-                        "wave": done, "part": part, "state": [pickle.dumps(states.pop(w)) for w in done]})
-                states[wave] = step(states[wave] if wave in states else start(), rows)
-        if states:
-            yield pd.DataFrame({"wave": list(states), "part": part, "state": [pickle.dumps(x) for x in states.values()]})
-
-    def joined(rows: pd.DataFrame) -> Any:
-        state = None
-        for number, one in enumerate(rows.sort_values("part")["state"]):
-            state = pickle.loads(one) if not number else merge(state, pickle.loads(one))
+            for key, rows in block.groupby(id, sort=False):
+                if merged is None or key != wave:
+                    if merged is not None:
+                        merged.add(state)
+                        states.append((wave, part, pickle.dumps(merged.all())))
+                    wave, merged, state, room = key, _Merged(merge), start(), rows_per_range
+                at = 0
+                while at < len(rows):
+                    if not room:
+                        merged.add(state)
+                        state, room = start(), rows_per_range
+                    taken = rows if at == 0 and len(rows) <= room else rows.iloc[at:at + room]
+                    state = step(state, taken)
+                    at, room = at + len(taken), room - len(taken)
+            if states:
+                yield pd.DataFrame(states, columns=partial.names)
+                states = []
+        if merged is not None:
+            merged.add(state)
+            yield pd.DataFrame([(wave, part, pickle.dumps(merged.all()))], columns=partial.names)
+
+    def ordered(states: DataFrame, width: int | None) -> DataFrame:
+        """The states to be merged one after another, in one task."""
+        if width:
+            states = states.withColumn("_to", F.expr(f"part div {width}"))
+        keys = ["wave", "_to"] if width else ["wave"]
+        return states.repartition(*keys).sortWithinPartitions(*keys, "part")
+
+    def merged_parts(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in _runs(blocks, ["wave", "_to"], merge):
+            yield pd.DataFrame([(wave, to, state) for (wave, to), state in found], columns=partial.names)
+
+    def finished(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in _runs(blocks, ["wave"], merge):
+            yield pd.DataFrame([finish(wave, pickle.loads(state)) for (wave,), state in found])
+
+    samples = sig.samples.repartitionByRange(tasks, id, *order).sortWithinPartitions(id, *order)
+    # the ranges must not be cut anew when a task is repeated
+    states = freeze(samples.mapInPandas(fold, partial))
+    while tasks > merge_width:
+        states = ordered(states, merge_width).mapInPandas(merged_parts, partial)
+        tasks = -(-tasks // merge_width)
+    return ordered(states, None).mapInPandas(finished, schema)
+
+
+class _Merged:
+    """States that come in order, merged in pairs of about equal extent, so that few are
+    held and none is copied once for every later one."""
+
+    def __init__(self, merge: Callable[[Any, Any], Any]):
+        self.merge, self.held = merge, []
+
+    def add(self, state: Any) -> None:
+        level = 0
+        while self.held and self.held[-1][0] == level:
+            state, level = self.merge(self.held.pop()[1], state), level + 1
+        self.held.append((level, state))
+
+    def all(self) -> Any:
+        _, state = self.held.pop()
+        while self.held:
+            state = self.merge(self.held.pop()[1], state)
         return state
 
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({
-            "wave": rows["wave"].iloc[:1].tolist(), "part": [int(rows["part"].iloc[0]) // merge_width],
-            "state": [pickle.dumps(joined(rows))]})
-
-    def finished(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([finish(rows["wave"].iloc[0], joined(rows))])
 
-    ordered = sig.samples.repartitionByRange(ranges, id, *order).sortWithinPartitions(id, *order)
-    # the ranges must not be cut anew when a task is repeated
-    states = freeze(ordered.mapInPandas(fold, partial))
-    while ranges > merge_width:
-        states = states.groupBy("wave", F.expr(f"part div {merge_width}").alias("_to")).applyInPandas(merged, partial)
-        ranges = -(-ranges // merge_width)
-    return states.groupBy("wave").applyInPandas(finished, schema)
+def _runs(
+    blocks: Iterator[pd.DataFrame], keys: list[str], merge: Callable[[Any, Any], Any]
+) -> Iterator[list[tuple[tuple, bytes]]]:
+    """The merged state of each run of rows with equal ``keys``; a state alone in its run
+    stays as it is pickled."""
+    key, one, merged, found = None, None, None, []
+
+    def ended() -> tuple[tuple, bytes]:
+        return key, one if merged is None else pickle.dumps(merged.all())
+
+    for block in blocks:
+        for *at, state in zip(*[block[k] for k in keys], block["state"]):
+            at = tuple(at)
+            if at == key:
+                if merged is None:
+                    merged = _Merged(merge)
+                    merged.add(pickle.loads(one))
+                merged.add(pickle.loads(state))
+                continue
+            if key is not None:
+                found.append(ended())
+            key, one, merged = at, state, None
+        if found:
+            yield found
+            found = []
+    if key is not None:
+        yield [ended()]
 
 
 def count_waves(sig: Signals) -> DataFrame:

@@ -11,7 +11,7 @@ from settlespark.operators.features import apply_per_wave, fold_per_wave, fold_r
 from settlespark.operators.joins import lookup_result
 from settlespark.operators.review import id_rank, post_settle_stats
 from settlespark.operators.settle import settle
-from settlespark.plans.skew import exact_median, number_rows
+from settlespark.plans.skew import _FROZEN, exact_median, number_rows
 from tests import waves as w
 
 
@@ -180,6 +180,34 @@ def test_fold_of_a_large_wave_uses_many_tasks(spark):
     assert {r["wave_id"]: r["ranges"] for r in got}[3] >= 20
 
 
+def test_small_ranges_need_no_task_each(spark):
+    """Ranges of 100 samples are folded one by one, but all in the tasks of the session."""
+    waves = w.random_waves(12)
+    waves[3] = np.arange(60_000.0)
+    sig = Signals(spark.createDataFrame(w.frame(waves)).repartition(6))
+
+    def step(seen, block):
+        return seen[:-1] + [seen[-1] + list(block["sample"])]
+
+    def merge(a, b):
+        return a + b
+
+    def finish(wave, seen):
+        joined = sum(seen, [])
+        return {"wave_id": wave, "n": len(joined), "ranges": len(seen), "most": max(map(len, seen)),
+                "sorted": joined == list(range(len(joined)))}
+
+    before = len(_FROZEN)
+    got = fold_ranges(
+        sig, lambda: [[]], step, merge, finish,
+        "wave_id long, n long, ranges long, most long, sorted boolean", rows_per_range=100, merge_width=2).collect()
+    assert {r["wave_id"]: r["n"] for r in got} == {k: len(x) for k, x in waves.items()}
+    assert all(r["sorted"] and r["most"] <= 100 for r in got)
+    assert {r["wave_id"]: r["ranges"] for r in got}[3] >= 600
+    files = spark.read.parquet(_FROZEN[before]).inputFiles()
+    assert 1 < len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_features_and_label_need_one_exchange(spark, small):
     df = spark.read.parquet(f"{small}/lineitem.parquet").select(
         F.col("l_suppkey").alias("wave_id"), F.col("l_orderkey").alias("sample"),
