@@ -197,20 +197,33 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, steps: int = 200) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression on soft labels."""
-    weights = np.zeros(BUCKETS + 1)
     if not rows:
-        return weights
-    index = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows])
-    sizes = np.array([len(r[0]) for r in rows])
+        return np.zeros(BUCKETS + 1)
+    return _fit(
+        np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]),
+        np.array([len(r[0]) for r in rows]), label, steps)
+
+
+def _fit(
+    index: np.ndarray, value: np.ndarray, sizes: np.ndarray, label: np.ndarray, steps: int = 200
+) -> np.ndarray:
+    """The same from the features of all rows, one after another, and their numbers."""
+    weights = np.zeros(BUCKETS + 1)
     starts = np.cumsum(sizes) - sizes
     # both classes weigh the same
     balance = np.where(label >= 0.5, 0.5 / max(1e-9, (label >= 0.5).mean()), 0.5 / max(1e-9, (label < 0.5).mean()))
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, steps + 1):
-        z = np.add.reduceat(weights[index] * value, starts) + weights[-1]
-        error = (1 / (1 + np.exp(-z)) - label) * balance / len(rows)
-        slope = np.append(np.bincount(index, weights=value * np.repeat(error, sizes), minlength=BUCKETS), error.sum())
+        # one array of the length of all features at a time
+        each = weights[index]
+        each *= value
+        z = np.add.reduceat(each, starts) + weights[-1]
+        del each
+        error = (1 / (1 + np.exp(-z)) - label) * balance / len(sizes)
+        each = np.repeat(error, sizes)
+        each *= value
+        slope = np.append(np.bincount(index, weights=each, minlength=BUCKETS), error.sum())
+        del each
         slope[:-1] += 1e-5 * weights[:-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope ** 2
@@ -230,8 +243,9 @@ def _patterns(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 
 def _train(batches, schema: pa.Schema, posterior: np.ndarray) -> Iterator[pa.RecordBatch]:
-    rows, label = [], []
+    parts, sizes, label = [], [], []
     for batch in batches:
+        rows = []
         for text in batch["text"]:
             pattern, index, value = features(text.as_py())
             if len(index) > LEARNT_FEATURES:
@@ -239,7 +253,15 @@ def _train(batches, schema: pa.Schema, posterior: np.ndarray) -> Iterator[pa.Rec
                 index, value = index[most], value[most]
             rows.append((index.astype(np.int32), value.astype(np.float32)))
             label.append(posterior[pattern])
-    weights = fit_scorer(rows, np.array(label))
+        if rows:
+            sizes += [len(index) for index, _ in rows]
+            parts.append(tuple(map(np.concatenate, zip(*rows))))
+    weights = np.zeros(BUCKETS + 1)
+    if parts:
+        index, value = map(np.concatenate, zip(*parts))
+        # the fit holds the features once
+        parts, rows = [], []
+        weights = _fit(index, value, np.array(sizes), np.array(label))
     yield pa.RecordBatch.from_arrays([pa.array([weights], schema.field(0).type)], schema=schema)
 
 

@@ -1,9 +1,12 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from settlespark.llm.quality import (
-    BAD, BELIEF, BELIEF_SHARE, EDGES, GOOD, LABELLERS, LEARNT_FEATURES, NONE, PATTERNS, POWERS, drop_low_quality, expectation_maximisation, features,
+    BAD, BELIEF, BELIEF_SHARE, EDGES, GOOD, LABELLERS, LEARNT_FEATURES, NONE, PATTERNS, POWERS, _train, drop_low_quality, expectation_maximisation, features,
     fit_quality, fit_scorer, quality_scores, votes_of,
 )
 
@@ -32,6 +35,29 @@ def test_patterns_hold_the_votes():
     assert set(votes) <= {BAD, GOOD, NONE}
 
 
+def test_fit_holds_the_features_once():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(32, 127, 3000, np.uint8)) for _ in range(600)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a:a + 100])], names=["text"]) for a in range(0, 600, 100)]
+    posterior = np.linspace(0, 1, PATTERNS)
+    schema = pa.schema([("weights", pa.list_(pa.float64()))])
+    tracemalloc.start()
+    try:
+        learned = list(_train(iter(batches), schema, posterior))[0]["weights"][0].as_py()
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    rows, label = [], []
+    for text in texts:
+        pattern, index, value = features(text)
+        most = np.sort(np.argsort(-value, kind="stable")[:LEARNT_FEATURES])
+        rows.append((index[most].astype(np.int32), value[most].astype(np.float32)))
+        label.append(posterior[pattern])
+    assert learned == fit_scorer(rows, np.array(label)).tolist()
+    count = sum(len(index) for index, _ in rows)
+    assert peak / count < 32
+
+
 def test_scorer_learns_a_separable_label():
     texts = [b"plain words here and there" if i % 2 else b"@@ ## $$ %% @@ ##" for i in range(60)]
     rows = [features(t)[1:] for t in texts]
