@@ -11,6 +11,7 @@ the library on whole texts.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from functools import lru_cache
@@ -30,7 +31,7 @@ LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ſ"
 PLAIN = re.compile(f"[ -~\t-\r{LETTERS}]*")
 # Fixed value: the split pattern of the tokenizer, for such characters in lower case.
 PIECE = re.compile(f"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{LETTERS}0-9 \t-\r]+")
-JOINED = 2_000
+JOINED = 200
 
 
 class _Numbers(dict):
@@ -93,6 +94,26 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def _byte_alphabet() -> str:
+    """The character that stands for each byte in a byte-level model; a space stays one."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    alphabet = [chr(b if b in shown else next(hidden)) for b in range(256)]
+    return "".join(alphabet[:32] + [" "] + alphabet[33:])
+
+
+BYTES = _byte_alphabet()
+
+
+def _piece_tokenizer(tokenizer):
+    """The same model for normalised pieces in ``BYTES``, joined by spaces."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    pieces = Tokenizer(tokenizer.model)
+    pieces.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+    return pieces
+
+
 class PartEncoder:
     """Encodes texts with a memory of at most ``limit`` parts (and those of one call).
 
@@ -101,6 +122,7 @@ class PartEncoder:
 
     def __init__(self, path: str, spaced: bool = False, limit: int = CACHED_PARTS):
         self.tokenizer, self.spaced, self.limit = _tokenizer(path), spaced, limit
+        self.pieces = None if spaced else _piece_tokenizer(self.tokenizer)
         self.pattern = re.compile(SPACED if spaced else BARE)
         self.store = _Store(spaced)
         vocabulary = {} if spaced else self.tokenizer.get_vocab()
@@ -123,8 +145,9 @@ class PartEncoder:
         first, new = self.store.queued()
         for start in range(0, len(new), JOINED):
             joined = new[start:start + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast(
-                [" ".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
+            shown, _ = codecs.charmap_decode(" ".join(joined).encode(), "strict", BYTES)
+            ids = np.array(self.pieces.encode_batch_fast(
+                [shown], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(joined):
                 raise ValueError("the tokenizer splits a piece")

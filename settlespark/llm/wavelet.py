@@ -73,7 +73,7 @@ class WaveletMatrix:
         for shift in reversed(range(cls.depth(len(alphabet)))):
             ones = (codes >> shift) & 1 == 1
             planes.append(np.packbits(ones, bitorder="little").tobytes())
-            codes = np.concatenate((codes[~ones], codes[ones]))
+            codes = np.concatenate((codes.compress(~ones), codes.compress(ones)))
         return cls(len(ids), alphabet, planes)
 
     @staticmethod
@@ -97,8 +97,9 @@ class WaveletMatrix:
                 np.frombuffer(packed, np.uint8), bitorder="little", count=self.length).view(bool)
             zeros = self.length - int(np.count_nonzero(ones))
             above = np.empty_like(codes)
-            above[~ones] = codes[:zeros]
-            above[ones] = codes[zeros:] | codes.dtype.type(1 << shift)
+            # by positions: a mask costs a wrong guess at every other bit
+            above[np.flatnonzero(~ones)] = codes[:zeros]
+            above[np.flatnonzero(ones)] = codes[zeros:] | codes.dtype.type(1 << shift)
             codes = above
         return self.alphabet[codes] if len(self.alphabet) else np.zeros(0, np.uint32)
 

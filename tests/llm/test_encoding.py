@@ -43,3 +43,15 @@ def test_offsets_equal_those_of_whole_texts():
         ids, offsets = small.encode_offsets(text)
         assert ids.tolist() == e.ids, text
         assert [tuple(o) for o in offsets.tolist()] == e.offsets, text
+
+
+def test_pieces_are_not_normalised_and_split_again():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = [t for t in texts() if PLAIN.fullmatch(t) and "<|" not in t]
+    whole = [e.ids for e in _tokenizer(path).encode_batch(plain, add_special_tokens=False)]
+    small = PartEncoder(path)
+    # the tokenizer that does so is for all other texts
+    small.tokenizer = None
+    ids, sizes = small.encode(plain)
+    assert sizes.tolist() == list(map(len, whole))
+    assert ids.tolist() == [i for found in whole for i in found]
