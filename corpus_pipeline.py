@@ -23,6 +23,8 @@ from settlespark.plans.skew import checkpoint_dir, delete, kept_paths
 
 # Documents are near copies from this share of common five-word shingles on.
 NEAR_PERCENT = 80
+# Batches of rows on their way to Python and back, which both sides hold outside the heap.
+BATCH_BYTES = "4m"
 
 _left: list[str] = []
 
@@ -31,10 +33,12 @@ def _stage(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """A stage that first deletes what the one before it kept in the shared folder.
 
     That stage's result has been written by then; should ``docs`` still read such a
-    table, all of them stay.
+    table, all of them stay.  The result is written after the stage has returned, so the
+    session keeps the bound on batches.
     """
     @wraps(step)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         names = {path.rpartition("/")[2] for path in _left}
         if _left and not any(names & set(file.split("/")) for file in docs.inputFiles()):
             delete(spark, _left)

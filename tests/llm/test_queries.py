@@ -6,7 +6,9 @@ from collections import defaultdict
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 import corpus_pipeline
@@ -106,3 +108,21 @@ def test_empty_documents(spark, small, tmp_path):
         spark.read.parquet(f"{small}/{name}.parquet").limit(0 if name == "documents" else 5).write.parquet(
             f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_batches_of_a_stage_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes], "rows": [batch.num_rows]})
+
+    stage = corpus_pipeline._stage(
+        lambda spark, docs, sf_dir: docs.select("text").mapInArrow(sizes, "size long, rows long"))
+    docs = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        found = stage(spark, docs, "").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r.rows for r in found) == 3000
+    assert max(r.size for r in found) < 8 << 20
